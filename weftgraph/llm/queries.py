@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .media import op5_media
 from .mixing import op4_mixing
 from .packing import op6_packing
+from .pii import op1_pii
 from .quality import op9_quality
+from .secrets import op10_secrets
+from .simhash import op2_simhash
 from .warc import ORACLE as WARC_SQL
 from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
