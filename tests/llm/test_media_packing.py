@@ -103,7 +103,8 @@ def test_packing_query(spark, tmp_path):
             assert p.offset == at
             at += p.length
         assert at <= 1024
-    assert len(by_sequence) <= 1.02 * sum(x.length for x in rows) / 1024 + 1
+    # What best fit decreasing guarantees, against the least number of sequences that could hold all tokens.
+    assert len(by_sequence) <= 11 / 9 * np.ceil(sum(x.length for x in rows) / 1024) + 6 / 9
 
 
 def test_best_fit_is_best_fit():
