@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .media import op5_media
 from .mixing import op4_mixing
 from .packing import op6_packing
+from .pfp_dedup import op3_repeats
 from .pii import op1_pii
 from .quality import op9_quality
 from .secrets import op10_secrets
@@ -19,6 +20,7 @@ from .warc import op8_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op3_repeats": op3_repeats,
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
     "op6_packing": op6_packing,
