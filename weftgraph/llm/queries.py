@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op7_licenses
 from .media import op5_media
 from .mixing import op4_mixing
 from .packing import op6_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
     "op6_packing": op6_packing,
+    "op7_licenses": op7_licenses,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
