@@ -74,7 +74,8 @@ def test_fingerprints(spark):
 
 @pytest.mark.parametrize("block", [4096, 40])
 def test_links_and_components(spark, monkeypatch, block):
-    prints = cloud(1, 25, 12) + cloud(2, 1, 300) + [random.Random(3).getrandbits(64) for _ in range(200)]
+    r = random.Random(3)
+    prints = cloud(1, 25, 12) + cloud(2, 1, 300) + [r.getrandbits(64) for _ in range(200)]
     prints = list(dict.fromkeys(prints))
     rep = list(range(len(prints)))
     random.Random(4).shuffle(rep)
