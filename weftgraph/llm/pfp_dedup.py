@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, shuffle_partitions, table
+from .shared import materialize, materialize_by, shuffle_partitions, table
 
 LEAST = 50
 GRAM = 16
-LOT_BYTES = 16 << 20
+LOT_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
-SORT_WINDOWS = 1 << 20
+SORT_WINDOWS = 1 << 18
 
 _STORE, _ANSWER = -1, -2
 _NO_ID = np.iinfo(np.int64).max
@@ -158,7 +158,8 @@ def _lots(buckets: int):
                 at = np.flatnonzero(fresh)
                 last = np.append(at[1:], len(keys)) - 1
                 sets.append((keys[at], named[at], named[last]))
-            rows = [(number, _STORE, _packed(key_of, ends, data.tobytes()))]
+            # The store is written once and moved twice, so it is packed harder than the rest.
+            rows = [(number, _STORE, _packed(key_of, ends, data.tobytes(), level=6))]
             if sets:
                 keys, low, high = (np.concatenate(x) for x in zip(*sets, strict=True))
                 order = np.argsort(keys, kind="stable")
@@ -365,7 +366,7 @@ def removed(size: int, ids: np.ndarray, occurrences: tuple[np.ndarray, ...] | No
     run, hit = run[later], hit[later]
     np.add.at(depth, place[hit] + first[run], 1)
     np.add.at(depth, place[hit] + end[run] - 1 + LEAST, -1)
-    return np.cumsum(depth)[:-1] > 0
+    return np.cumsum(depth, dtype=np.int32)[:-1] > 0
 
 
 def _cut_texts(with_text: bool):
@@ -382,8 +383,9 @@ def _cut_texts(with_text: bool):
         ids, ends, raw = store
         data = np.frombuffer(raw, np.uint8)
         gone = removed(len(data), ids, occurrences, runs)
-        rising = np.concatenate(([0], np.cumsum(gone & ~np.concatenate(([False], gone[:-1])))))
-        counted = np.concatenate(([0], np.cumsum(gone)))
+        first = gone.copy()
+        first[1:] &= ~gone[:-1]
+        rising, counted = (np.concatenate((np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32))) for x in (first, gone))
         out: list[tuple] = []
         start = 0
         for key, end in zip(ids.tolist(), ends.tolist(), strict=True):
@@ -406,10 +408,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    lots = materialize(df.select(F.col(key).cast("long"), text).mapInArrow(_lots(buckets), _ROWS), "lots", "none")
-    store = lots.filter(F.col("bucket") == _STORE)
-    shared = lots.filter("bucket >= 0").groupBy("bucket").applyInArrow(_shared_triggers, _ROWS)
+    made = df.select(F.col(key).cast("long"), text).mapInArrow(_lots(buckets), _ROWS).withColumn("keys", (F.col("bucket") >= 0).cast("int"))
+    lots, drop = materialize_by(made, "lots", "keys", "none")
+    store = lots.filter("keys = 0").drop("keys")
+    shared = lots.filter("keys = 1").drop("keys").groupBy("bucket").applyInArrow(_shared_triggers, _ROWS)
     phrases = materialize(store.unionByName(shared).groupBy("lot").applyInArrow(_phrases(buckets), _ROWS), "phrases", "none")
+    drop(1)
     runs = phrases.filter("bucket >= 0").groupBy("bucket").applyInArrow(_runs, _ROWS)
     gathered = store.unionByName(phrases.filter(F.col("bucket") == _STORE)).unionByName(runs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def _target(spark: SparkSession, name: str) -> str:
+    target = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return target
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -36,13 +44,24 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     folder is deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
-    target = f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    target = _target(spark, name)
     df.write.option("compression", codec).parquet(target)
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def materialize_by(df: DataFrame, name: str, part: str, codec: str = "zstd") -> tuple[DataFrame, Callable[[int], None]]:
+    """Like materialize, in a folder for each value of an int column; the function deletes one that is used up."""
+    spark = df.sparkSession
+    target = _target(spark, name)
+    df.write.option("compression", codec).partitionBy(part).parquet(target)
+
+    def drop(value: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{part}={value}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(target), drop
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
