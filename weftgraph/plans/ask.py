@@ -11,6 +11,7 @@ from ..operators import answer as A
 from ..operators import linking as L
 from ..operators import paths as P
 from ..operators import tfidf as R
+from ..sources.stage import written
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,8 @@ def ask(questions: DataFrame, edges: DataFrame, aliases: DataFrame, max_triples:
     """Answers of questions (qid, question). reverse also follows the templates that end in persons, which parity leaves out."""
     asked = L.intent(questions)
     # Every template reads the seeds and the steps.
-    found = L.seeds(questions, aliases).persist()
-    steps = P.steps_of(edges).persist()
+    found = written(L.seeds(questions, aliases), "seeds")
+    steps = written(P.steps_of(edges), "steps")
     rows = found.join(asked.select("qid", "question", "wanted", "co", "relation"), "qid")
     # A question without a person among its seeds starts from all of them.
     persons = rows.groupBy("qid").agg(F.max((F.col("type") == "Person").cast("int")).alias("persons"), F.count("*").alias("n"))
@@ -48,7 +49,7 @@ def ask(questions: DataFrame, edges: DataFrame, aliases: DataFrame, max_triples:
         paths = paths.unionByName(P.along(P.start(singles.filter("type = 'Event' and wanted = 'Person'")), steps, P.EVENT_PEOPLE))
         paths = paths.unionByName(P.along(P.start(singles.filter("type = 'Organization' and wanted = 'Person'")), steps, P.ORGANIZATION_FOUNDERS))
         paths = paths.unionByName(P.along(P.start(singles.filter("type = 'Person' and wanted = 'Event'")), steps, P.PERSON_ORGANIZATION_EVENT))
-    paths = paths.persist()
+    paths = written(paths, "paths")
     best = P.best_by_target(paths)
     gaps = L.unknown_concepts(questions, found, aliases)
     context = P.context(paths, found, steps, max_triples)
@@ -57,5 +58,5 @@ def ask(questions: DataFrame, edges: DataFrame, aliases: DataFrame, max_triples:
 
 def ask_texts(questions: DataFrame, parts: DataFrame) -> DataFrame:
     """The control: quotations from the best chunks."""
-    hits = R.ranked(questions, parts)
+    hits = written(R.ranked(questions, parts), "hits")
     return R.answered(questions, hits, R.quoted(questions, hits, parts))

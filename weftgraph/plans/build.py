@@ -12,6 +12,7 @@ from ..operators import edges as E
 from ..operators import entities as N
 from ..operators import extract as X
 from ..operators.graph import nodes_of
+from ..sources.stage import written
 
 
 @dataclass(frozen=True)
@@ -28,19 +29,19 @@ def build(documents: DataFrame, gazetteer: DataFrame | None = None, discovery: b
     own = documents.select("title", "categories", F.lit(True).alias("is_doc"), F.array().cast("array<string>").alias("redirects"))
     pages = own if gazetteer is None else own.unionByName(gazetteer.join(own.select("title"), "title", "left_anti").select("title", "categories", F.lit(False).alias("is_doc"), "redirects"))
     entities, dropped = N.inventory(pages)
-    entities = entities.withColumn("ord", F.xxhash64("title"))
+    entities = written(entities.withColumn("ord", F.xxhash64("title")), "entities")
     claims = N.first_claims(N.alias_claims(entities))
     if discovery:
         more = N.discovered(documents, claims)
         claims = claims.unionByName(more.select(F.col("name").alias("surface"), F.col("name").alias("id"), "type"))
-    claims = claims.unionByName(N.gloss_aliases(documents, claims))
+    claims = written(claims.unionByName(N.gloss_aliases(documents, claims)), "claims")
     scan = mention_scan(N.surface_table(claims))
     typed = documents.join(entities.filter("is_doc").select("title", F.col("name").alias("doc_name"), F.col("type").alias("doc_type")), "title")
-    rows = X.with_mentions(X.sentence_rows(typed.select(F.col("doc_name").alias("title"), "doc_type", "body")), scan).persist()
+    rows = written(X.with_mentions(X.sentence_rows(typed.select(F.col("doc_name").alias("title"), "doc_type", "body")), scan), "mentions")
     events = entities.filter("type = 'Event'").select(F.col("name").alias("id"))
     found = X.candidates(rows).unionByName(X.category_candidates(typed.select(F.col("doc_name").alias("title"), "doc_type", "categories"), events))
     accepted, refused = E.gated(found)
-    edges = E.merged(accepted)
+    edges = written(E.merged(accepted), "edges")
     mentioned = rows.select(F.explode("mentions").alias("m"), "title").select(F.col("m.name").alias("id"), F.col("m.type").alias("type"), "title")
     told = mentioned.unionByName(entities.filter("is_doc").select(F.col("name").alias("id"), "type", F.col("name").alias("title")))
     sources = told.groupBy("id", "type").agg(F.array_sort(F.collect_set("title")).alias("sources"))

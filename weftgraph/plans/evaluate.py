@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
+from ..sources.stage import written
 from .ask import ask, ask_texts
 
 
@@ -13,10 +14,10 @@ def evaluate(items: DataFrame, expected: DataFrame, edges: DataFrame, aliases: D
     """Frames items, by_hops, overall and layers for golden items (item_id, hops, question, expected, answerable)."""
     questions = items.select(F.col("item_id").alias("qid"), "question")
     got = ask(questions, edges, aliases, reverse=reverse)
-    answers = got.answers.withColumnRenamed("qid", "item_id")
-    context = got.context.withColumnRenamed("qid", "item_id")
+    answers = written(got.answers.withColumnRenamed("qid", "item_id"), "answers")
+    context = written(got.context.withColumnRenamed("qid", "item_id"), "context")
     control = ask_texts(questions, parts).withColumnRenamed("qid", "item_id") if parts is not None else None
     rows = V.scored(items, answers, V.path_recall(items, expected, context), control)
     absent = V.found_in(expected, context, "item_id").filter("hit = 0")
-    rows = V.failure_layer(rows, V.missing(expected, edges), absent)
+    rows = written(V.failure_layer(rows, V.missing(expected, edges), absent), "items")
     return {"items": rows, "by_hops": V.by_hops(rows), "overall": V.overall(rows), "layers": V.layer_counts(rows)}
