@@ -20,6 +20,7 @@ from ..operators import graph as G
 from ..operators import linking as L
 from ..operators import paths as P
 from ..operators import tfidf as I
+from ..ship import ship
 from ..sources.cache import answered as cached_answers
 from ..sources.tables import order_candidates, table
 from . import samples as S
@@ -47,6 +48,7 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
     """Literal rows in one partition, so that what groups and joins them needs no exchange."""
+    ship(spark)
     return spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], schema).coalesce(1)
 
 

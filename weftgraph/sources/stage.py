@@ -7,10 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from ..ship import ship
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet below spark.checkpoint.dir (a temporary folder where it is unset), read back; deleted with the driver's JVM."""
     spark = df.sparkSession
+    ship(spark)
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
