@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing, simhash
 
@@ -73,22 +74,14 @@ def test_fingerprints(spark):
 
 
 @pytest.mark.parametrize("block", [4096, 40])
-def test_links_and_components(spark, monkeypatch, block):
+def test_links_and_components(spark, block):
     r = random.Random(3)
     prints = cloud(1, 25, 12) + cloud(2, 1, 300) + [r.getrandbits(64) for _ in range(200)]
     prints = list(dict.fromkeys(prints))
     rep = list(range(len(prints)))
     random.Random(4).shuffle(rep)
-    rows = spark.createDataFrame([(signed(p), i) for p, i in zip(prints, rep)], "fp long, rep long")
-    inner = simhash._bucket_links
-
-    def small(batches):
-        before, simhash.BLOCK_ROWS = simhash.BLOCK_ROWS, block
-        yield from inner(batches)
-        simhash.BLOCK_ROWS = before
-
-    monkeypatch.setattr(simhash, "_bucket_links", small)
-    found = {x.node: x.component for x in simhash.components(simhash.links(rows)).collect()}
+    rows = spark.createDataFrame([(signed(p), i) for p, i in zip(prints, rep)], "fp long, rep long").withColumn("keys", simhash.candidate_keys(F.col("fp")))
+    found = {x.node: x.component for x in simhash.components(simhash.links(rows, block_rows=block)).collect()}
     expected = brute_components(list(zip(rep, prints)), prints)
     assert {i: found.get(i, i) for i in rep} == expected
     assert Counter(Counter(expected.values()).values())[1] >= 150
@@ -100,7 +93,7 @@ def test_keys_are_lossless():
         for _ in range(200):
             a = r.getrandbits(64)
             b = flip(a, r.sample(range(64), k))
-            assert len(simhash.linked(np.array([a], np.uint64), np.array([b], np.uint64))) == 1
+            assert len(simhash.linked(np.array([[a]], np.uint64), np.array([[b]], np.uint64))) == 1
 
 
 def test_long_chain(spark):
@@ -121,6 +114,43 @@ def test_simhash_query(spark, tmp_path):
     assert got == {i: (f"{p:016x}", expected[i]) for i, p in enumerate(prints)}
 
 
+def edited(r, words, changes):
+    out = list(words)
+    for i in r.sample(range(len(out)), changes):
+        out[i] = f"x{r.random()}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents(spark):
+    """Recall and precision around a similarity of 0.8, pairs planted among others."""
+    r = random.Random(11)
+    texts, pairs = [], []
+    for _ in range(400):
+        n = r.randint(60, 900)
+        base = [f"w{r.randint(0, 5000)}" for _ in range(n)]
+        copy = edited(r, base, r.randint(0, max(1, n // 12)))
+        pairs.append((len(texts), len(texts) + 1, jaccard(base, copy)))
+        texts += [" ".join(base), " ".join(copy)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    together = lambda low, high: [got[a] == got[b] for a, b, j in pairs if low <= j < high]
+    assert np.mean(together(0.84, 1.01)) > 0.97
+    assert np.mean(together(0.80, 0.84)) > 0.7
+    assert np.mean(together(0.0, 0.7)) < 0.05
+    assert len(set(got.values())) >= 400
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 9, 100])
+def test_group_keys(n):
+    hashes = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
+    keys = simhash.group_keys(np.unique(hashes))
+    assert 1 <= len(keys) <= 2 * simhash.GROUPS and (np.sort(keys) == np.sort(simhash.group_keys(np.unique(hashes[::-1])))).all()
+
+
 def test_dedup_stage(spark):
     rows = [(4, "same text here", "en", "s", 1), (2, "same text here", "en", "s", 1), (7, "other words", None, None, None), (None, "no id", "en", "s", 1), (None, None, None, None, None), (9, None, "en", "s", 0), (8, "", "en", "s", 0)]
     kept = simhash.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")

@@ -10,6 +10,9 @@ equal. ``candidate_keys`` therefore gives each fingerprint 5 x 6 exact keys of a
 bits, and every pair within four bits shares one. Pairs with a common key pass the whole chain
 check and then the Hamming check.
 
+``similar_documents`` links at a similarity of 0.8 instead, with 256 bits of which 42 may differ. Its candidates
+share a group of shingles, which finds nearly all such pairs (measured in the tests), not provably each.
+
 Links leave a bucket as a spanning forest, never as pairs. A bucket of more than
 BLOCK_ROWS different fingerprints is not compared in one task: it is cut into blocks and
 each two blocks meet in a group of their own, so its size is no limit. ``components``
@@ -22,7 +25,8 @@ unless all members' ids are null; other columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -35,18 +39,34 @@ from pyspark.sql import types as T
 from .shared import DOCUMENT_COLUMNS, materialize, table
 
 SEED = 42
-MAX_BITS = 4
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PARTS = 4
 BLOCK_ROWS = 4096
-_CHUNK = 1 << 16
+_CHUNK = 1 << 14
 
 
-def fingerprint(data: bytes, shingle: int) -> int:
-    """SimHash of a text's UTF-8 bytes: a bit is set if it is in over half the shingles' hashes."""
+@dataclass(frozen=True)
+class Budget:
+    """How many bits two fingerprints may differ in, and the segments of the ring, as places in their 64-bit words."""
+
+    max_bits: int
+    words: int
+    segments: tuple[tuple[int, int, int], ...]
+
+
+#: 64 bits, four of them: every pair shares a key of ``candidate_keys``.
+NARROW = Budget(4, 1, tuple((0, s, w) for s, w in SEGMENTS))
+#: 256 bits for a similarity of 0.8: the shares of common shingles J and of differing bits p are tied by cos(pi p) = 2 J / (1 + J).
+WIDE = Budget(42, 4, tuple((i // 2, i % 2 * 32, 32) for i in range(8)))
+GROUPS = 12
+_MIX = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def shingle_hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of a text, repeats included, a stretch at a time; nothing if it has no words."""
     words = data.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -54,14 +74,66 @@ def fingerprint(data: bytes, shingle: int) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for low in range(0, len(starts), _CHUNK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[low : low + _CHUNK].tolist(), ends[low : low + _CHUNK].tolist(), strict=True)], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        # Sums of bytes stay below 256 in runs of 255 rows, so most of the adding is on bytes.
-        runs = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8)
-        ones += runs.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[low : low + _CHUNK].tolist(), ends[low : low + _CHUNK].tolist(), strict=True)], "<u8")
+
+
+def _remixed(hashes: np.ndarray, factor: np.uint64) -> np.ndarray:
+    if not factor:
+        return hashes
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * factor
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    # Sums of bytes stay below 256 in runs of 255 rows, so most of the adding is on bytes.
+    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(data: bytes, shingle: int) -> int:
+    """SimHash of a text's UTF-8 bytes: a bit is set if it is in over half the shingles' hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(data, shingle):
+        ones += _ones(hashes)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def group_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of groups of two to four distinct shingles, chosen by their hashes alone: GROUPS groups of a text, over up to two sizes.
+
+    Texts that share 0.8 of their shingles have their numbers within that ratio, so some size is common to both, and
+    share each group with a chance of 0.8 to the power of its shingles.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.int64)
+    out = []
+    for level in sorted({max(0, int(np.log2(max(n * f, 1))) - 1) for f in (0.8, 1.25)}):
+        group = (shingles >> np.uint64(20)) % np.uint64(1 << level)
+        chosen = group < GROUPS
+        group, own = group[chosen], _remixed(shingles[chosen], _MIX[1])
+        if not len(group):
+            continue
+        order = np.argsort(group, kind="stable")
+        group, own = group[order], own[order]
+        at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        sums = np.add.reduceat(own, at) + (group[at] + np.uint64(1)) * _MIX[2] + np.array([level], np.uint64) * _MIX[3]
+        out.append(_remixed(sums, _MIX[3]))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
+    """A SimHash of WIDE's words over the distinct shingles of a text, and its group keys."""
+    parts = list(shingle_hashes(data, shingle))
+    shingles = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+    ones = np.zeros((WIDE.words, 64), np.int64)
+    for low in range(0, len(shingles), _CHUNK):
+        for k in range(WIDE.words):
+            ones[k] += _ones(_remixed(shingles[low : low + _CHUNK], _MIX[k]))
+    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").tobytes(), group_keys(shingles)
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -75,12 +147,23 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key], T.StructField("fp", T.LongType())]))
 
 
+def wide_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(key, fp, keys) for whole texts, fp as bytes. One pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x or b"", shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([k.tolist() for _, k in found], pa.list_(pa.int64()))], [key, "fp", "keys"])
+
+    return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key]]).add("fp", "binary").add("keys", T.ArrayType(T.LongType())))
+
+
 def _bits(value: Column, start: int, width: int) -> Column:
     return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
 def candidate_keys(fp: Column) -> Column:
-    """An array of exact keys; fingerprints within MAX_BITS share one at least."""
+    """An array of exact keys; fingerprints within NARROW's four bits share one at least."""
     keys = []
     for i in range(len(SEGMENTS)):
         first, *chain = (SEGMENTS[(i + j) % len(SEGMENTS)] for j in range(3))
@@ -95,25 +178,40 @@ def candidate_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def chained(difference: np.ndarray) -> np.ndarray:
-    """Whether some segment of an XOR starts a whole chain within the proportional budgets."""
-    counts = np.stack([np.bitwise_count((difference >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in SEGMENTS])
-    m = len(SEGMENTS)
+def chained(difference: np.ndarray, budget: Budget) -> np.ndarray:
+    """Whether some segment of an XOR (rows of words) starts a whole chain within the proportional budgets."""
+    counts = np.stack([np.bitwise_count((difference[:, k] >> np.uint64(s)) & np.uint64((1 << w) - 1)) for k, s, w in budget.segments])
+    m = len(budget.segments)
     passed = np.zeros(len(difference), bool)
     for i in range(m):
         total, fits = np.zeros(len(difference), np.int64), np.ones(len(difference), bool)
         for length in range(1, m + 1):
             total = total + counts[(i + length - 1) % m]
-            fits &= total <= length * MAX_BITS // m
+            fits &= total <= length * budget.max_bits // m
         passed |= fits
     return passed
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indices of the pairs that pass the chains and then the full check."""
+def linked(a: np.ndarray, b: np.ndarray, budget: Budget = NARROW) -> np.ndarray:
+    """Indices of the pairs (rows of words) that pass the chains and then the full check."""
     difference = a ^ b
-    chosen = np.flatnonzero(chained(difference))
-    return chosen[np.bitwise_count(difference[chosen]) <= MAX_BITS]
+    chosen = np.flatnonzero(chained(difference, budget))
+    return chosen[np.bitwise_count(difference[chosen]).sum(axis=1) <= budget.max_bits]
+
+
+def _prints(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints as rows of words."""
+    if pa.types.is_binary(column.type):
+        words = np.frombuffer(b"".join(column.to_pylist()), "<u8")
+        return words.reshape(len(column), -1) if len(column) else words.reshape(0, WIDE.words)
+    return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1) if isinstance(column, pa.Array) else column.to_numpy().view(np.uint64).reshape(-1, 1)
+
+
+def _column(prints: np.ndarray) -> pa.Array:
+    """The fingerprints' Arrow column, the inverse of _prints."""
+    if prints.shape[1] == 1:
+        return pa.array(prints[:, 0].view(np.int64))
+    return pa.array([row.tobytes() for row in prints], pa.binary())
 
 
 def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -147,16 +245,16 @@ def _star_edges(ids: np.ndarray, u: list[np.ndarray], v: list[np.ndarray]) -> tu
     return ids[keep], least[keep]
 
 
-def _within(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _within(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]:
     """Star edges inside runs of equal keys."""
     u: list[np.ndarray] = []
     v: list[np.ndarray] = []
     held, step = 0, 1
     left = np.arange(len(keys) - 1)
     while len(left := left[keys[left + step] == keys[left]]):
-        for low in range(0, len(left), 1 << 20):
-            part = left[low : low + (1 << 20)]
-            hit = part[linked(prints[part], prints[part + step])]
+        for low in range(0, len(left), 1 << 18):
+            part = left[low : low + (1 << 18)]
+            hit = part[linked(prints[part], prints[part + step], budget)]
             u.append(hit)
             v.append(hit + step)
             held += len(hit)
@@ -168,87 +266,97 @@ def _within(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return _star_edges(ids, u, v)
 
 
-_LINKS = "a long, b long, bucket long, block int"
-
+def _bucket_links(budget: Budget, block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links among rows (bucket, fp, rep) sorted by bucket; of buckets over block_rows the rows themselves, numbered by block."""
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows (bucket, fp, rep) sorted by bucket; of buckets over BLOCK_ROWS the rows themselves, numbered by block."""
-
-    def out(a: np.ndarray, b: np.ndarray, bucket: np.ndarray | None = None, block: int = 0) -> pa.RecordBatch:
-        blank = pa.nulls(len(a), pa.int64()) if bucket is None else pa.array(bucket)
-        number = pa.nulls(len(a), pa.int32()) if bucket is None else pa.array(np.full(len(a), block, np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), blank, number], ["a", "b", "bucket", "block"])
-
-    held = [np.zeros(0, np.int64)] * 3
-    large, block = None, 0
-
-    def closed(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole buckets, the first of which may be the rest of a large one."""
-        nonlocal large, block
-        if large is not None and len(keys):
-            n = int(np.searchsorted(keys, large, side="right"))
-            if n:
-                yield out(prints[:n], ids[:n], keys[:n], block)
-            keys, prints, ids = keys[n:], prints[n:], ids[n:]
-            large, block = None, 0
-        if len(keys) > 1:
-            a, b = _within(keys, prints.view(np.uint64), ids)
-            if len(a):
-                yield out(a, b)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.int64() if budget.words == 1 else pa.binary()
+        names = ["a", "b", "bucket", "block", "fp"]
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), kind)], names)
+
+        def members(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, block: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(keys), pa.array(np.full(len(ids), block, np.int32)), _column(prints)], names)
+
+        held = [np.zeros(0, np.int64), np.zeros((0, budget.words), np.uint64), np.zeros(0, np.int64)]
+        large, block = None, 0
+
+        def closed(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Whole buckets, the first of which may be the rest of a large one."""
+            nonlocal large, block
+            if large is not None and len(keys):
+                n = int(np.searchsorted(keys, large, side="right")) if keys[0] == large else 0
+                if n:
+                    yield members(keys[:n], prints[:n], ids[:n], block)
+                keys, prints, ids = keys[n:], prints[n:], ids[n:]
+                large, block = None, 0
+            if len(keys) > 1:
+                a, b = _within(keys, prints, ids, budget)
+                if len(a):
+                    yield edges(a, b)
 
-    for batch in batches:
-        rows = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
-        if not len(rows[0]):
-            continue
-        last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-        if large is not None and rows[0][0] != large:
-            large, block = None, 0
-        yield from closed(*(x[:last] for x in rows)) if last else ()
-        held = [x[last:] for x in rows]
-        while len(held[0]) > BLOCK_ROWS:
-            large = int(held[0][0])
-            yield out(held[1][:BLOCK_ROWS], held[2][:BLOCK_ROWS], held[0][:BLOCK_ROWS], block)
-            held, block = [x[BLOCK_ROWS:] for x in held], block + 1
-    yield from closed(*held)
-
-
-def _block_links(group: pa.Table) -> pa.Table:
+        for batch in batches:
+            fresh = (batch.column(0).to_numpy(zero_copy_only=False), _prints(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False))
+            rows = [np.concatenate((h, f)) for h, f in zip(held, fresh, strict=True)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            yield from closed(*(x[:last] for x in rows)) if last else ()
+            held = [x[last:] for x in rows]
+            while len(held[0]) > block_rows:
+                if large != int(held[0][0]):
+                    large, block = int(held[0][0]), 0
+                yield members(held[0][:block_rows], held[1][:block_rows], held[2][:block_rows], block)
+                held, block = [x[block_rows:] for x in held], block + 1
+        yield from closed(*held)
+
+    return run
+
+
+def _block_links(budget: Budget) -> Callable[[pa.Table], pa.Table]:
     """Links between two blocks of a large bucket, or within one."""
-    prints, ids = group["fp"].to_numpy().view(np.uint64), group["rep"].to_numpy()
-    side = group["side"].to_numpy()
-    if group["low"][0].as_py() == group["high"][0].as_py():
-        a, b = _within(np.zeros(len(ids), np.int64), prints, ids)
+
+    def run(group: pa.Table) -> pa.Table:
+        prints, ids = _prints(group["fp"].combine_chunks()), group["rep"].to_numpy()
+        side = group["side"].to_numpy()
+        if group["low"][0].as_py() == group["high"][0].as_py():
+            a, b = _within(np.zeros(len(ids), np.int64), prints, ids, budget)
+            return pa.table({"a": a, "b": b})
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        u: list[np.ndarray] = []
+        v: list[np.ndarray] = []
+        held = 0
+        for x in first:
+            hit = second[linked(np.broadcast_to(prints[x], (len(second), budget.words)), prints[second], budget)]
+            u.append(np.full(len(hit), x))
+            v.append(hit)
+            held += len(hit)
+            if held > 1 << 22:
+                root = roots(len(ids), np.concatenate(u), np.concatenate(v))
+                u, v, held = [np.arange(len(ids))], [root], len(ids)
+        a, b = _star_edges(ids, u, v)
         return pa.table({"a": a, "b": b})
-    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    u: list[np.ndarray] = []
-    v: list[np.ndarray] = []
-    held = 0
-    for x in first:
-        hit = second[linked(np.broadcast_to(prints[x], len(second)), prints[second])]
-        u.append(np.full(len(hit), x))
-        v.append(hit)
-        held += len(hit)
-        if held > 1 << 22:
-            root = roots(len(ids), np.concatenate(u), np.concatenate(v))
-            u, v, held = [np.arange(len(ids))], [root], len(ids)
-    a, b = _star_edges(ids, u, v)
-    return pa.table({"a": a, "b": b})
 
+    return run
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b) edges among the reps of distinct fingerprints (fp, rep): a forest of each bucket."""
-    keyed = prints.select(F.explode(candidate_keys(F.col("fp"))).alias("bucket"), "fp", "rep")
-    found = materialize(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, _LINKS), "links")
+
+def links(prints: DataFrame, budget: Budget = NARROW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b) edges among the reps of distinct fingerprints (fp, rep, keys): a forest of each bucket."""
+    kind = dict(prints.dtypes)["fp"]
+    keyed = prints.select(F.explode("keys").alias("bucket"), "fp", "rep")
+    found = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(budget, block_rows), f"a long, b long, bucket long, block int, fp {kind}")
+    found = materialize(found, "links")
     edges, large = found.filter("bucket is null").select("a", "b"), found.filter("bucket is not null")
     if large.isEmpty():
         return edges
     blocks = large.groupBy("bucket").agg((F.max("block") + 1).alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = (
-        large.join(blocks, "bucket").select("bucket", F.col("a").alias("fp"), F.col("b").alias("rep"), "block", other)
+        large.join(blocks, "bucket").select("bucket", "fp", F.col("b").alias("rep"), "block", other)
         .select("bucket", "fp", "rep", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     )
-    return edges.unionByName(met.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a long, b long"))
+    return edges.unionByName(met.groupBy("bucket", "low", "high").applyInArrow(_block_links(budget), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,13 +382,28 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
+def _classes(own: DataFrame, prints: DataFrame, key: str, budget: Budget) -> DataFrame:
+    found = components(links(prints.filter("rep is not null"), budget))
+    named = prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return own.select(key, "fp").join(named, "fp").select(key, "fp", "component_id")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(key, fp, component_id): documents linked by fingerprints within MAX_BITS, each component named by its smallest key."""
+    """(key, fp, component_id): documents linked by 64-bit fingerprints within four bits, each component named by its smallest key. Exact."""
     own = materialize(fingerprints(df, key, text, shingle), "fingerprints")
-    prints = materialize(own.groupBy("fp").agg(F.min(key).alias("rep")), "prints")
-    found = components(links(prints.filter("rep is not null")))
-    named = prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(named, "fp").select(key, "fp", "component_id")
+    prints = materialize(own.groupBy("fp").agg(F.min(key).alias("rep")), "prints").withColumn("keys", candidate_keys(F.col("fp")))
+    return _classes(own, prints, key, NARROW)
+
+
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(key, fp, component_id): documents linked by 256-bit fingerprints within WIDE's budget, a similarity of about 0.8 or more.
+
+    A sixth of the bits may differ, where keys of equal segments would no longer tell documents apart. Candidates
+    share the key of a shingle group instead; what is compared then passes the same chains and the same full check.
+    """
+    own = materialize(wide_fingerprints(df, key, text, shingle), "fingerprints")
+    prints = materialize(own.groupBy("fp").agg(F.min(key).alias("rep"), F.min_by("keys", F.struct(F.col(key).isNull(), key, "keys")).alias("keys")), "prints")
+    return _classes(own, prints, key, WIDE)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,10 +413,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, on 5-word shingles: the document with the smallest id of each component stays.
+    """Pipeline stage, on 5-word shingles and a similarity of 0.8: the document with the smallest id of each component stays.
 
     Rows that repeat that id stay together, and rows without an id stay.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    kept = near_duplicates(docs, shingle=5).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = similar_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
