@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +45,19 @@ def selected(pages: DataFrame, quota: int, stub: int = STUB_CHARS) -> DataFrame:
     return kept.unionByName(judged.filter("reason is not null"))
 
 
+def with_expansion(choose: Callable[[DataFrame], DataFrame], seeds: DataFrame, extra: DataFrame, least: int = 50) -> tuple[DataFrame, bool]:
+    """The selection from seeds, or, where it keeps fewer pages than wanted, from more seeds; and whether it came to that."""
+    chosen = choose(seeds)
+    if chosen.filter("reason is null").limit(least).count() >= least:
+        return chosen, False
+    return choose(seeds.unionByName(extra.join(seeds, seeds.columns, "left_anti"))), True
+
+
+def pruned_corpus(documents: DataFrame, stub: int = STUB_CHARS) -> DataFrame:
+    """A stored corpus (title, categories, raw_chars) judged again by scope and length."""
+    return documents.withColumn("reason", F.coalesce(topic_scope(F.col("categories")), F.when(F.col("raw_chars") < stub, "stub")))
+
+
 def reason_histogram(rows: DataFrame) -> DataFrame:
     """(reason, n): counts by what stands before the colon."""
     return rows.filter("reason is not null").groupBy(F.substring_index("reason", ":", 1).alias("reason")).agg(F.count("*").alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rules import edge_weight
-from .graph import adjacency
+from .graph import HUB_DEGREE, adjacency, degree_penalty
 
 
 @dataclass(frozen=True)
@@ -124,6 +124,31 @@ def context(paths: DataFrame, seeds: DataFrame, steps: DataFrame, most: int = 60
     return once.withColumn("rank", rank).filter(F.col("rank") <= most).select("qid", "rank", "head", "relation", "tail", F.col("first.turn").alias("turn"))
 
 
+def _inner(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes between the ends of each path, with their degrees."""
+    inside = paths.select("qid", "nodes", F.explode(F.array_distinct(F.slice("nodes", 2, F.greatest(F.size("nodes") - 2, F.lit(0))))).alias("id"))
+    return inside.join(nodes.select("id", "degree"), "id")
+
+
+def penalised(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Paths whose score is lowered by the degree penalty of each node that they pass."""
+    factors = _inner(paths, nodes).groupBy("qid", "nodes").agg(F.product(degree_penalty(F.col("degree"))).alias("factor"))
+    return paths.join(factors, ["qid", "nodes"], "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+
+
+def without_hubs(paths: DataFrame, nodes: DataFrame, threshold: int = HUB_DEGREE) -> tuple[DataFrame, DataFrame]:
+    """(paths that pass no hub, the hubs (qid, id, degree, paths) that others would pass)."""
+    passed = _inner(paths, nodes).filter(F.col("degree") > threshold)
+    kept = paths.join(passed.select("qid", "nodes").distinct(), ["qid", "nodes"], "left_anti")
+    return kept, passed.groupBy("qid", "id").agg(F.max("degree").alias("degree"), F.count("*").alias("paths"))
+
+
+def context_sources(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, sources): the sorted sources of a question's context triples."""
+    each = found.join(edges.select("head", "relation", "tail", "sources"), ["head", "relation", "tail"]).select("qid", F.explode("sources").alias("source"))
+    return each.groupBy("qid").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
 def hops_used(best: DataFrame) -> DataFrame:
     return best.groupBy("qid").agg(F.coalesce(F.max(F.size("path")), F.lit(1)).alias("hops_used"))
 

@@ -56,6 +56,19 @@ def ask(questions: DataFrame, edges: DataFrame, aliases: DataFrame, max_triples:
     return Answers(A.composed(asked, found, best, gaps), context, best, found)
 
 
+def run_records(questions: DataFrame, got: Answers, edges: DataFrame, start_hops: int = 2, max_hops: int = 3) -> DataFrame:
+    """What is logged of each question: intent, seeds, path, context, sources, and whether a second, wider try was due.
+
+    The second try would read the same templates again, so it is a column and not a loop.
+    """
+    triples = got.context.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "head", "relation", "tail"))), lambda t: F.struct(t["head"], t["relation"], t["tail"])).alias("context_triples"))
+    rows = L.intent(questions).select("qid", "route", "co", "wanted").join(got.answers, "qid").join(triples, "qid", "left")
+    rows = rows.join(P.context_sources(got.context, edges), "qid", "left").join(P.hops_used(got.best), "qid", "left").join(P.visited(got.seeds, got.best).withColumnRenamed("visited", "visited_nodes"), "qid", "left")
+    co_start = F.when(F.col("wanted") == "Event", max_hops + 1).otherwise(max_hops)
+    first, last = F.when(F.col("co"), co_start).otherwise(start_hops), F.when(F.col("co"), co_start).otherwise(max_hops)
+    return rows.select("*", (F.col("refused") & (first < last)).alias("deepened")).drop("co", "wanted").withColumn("hops_used", F.coalesce("hops_used", F.lit(1)))
+
+
 def ask_texts(questions: DataFrame, parts: DataFrame) -> DataFrame:
     """The control: quotations from the best chunks."""
     hits = written(R.ranked(questions, parts), "hits")

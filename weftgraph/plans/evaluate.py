@@ -21,3 +21,9 @@ def evaluate(items: DataFrame, expected: DataFrame, edges: DataFrame, aliases: D
     absent = V.found_in(expected, context, "item_id").filter("hit = 0")
     rows = written(V.failure_layer(rows, V.missing(expected, edges), absent), "items")
     return {"items": rows, "by_hops": V.by_hops(rows), "overall": V.overall(rows), "layers": V.layer_counts(rows)}
+
+
+def markdown(by_hops: DataFrame, overall: DataFrame, layers: DataFrame) -> str:
+    """A short report of tables that have a row a hop count, one row, and a row a layer."""
+    table = lambda frame, order: "\n".join(["| " + " | ".join(frame.columns) + " |", "|" + "-|" * len(frame.columns), *("| " + " | ".join(str(v) for v in row) + " |" for row in frame.orderBy(order).collect())])
+    return "\n\n".join(["# Evaluation", "## By hops", table(by_hops, "hops"), "## Overall", table(overall, "answerable"), "## Failure layers", table(layers, "layer")]) + "\n"

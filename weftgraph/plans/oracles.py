@@ -108,6 +108,22 @@ sql("kg_hops_used", f"""WITH {STEPS} {TWO_SEEDS} {CHAIN}, v AS (SELECT id AS qid
 SELECT qid, 3 AS hops_used, CAST(count(*) AS INT) AS n_visited FROM v WHERE qid IN (SELECT qid FROM best) GROUP BY qid""")
 
 
+sql("kg_penalised_paths", f"""WITH {STEPS} {TWO_SEEDS} {CHAIN.split("best AS")[0]}
+pen AS (SELECT f.*, score / (1 + sqrt(x.degree)) / (1 + sqrt(y.degree)) AS ps FROM found f JOIN nodes x ON x.id = ev JOIN nodes y ON y.id = per),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid, org ORDER BY ps DESC, [qid, ev, per, org]) AS k FROM pen), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ps DESC, [qid, ev, per, org]) AS n FROM b WHERE k = 1)
+SELECT qid, org AS target, round(ps, 6) AS score, qid || ' -[PARTICIPATED_IN]-> ' || ev || ' <-[PARTICIPATED_IN]- ' || per || ' -[FOUNDED]-> ' || org AS path FROM r WHERE n <= 10""")
+sql("kg_skipped_hubs", f"""WITH {STEPS} {TWO_SEEDS} {CHAIN.split("best AS")[0]}
+i AS (SELECT qid, ev, per, org, unnest([ev, per]) AS id FROM found), h AS (SELECT i.*, degree FROM i JOIN nodes USING (id) WHERE degree > 40),
+k AS (SELECT qid, count(*) AS kept FROM found f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.qid = f.qid AND h.ev = f.ev AND h.per = f.per AND h.org = f.org) GROUP BY qid)
+SELECT qid, id, max(degree) AS degree, count(*) AS paths, coalesce(any_value(kept), 0) AS kept FROM h LEFT JOIN k USING (qid) GROUP BY qid, id""")
+sql("kg_context_sources", f"""WITH {STEPS} {ALL_SEEDS},
+p AS (SELECT id AS qid, 0 AS turn, id || '>' || other AS ord, 1 AS hop, head, relation, tail FROM seed JOIN adj ON node = id AND relation = 'FOUNDED' AND direction = 'forward'
+  UNION ALL SELECT id, 1, id, 0, head, relation, tail FROM seed JOIN adj ON node = id),
+o AS (SELECT qid, head, relation, tail, min({{'turn': turn, 'ord': ord, 'hop': hop}}) AS first FROM p GROUP BY qid, head, relation, tail),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first, head, relation, tail) AS rank FROM o),
+u AS (SELECT DISTINCT qid, unnest(sources) AS source FROM r JOIN edges USING (head, relation, tail) WHERE rank <= 20) SELECT qid, string_agg(source, ';' ORDER BY source) AS sources FROM u GROUP BY qid""")
+
+
 def _bfs(passed: str) -> str:
     return f"""WITH RECURSIVE {EDGES}, near AS (SELECT head AS a, tail AS b FROM edges UNION SELECT tail, head FROM edges),
 degree AS (SELECT a, count(*) AS n FROM near GROUP BY a), {S.values(["C1", "C2"], "s", "start")},
@@ -291,6 +307,8 @@ SELECTED = f"""WITH {LISTED}, r AS (SELECT title, links, len(cats) AS overlap, C
 k AS (SELECT title, row_number() OVER (ORDER BY overlap DESC, links DESC, title) AS n FROM r WHERE reason IS NULL),
 sl AS (SELECT title, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT title, CASE WHEN n > 2 THEN 'over_quota' END FROM k)"""
 sql("funnel_selected", f"{SELECTED} SELECT title, reason FROM sl")
+sql("funnel_pruned", f"WITH {LISTED} SELECT title, coalesce({SCOPE}, CASE WHEN length(title) * 300 < 800 THEN 'stub' END) AS reason FROM pc")
+sql("funnel_expanded", f"WITH {LINKS} SELECT target, count(DISTINCT seed) AS support, CASE WHEN count(DISTINCT seed) < 3 THEN 'few_links' END AS reason, TRUE AS expanded FROM lk WHERE seed < 8 GROUP BY target HAVING count(DISTINCT seed) >= 2")
 sql("reject_histogram", f"{SELECTED} SELECT split_part(reason, ':', 1) AS reason, count(*) AS n FROM sl WHERE reason IS NOT NULL GROUP BY 1")
 sql("reject_update", """WITH l AS (SELECT s_name AS title, CASE WHEN s_acctbal < 0 THEN 'debt: account' ELSE 'other: none' END AS reason FROM supplier),
 o AS (SELECT * FROM l WHERE reason LIKE 'debt%' AND title NOT LIKE '%1') SELECT title, reason FROM o UNION ALL SELECT title, 'again' FROM l WHERE title LIKE '%2' AND title NOT IN (SELECT title FROM o)""")

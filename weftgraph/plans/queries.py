@@ -24,7 +24,7 @@ from ..ship import ship
 from ..sources.cache import answered as cached_answers
 from ..sources.tables import order_candidates, table
 from . import samples as S
-from .ask import ask, ask_texts
+from .ask import ask, ask_texts, run_records
 from .build import build
 from .evaluate import evaluate
 
@@ -183,6 +183,29 @@ def kg_hops_used(spark: SparkSession, d: str) -> DataFrame:
     return P.hops_used(best).join(P.visited(seeds(spark, SEEDS[:2]), best), "qid").select("qid", "hops_used", F.size("visited").alias("n_visited"))
 
 
+@query
+def kg_penalised_paths(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph_edges(spark, d)
+    found = P.penalised(P.co_participants(seeds(spark, SEEDS[:2]), P.steps_of(edges)), G.nodes_of(edges))
+    return _ranked(P.best_by_target(found), 10).drop("rank")
+
+
+@query
+def kg_skipped_hubs(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph_edges(spark, d)
+    kept, passed = P.without_hubs(P.co_participants(seeds(spark, SEEDS[:2]), P.steps_of(edges)), G.nodes_of(edges), 40)
+    left = kept.groupBy("qid").agg(F.count("*").alias("kept"))
+    return passed.join(left, "qid", "left").select("qid", "id", "degree", "paths", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
+@query
+def kg_context_sources(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph_edges(spark, d)
+    steps = P.steps_of(edges)
+    asked = seeds(spark).withColumn("relation", F.lit("FOUNDED")).withColumn("wanted", F.lit(None).cast("string"))
+    return P.context_sources(P.context(P.one_hop(asked, steps), seeds(spark), steps, 20), edges).select("qid", joined("sources").alias("sources"))
+
+
 @query
 def kg_bfs(spark: SparkSession, d: str) -> DataFrame:
     start = rows(spark, ["C1", "C2"], "seed string")
@@ -313,6 +336,13 @@ def qa_context(spark: SparkSession, d: str) -> DataFrame:
     return ask(questions(spark), sample_edges(spark), aliases(spark)).context
 
 
+@query
+def qa_run_records(spark: SparkSession, d: str) -> DataFrame:
+    edges = sample_edges(spark)
+    got = ask(questions(spark), edges, aliases(spark))
+    return run_records(questions(spark), got, edges).select("qid", "route", "refused", "deepened", "hops_used", joined("visited_nodes").alias("visited_nodes"), joined("sources").alias("sources"), F.size("context_triples").alias("n_triples"))
+
+
 # --- texts
 
 
@@ -530,6 +560,23 @@ def funnel_selected(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("title", "reason")
 
 
+@query
+def funnel_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return C.pruned_corpus(pages(spark).withColumn("raw_chars", F.length("title") * 300)).select("title", "reason")
+
+
+@query
+def funnel_expanded(spark: SparkSession, d: str) -> DataFrame:
+    """Supported targets from few users, and from more of them as they are too few."""
+    links = _links(spark, d)
+
+    def choose(users: DataFrame) -> DataFrame:
+        return C.link_support(links.join(users, "seed", "left_semi")).withColumn("reason", F.when(F.col("support") < 3, "few_links"))
+
+    chosen, again = C.with_expansion(choose, rows(spark, [0, 1, 2], "seed long"), rows(spark, [2, 3, 4, 5, 6, 7], "seed long"), 1_000_000)
+    return chosen.select("target", "support", "reason", F.lit(again).alias("expanded"))
+
+
 @query
 def reject_histogram(spark: SparkSession, d: str) -> DataFrame:
     return C.reason_histogram(_judged(spark, d))
