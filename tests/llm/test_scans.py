@@ -122,6 +122,20 @@ def test_disclosing_terms(spark):
     assert got[43] in ("nothing but  here", "nothing but <NAME> here")
 
 
+def test_overlapping_spans_leave_nothing(spark):
+    text = "call +1 4111111111111 1111 1111 1111 1111 now"
+    rows = spark.createDataFrame([(1, text)], SCHEMA)
+    whole = pii.text_of("text")
+    found = rows.select(pii.ordered(pii.base_spans(whole)).alias("s"), pii.replaced(whole, pii.merged(pii.base_spans(whole)), lambda s: pii.F.lit("<X>")).alias("clean")).first()
+    covered = {i for s in found.s for i in range(s.start, s.end)}
+    assert found.clean.replace("<X>", "") == "".join(c for i, c in enumerate(text) if i not in covered)
+    mixed_texts = [mixed(i, PARTS, 40) for i in range(80)]
+    rows = spark.createDataFrame(list(enumerate(mixed_texts)), SCHEMA)
+    for r in rows.select("text", pii.base_spans(whole).alias("s"), pii.replaced(whole, pii.merged(pii.base_spans(whole)), lambda s: pii.F.lit("\u0001")).alias("clean")).collect():
+        covered = {i for s in r.s for i in range(s.start, s.end)}
+        assert r.clean.replace("\u0001", "") == "".join(c for i, c in enumerate(r.text) if i not in covered)
+
+
 def test_term_counts_match_brute_force(spark):
     r = random.Random(3)
     texts = [" ".join([*r.choices(["red", "blue", "green", "quark", "lepton", "Boson"], k=8), *(["b@c.example"] if r.random() < 0.3 else [])]) for _ in range(60)]

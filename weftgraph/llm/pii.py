@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import DOCUMENT_COLUMNS, materialize, table, text_of
-from .spans import count_of, disjoint, merged, no_spans, ordered, rendered, replaced, spans
+from .spans import count_of, merged, no_spans, ordered, rendered, replaced, spans
 
 REMOVE_BITS = 0.5
 GENERALISE_BITS = 1.5
@@ -152,7 +152,8 @@ def _label(s: Column, text: Column) -> Column:
 def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with its texts sanitised: base spans labelled, disclosing terms removed or put by their class."""
     rows = with_spans(df, key, text)
-    found = disjoint(ordered(F.col("base_spans"), F.col("term_spans")))
+    # Overlapping spans are replaced as one, so that nothing of the later one is left.
+    found = merged(ordered(F.col("base_spans"), F.col("term_spans")))
     clean = replaced(F.col(text), found, lambda s: _label(s, F.col(text)))
     touched = (F.size("base_spans") > 0) | (F.size("term_spans") > 0)
     return rows.withColumn(text, F.when(touched, clean).otherwise(F.col(text))).drop("base_spans", "term_spans")

@@ -59,16 +59,6 @@ def count_of(found: Column, kind: str) -> Column:
     return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
 
 
-def disjoint(found: Column) -> Column:
-    """Of sorted spans, those that start at or after the end of the last one kept."""
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("kept"))
-    return F.aggregate(
-        found, start,
-        lambda state, s: F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), F.concat(state["kept"], F.array(s)).alias("kept"))).otherwise(state),
-        lambda s: s["kept"],
-    )
-
-
 def merged(found: Column) -> Column:
     """Sorted spans with overlapping ones joined under the first's kind."""
 
