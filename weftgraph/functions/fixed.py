@@ -159,3 +159,58 @@ TYPE_KEYWORDS = (['Event', ['사건', '전투', '의거', '대첩', '운동', '
 CO_PARTICIPANT = "(함께|같이|동참|동료|같은).*(참전|참여|있던|활동|거사|사건|전투|운동)"
 
 CO_PARTICIPANT_REVERSED = "(참전|참여|있던|활동|거사|사건|전투|운동).*(함께|같이|동참|동료)"
+
+FOUNDED_STEMS = "세운|설립|창설|창립|만든|조직한|세웠|창건"
+
+CHAINED_QUESTION = r"(참여|세운|창설|설립|속한).*(인물|단체|조직|사건).*(세운|참여|일으킨|창설)"
+
+BATTLE_QUESTION = "전투|참전"
+
+BATTLE_NAME = "전투|대첩"
+
+BATTLE_WORD = "전투"
+
+NAME_PARTICLES = "은|는|이|가|을|를|의|와|과|에서|에게|에|도|으로|로|등"
+
+LISTED_SUBJECT = r"^(?:을|를)\s*(?:위시|비롯|중심|포함)"
+
+OBJECT_PARTICLE = "^(?:을|를)"
+
+LOCATIVE = "^(?:에서|에|을|를|의|으로|로)"
+
+CATEGORY_EVIDENCE = ("분류: ", " (문서 '", "' 의 위키 분류 행)")
+
+# Texts of answers
+REFUSAL = "제시된 지식 그래프 자료에서 해당 질문에 대한 근거를 찾을 수 없습니다."
+
+NO_PATH = "(근거 경로를 찾을 수 없어 거절되었습니다)"
+
+NO_SOURCE = "(없음)"
+
+BLOCKS = ("[답변 요약]", "[탐색 및 추론 경로]", "[근거 출처]")
+
+SEARCHED = "지식 그래프 탐색 결과, "
+
+CO_EVENT = ("과(와) 함께 참전한 인물이 세운 조직이 참여한 사건/전투 ", "건, 신뢰도 및 경로 점수 기준 순위)은 다음과 같습니다:")
+
+CO_ORGANIZATION = ("과(와) 함께한 인물이 세운 조직/단체 ", "건, 신뢰도 및 경로 점수 기준 순위)은 다음과 같습니다:")
+
+ONE_STEP = ("이(가) ", "참여한 사건", "설립한 조직", "건, 신뢰도 순):")
+
+PERSONS = (" 관련 인물", "건, 신뢰도 순):")
+
+CHAIN = ("에서 시작하여 연쇄 관계를 거쳐 도출된 ", "조직", "사건", "건, 차수 감점 및 신뢰도 기준 순위)은 다음과 같습니다:")
+
+UPPER = "(상위 "
+
+GROUNDS = " (근거: "
+
+CITED = ") | 출처: "
+
+GRAPH_SOURCE = "지식 그래프"
+
+REVERSED_STEP = " (역방향)"
+
+QUOTED = "관련 문서 내용 발췌:\n"
+
+NOTHING_FOUND = "검색된 관련 문서가 없습니다."

@@ -122,7 +122,7 @@ def co_participant(question: Column) -> Column:
 
 
 def target_relation(question: Column) -> Column:
-    return F.when(question.rlike("세운|설립|창설|창립|만든|조직한|세웠|창건"), "FOUNDED").otherwise("PARTICIPATED_IN")
+    return F.when(question.rlike(fixed.FOUNDED_STEMS), "FOUNDED").otherwise("PARTICIPATED_IN")
 
 
 def _any_of(question: Column, keywords: tuple[str, ...]) -> Column:
@@ -131,7 +131,7 @@ def _any_of(question: Column, keywords: tuple[str, ...]) -> Column:
 
 def route(question: Column) -> Column:
     """path if anything asks for a path, else local."""
-    chained = question.rlike(r"(참여|세운|창설|설립|속한).*(인물|단체|조직|사건).*(세운|참여|일으킨|창설)")
+    chained = question.rlike(fixed.CHAINED_QUESTION)
     path = _any_of(question, fixed.PATH_KEYWORDS) | chained
     return F.when(path, "path").otherwise("local")
 

@@ -79,7 +79,7 @@ def without_particle(word: Column) -> Column:
 
 def without_name_particle(word: Column) -> Column:
     """A name without its particle, if two characters or more are left; the shortest such stem."""
-    stem = F.regexp_extract(stripped(word), r"^(.*?)(?:은|는|이|가|을|를|의|와|과|에서|에게|에|도|으로|로|등)$", 1)
+    stem = F.regexp_extract(stripped(word), rf"^(.*?)(?:{fixed.NAME_PARTICLES})$", 1)
     return F.when(F.length(stem) >= 2, stem).otherwise(stripped(word))
 
 

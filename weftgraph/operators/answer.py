@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from .paths import numbered, rendered, top
 
-REFUSAL = "제시된 지식 그래프 자료에서 해당 질문에 대한 근거를 찾을 수 없습니다."
-NO_PATH = "(근거 경로를 찾을 수 없어 거절되었습니다)"
-
 
 def supporting(best: DataFrame, most: int = 5) -> DataFrame:
     """The triples of the top paths of each question, once each, with their sources joined in order."""
@@ -23,15 +21,18 @@ def supporting(best: DataFrame, most: int = 5) -> DataFrame:
 
 
 def _summary(seeds: Column, lines: Column, n: Column) -> Column:
-    shown = F.concat(F.lit("(상위 "), n.cast("string"))
-    listed = F.concat(F.lit("\n"), lines)
-    first = F.get("best_path", 0)["relation"]
+    """The heading for the kind of question, with the number of candidates, and a line for each."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("\n"), lines)
+    shown = F.concat(F.lit(fixed.UPPER), n.cast("string"))
+    one, chain = fixed.ONE_STEP, fixed.CHAIN
+    taken = F.when(F.get("best_path", 0)["relation"] == "PARTICIPATED_IN", one[1]).otherwise(one[2])
+    reached = F.when(F.col("relation") == "FOUNDED", chain[1]).otherwise(chain[2])
     return (
-        F.when(F.col("co") & (F.col("wanted") == "Event"), F.concat(F.lit("지식 그래프 탐색 결과, "), seeds, F.lit("과(와) 함께 참전한 인물이 세운 조직이 참여한 사건/전투 "), shown, F.lit("건, 신뢰도 및 경로 점수 기준 순위)은 다음과 같습니다:"), listed))
-        .when(F.col("co"), F.concat(F.lit("지식 그래프 탐색 결과, "), seeds, F.lit("과(와) 함께한 인물이 세운 조직/단체 "), shown, F.lit("건, 신뢰도 및 경로 점수 기준 순위)은 다음과 같습니다:"), listed))
-        .when(F.size("best_path") == 1, F.concat(seeds, F.lit("이(가) "), F.when(first == "PARTICIPATED_IN", "참여한 사건").otherwise("설립한 조직"), shown, F.lit("건, 신뢰도 순):"), listed))
-        .when(F.col("wanted") == "Person", F.concat(F.lit("지식 그래프 탐색 결과, "), seeds, F.lit(" 관련 인물"), shown, F.lit("건, 신뢰도 순):"), listed))
-        .otherwise(F.concat(F.lit("지식 그래프 탐색 결과, "), seeds, F.lit("에서 시작하여 연쇄 관계를 거쳐 도출된 "), F.when(F.col("relation") == "FOUNDED", "조직").otherwise("사건"), F.lit(" "), shown, F.lit("건, 차수 감점 및 신뢰도 기준 순위)은 다음과 같습니다:"), listed))
+        F.when(F.col("co") & (F.col("wanted") == "Event"), text(fixed.SEARCHED, seeds, fixed.CO_EVENT[0], shown, fixed.CO_EVENT[1]))
+        .when(F.col("co"), text(fixed.SEARCHED, seeds, fixed.CO_ORGANIZATION[0], shown, fixed.CO_ORGANIZATION[1]))
+        .when(F.size("best_path") == 1, text(seeds, one[0], taken, shown, one[3]))
+        .when(F.col("wanted") == "Person", text(fixed.SEARCHED, seeds, fixed.PERSONS[0], shown, fixed.PERSONS[1]))
+        .otherwise(text(fixed.SEARCHED, seeds, chain[0], reached, " ", shown, chain[3]))
     )
 
 
@@ -42,20 +43,20 @@ def composed(questions: DataFrame, found: DataFrame, best: DataFrame, gaps: Data
     """
     ranked = top(best, most)
     lines = ranked.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "at", F.lit(" (근거: "), rendered(F.col("path")), F.lit(")")).alias("line")))).alias("lines"),
+        F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "at", F.lit(fixed.GROUNDS), rendered(F.col("path")), F.lit(")")).alias("line")))).alias("lines"),
         F.min_by("path", "rank").alias("best_path"), F.count("*").alias("n"),
     )
     named = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"]).alias("seeds"))
-    source = F.concat(F.lit("- ("), "head", F.lit(", "), "relation", F.lit(", "), "tail", F.lit(") | 출처: "), F.when(F.size("sources") > 0, F.array_join("sources", ", ")).otherwise("지식 그래프"), F.lit(" (origin: "), "origin", F.lit(", confidence: "), F.col("confidence").cast("string"), F.lit(")"))
+    source = F.concat(F.lit("- ("), "head", F.lit(", "), "relation", F.lit(", "), "tail", F.lit(fixed.CITED), F.when(F.size("sources") > 0, F.array_join("sources", ", ")).otherwise(fixed.GRAPH_SOURCE), F.lit(" (origin: "), "origin", F.lit(", confidence: "), F.col("confidence").cast("string"), F.lit(")"))
     sources = supporting(best, most).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "hop", source.alias("line")))).alias("cited"))
     rows = questions.join(named, "qid", "left").join(lines, "qid", "left").join(sources, "qid", "left").join(gaps.select("qid", F.lit(True).alias("gap")).distinct(), "qid", "left")
     refused = F.col("best_path").isNull() | F.col("seeds").isNull() | F.coalesce("gap", F.lit(False))
     texts = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
-    answer = F.concat(F.lit("[답변 요약]\n"), _summary(F.array_join("seeds", ", "), texts("lines"), F.col("n")), F.lit("\n\n[탐색 및 추론 경로]\n"), numbered(F.col("best_path")), F.lit("\n\n[근거 출처]\n"), texts("cited"))
-    refusal = F.lit(f"[답변 요약]\n{REFUSAL}\n\n[탐색 및 추론 경로]\n{NO_PATH}\n\n[근거 출처]\n(없음)")
+    answer = F.concat(F.lit(f"{fixed.BLOCKS[0]}\n"), _summary(F.array_join("seeds", ", "), texts("lines"), F.col("n")), F.lit(f"\n\n{fixed.BLOCKS[1]}\n"), numbered(F.col("best_path")), F.lit(f"\n\n{fixed.BLOCKS[2]}\n"), texts("cited"))
+    refusal = F.lit(f"{fixed.BLOCKS[0]}\n{fixed.REFUSAL}\n\n{fixed.BLOCKS[1]}\n{fixed.NO_PATH}\n\n{fixed.BLOCKS[2]}\n{fixed.NO_SOURCE}")
     return rows.select(
         "qid", "question", refused.alias("refused"), F.when(refused, refusal).otherwise(answer).alias("answer"),
-        F.when(refused, NO_PATH).otherwise(rendered(F.col("best_path"))).alias("path_explanation"),
+        F.when(refused, fixed.NO_PATH).otherwise(rendered(F.col("best_path"))).alias("path_explanation"),
         F.when(~refused, F.col("best_path")).alias("traversed_path"), F.coalesce("seeds", F.array().cast("array<string>")).alias("seeds"),
     )
 

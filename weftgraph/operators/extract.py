@@ -35,8 +35,8 @@ def _rest(m: Column) -> Column:
 
 def subject_like(m: Column) -> Column:
     rest = _rest(m)
-    listed = rest.rlike(r"^(?:을|를)\s*(?:위시|비롯|중심|포함)")
-    return ~rest.rlike(fixed.NOT_SUBJECT) & (listed | (~rest.rlike("^(?:을|를)") & rest.rlike(fixed.SUBJECT_MARK)))
+    listed = rest.rlike(fixed.LISTED_SUBJECT)
+    return ~rest.rlike(fixed.NOT_SUBJECT) & (listed | (~rest.rlike(fixed.OBJECT_PARTICLE) & rest.rlike(fixed.SUBJECT_MARK)))
 
 
 def object_like(m: Column) -> Column:
@@ -49,7 +49,7 @@ def not_oblique(m: Column) -> Column:
 
 
 def locative(m: Column) -> Column:
-    return F.substring(F.col("sentence"), m["end"] + 1, F.lit(2)).rlike("^(?:에서|에|을|를|의|으로|로)")
+    return F.substring(F.col("sentence"), m["end"] + 1, F.lit(2)).rlike(fixed.LOCATIVE)
 
 
 def within(verbs: str, m: Column, most: int) -> Column:
@@ -114,7 +114,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 def category_candidates(documents: DataFrame, events: DataFrame) -> DataFrame:
     """Candidates of person and organization documents (title, doc_type, categories) whose category is the name of an event."""
     each = documents.filter(F.col("doc_type").isin(P, O)).select("title", "doc_type", F.posexplode("categories").alias("ord", "category")).withColumn("name", abbreviated(normalized(F.col("category"))))
-    quote = F.concat(F.lit("분류: "), "category", F.lit(" (문서 '"), "title", F.lit("' 의 위키 분류 행)"))
+    quote = F.concat(F.lit(fixed.CATEGORY_EVIDENCE[0]), "category", F.lit(fixed.CATEGORY_EVIDENCE[1]), "title", F.lit(fixed.CATEGORY_EVIDENCE[2]))
     return each.join(events.select(F.col("id").alias("name")).distinct(), "name").select(
         F.col("title").alias("head"), F.col("doc_type").alias("head_type"), F.lit("PARTICIPATED_IN").alias("relation"), F.col("name").alias("tail"), F.lit(E).alias("tail_type"),
         F.lit(0.90).alias("confidence"), F.lit("rule_cat_participated_v6").alias("extractor"), F.lit("rule").alias("origin"), F.col("title").alias("source"), "ord", quote.alias("evidence"),

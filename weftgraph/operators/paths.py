@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.rules import edge_weight
 from .graph import HUB_DEGREE, adjacency, degree_penalty
 
@@ -167,7 +168,7 @@ def rendered(path: Column) -> Column:
 
 def numbered(path: Column) -> Column:
     """One line for each step, reverse ones marked."""
-    line = lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), rendered(F.array(s)), F.when(s["direction"] == "reverse", " (역방향)").otherwise(""))
+    line = lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), rendered(F.array(s)), F.when(s["direction"] == "reverse", fixed.REVERSED_STEP).otherwise(""))
     return F.array_join(F.transform(path, line), "\n")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import char_grams, chunks, excerpt, quotable, without_particle, words
 
 
@@ -61,5 +62,5 @@ def answered(questions: DataFrame, hits: DataFrame, quotes: DataFrame) -> DataFr
     lines = quotes.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     sources = hits.groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"])).alias("sources"))
     rows = questions.join(sources, "qid", "left").join(lines, "qid", "left")
-    answer = F.when(F.col("sources").isNull(), "검색된 관련 문서가 없습니다.").otherwise(F.concat(F.lit("관련 문서 내용 발췌:\n"), F.coalesce("lines", F.lit(""))))
+    answer = F.when(F.col("sources").isNull(), fixed.NOTHING_FOUND).otherwise(F.concat(F.lit(fixed.QUOTED), F.coalesce("lines", F.lit(""))))
     return rows.select("qid", "question", answer.alias("answer"), "sources")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import answer as A
 from ..operators import linking as L
 from ..operators import paths as P
@@ -34,15 +35,15 @@ def ask(questions: DataFrame, edges: DataFrame, aliases: DataFrame, max_triples:
     rows = rows.join(persons, "qid")
     starts = rows.filter("co and (persons = 0 or type = 'Person')")
     events = rows.filter("co and type = 'Event'").select("qid", F.col("node").alias("event"))
-    battle = F.col("question").rlike("전투|참전")
+    battle = F.col("question").rlike(fixed.BATTLE_QUESTION)
     to_organization = P.co_participants(starts.filter("wanted = 'Organization'"), steps, events)
     to_event = P.co_participants(starts.filter("wanted = 'Event'"), steps, events, to_event=True)
     ends = rows.select("qid", "question").distinct()
-    to_event = to_event.join(ends, "qid").filter(~F.col("question").contains("전투") | F.col("at").rlike("전투|대첩")).drop("question")
+    to_event = to_event.join(ends, "qid").filter(~F.col("question").contains(fixed.BATTLE_WORD) | F.col("at").rlike(fixed.BATTLE_NAME)).drop("question")
     common = P.intersected(rows.filter("not co and wanted = 'Person' and n >= 2"), steps)
     near = P.one_hop(rows.filter("not co and not (coalesce(wanted, '') = 'Person' and n >= 2)").select("qid", "node", "relation", "wanted"), steps)
     paths = to_organization.unionByName(to_event)
-    bonus = F.when(battle & F.get("nodes", 1).rlike("전투|대첩"), 1.5).otherwise(1.0)
+    bonus = F.when(battle & F.get("nodes", 1).rlike(fixed.BATTLE_NAME), 1.5).otherwise(1.0)
     paths = paths.join(ends, "qid").withColumn("score", F.col("score") * bonus).drop("question").unionByName(common).unionByName(near)
     if reverse:
         singles = rows.filter("not co and n = 1")
