@@ -48,26 +48,22 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed,lot", [(1, 1 << 24), (2, 3000), (3, 400)])
-def test_against_brute_force(spark, seed, lot, monkeypatch):
+def test_against_brute_force(spark, seed, lot):
     docs = corpus(seed)
-    run = dedup._lots
-    # The size of a lot goes with the function, so that small lots are tried too.
-    def small(buckets):
-        inner = run(buckets)
-
-        def go(batches):
-            dedup.LOT_BYTES, dedup.CHUNK_BYTES, before = lot, lot // 2, (dedup.LOT_BYTES, dedup.CHUNK_BYTES)
-            yield from inner(batches)
-            dedup.LOT_BYTES, dedup.CHUNK_BYTES = before
-
-        return go
-
-    monkeypatch.setattr(dedup, "_lots", small)
     rows = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((tuple(r) for r in dedup.remove_repeats(rows).collect()), key=str)
+    got = sorted((tuple(r) for r in dedup.remove_repeats(rows, lot_bytes=lot, bucket_bytes=lot).collect()), key=str)
     assert got == brute([(i, (t or "").encode()) for i, t in docs])
 
 
+def test_parse_does_not_depend_on_chunks(monkeypatch):
+    texts = [(t or "").encode() for _, t in corpus(4)]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    whole = [np.concatenate(x) for x in zip(*dedup.parse(data, ends))]
+    monkeypatch.setattr(dedup, "CHUNK_BYTES", 700)
+    parts = [np.concatenate(x) for x in zip(*dedup.parse(data, ends))]
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
 def test_many_windows_of_one_trigger(monkeypatch):
     monkeypatch.setattr(dedup, "SORT_WINDOWS", 64)
     r = np.random.default_rng(1)

@@ -138,7 +138,7 @@ def _large(planes: np.ndarray) -> np.ndarray:
     return steps.view("<u8").reshape(-1).cumsum(dtype=np.uint64)
 
 
-def _lots(buckets: int):
+def _lots(buckets: int, lot_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 24
@@ -179,7 +179,7 @@ def _lots(buckets: int):
                 ids.append(_NO_ID if key is None else key)
                 texts.append(text or b"")
                 held += len(texts[-1]) + 64
-                if held >= LOT_BYTES:
+                if held >= lot_bytes:
                     yield from close()
                     held = 0
         yield from close()
@@ -403,12 +403,16 @@ def _cut_texts(with_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, the kept bytes."""
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, lot_bytes: int = LOT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and, if asked for, the kept bytes.
+
+    A lot sends a row to each bucket that it has triggers for, so rows stay long while lots and buckets grow together:
+    for a corpus of many terabytes give both as much as an executor's Python memory allows.
+    """
     spark = df.sparkSession
     total = df.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    made = df.select(F.col(key).cast("long"), text).mapInArrow(_lots(buckets), _ROWS).withColumn("keys", (F.col("bucket") >= 0).cast("int"))
+    buckets = max(shuffle_partitions(spark), -(-total // bucket_bytes))
+    made = df.select(F.col(key).cast("long"), text).mapInArrow(_lots(buckets, lot_bytes), _ROWS).withColumn("keys", (F.col("bucket") >= 0).cast("int"))
     lots, drop = materialize_by(made, "lots", "keys", "none")
     store = lots.filter("keys = 0").drop("keys")
     shared = lots.filter("keys = 1").drop("keys").groupBy("bucket").applyInArrow(_shared_triggers, _ROWS)
