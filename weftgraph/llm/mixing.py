@@ -184,7 +184,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as many times as the mix takes it."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     _, units = mix(docs)
-    units = units.filter("copies > 0").withColumnRenamed("source", "unit_source")
+    # Units grow with the documents, so they are never broadcast: the plan of a large corpus at every size.
+    units = units.filter("copies > 0").withColumnRenamed("source", "unit_source").hint("merge")
     joined = docs.alias("d").join(units.alias("u"), F.col("d.doc_id").eqNullSafe(F.col("u.uid")) & F.col("d.source").eqNullSafe(F.col("u.unit_source")))
     columns = [F.col(f"d.{c}").alias(c) for c in DOCUMENT_COLUMNS]
     return joined.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("again")).drop("again")
