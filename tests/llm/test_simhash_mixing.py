@@ -144,6 +144,41 @@ def test_similar_documents(spark):
     assert len(set(got.values())) >= 400
 
 
+def test_similar_documents_by_shingles(spark):
+    """Nearly every pair at 0.8 or more is linked, and none below."""
+    r = random.Random(21)
+    texts, pairs = [], []
+    for _ in range(600):
+        n = r.randint(60, 600)
+        base = [f"w{r.randint(0, 5000)}" for _ in range(n)]
+        copy = edited(r, base, r.randint(max(1, n // 60), max(2, n // 16)))
+        pairs.append((len(texts), len(texts) + 1, jaccard(base, copy)))
+        texts += [" ".join(base), " ".join(copy)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    near = [got[a] == got[b] for a, b, j in pairs if j >= 0.8]
+    far = [got[a] == got[b] for a, b, j in pairs if j < 0.8]
+    assert len(near) > 100 and np.mean(near) > 0.99
+    assert len(far) > 150 and not any(far)
+
+
+@pytest.mark.parametrize("block", [4096, 12])
+def test_family_of_variants(spark, block, monkeypatch):
+    """Variants of one text that share buckets get the components of the similarity, whatever the forest held first."""
+    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.NARROW, block))
+    r = random.Random(31)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+    texts = [edited(r, base, r.randint(1, 9)) for _ in range(60)]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == dict(enumerate(top))
+    assert 1 < len(set(top)) < 60
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 9, 100])
 def test_group_keys(n):
     hashes = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)

@@ -10,8 +10,9 @@ equal. ``candidate_keys`` therefore gives each fingerprint 5 x 6 exact keys of a
 bits, and every pair within four bits shares one. Pairs with a common key pass the whole chain
 check and then the Hamming check.
 
-``similar_documents`` links at a similarity of 0.8 instead, with 256 bits of which 42 may differ. Its candidates
-share a group of shingles, which finds nearly all such pairs (measured in the tests), not provably each.
+``similar_documents`` links at a similarity of 0.8 instead. Its candidates share a group of shingles, which finds nearly
+all such pairs (measured in the tests), not provably each, and differ in at most 60 of 256 bits. The sets of shingles
+settle them: first the forests of the buckets, then all candidate pairs that these leave in different components.
 
 Links leave a bucket as a spanning forest, never as pairs. A bucket of more than
 BLOCK_ROWS different fingerprints is not compared in one task: it is cut into blocks and
@@ -47,17 +48,24 @@ _CHUNK = 1 << 14
 
 @dataclass(frozen=True)
 class Budget:
-    """How many bits two fingerprints may differ in, and the segments of the ring, as places in their 64-bit words."""
+    """How many bits two fingerprints may differ in, and the segments of the ring, as places in their 64-bit words.
+
+    With apart, a last word names a class: all pairs of different classes are wanted, not a forest.
+    """
 
     max_bits: int
     words: int
     segments: tuple[tuple[int, int, int], ...]
+    apart: bool = False
 
 
 #: 64 bits, four of them: every pair shares a key of ``candidate_keys``.
 NARROW = Budget(4, 1, tuple((0, s, w) for s, w in SEGMENTS))
-#: 256 bits for a similarity of 0.8: the shares of common shingles J and of differing bits p are tied by cos(pi p) = 2 J / (1 + J).
-WIDE = Budget(42, 4, tuple((i // 2, i % 2 * 32, 32) for i in range(8)))
+#: 256 bits before the check of the shingles: the shares of common shingles J and of differing bits p are tied by cos(pi p) = 2 J / (1 + J).
+#: At a similarity of 0.8 the mean is 39 bits and the deviation 5.7, so 60 bits lose about one such pair in 10,000.
+WIDE = Budget(60, 4, tuple((i // 2, i % 2 * 32, 32) for i in range(8)))
+APART = Budget(WIDE.max_bits, WIDE.words + 1, WIDE.segments, True)
+SIMILAR = 0.8
 GROUPS = 12
 _MIX = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -125,15 +133,20 @@ def group_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
-    """A SimHash of WIDE's words over the distinct shingles of a text, and its group keys."""
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of a text."""
     parts = list(shingle_hashes(data, shingle))
-    shingles = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, int, np.ndarray]:
+    """A SimHash of WIDE's words over the distinct shingles of a text, a digest of their set, and its group keys."""
+    shingles = shingle_set(data, shingle)
     ones = np.zeros((WIDE.words, 64), np.int64)
     for low in range(0, len(shingles), _CHUNK):
         for k in range(WIDE.words):
             ones[k] += _ones(_remixed(shingles[low : low + _CHUNK], _MIX[k]))
-    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").tobytes(), group_keys(shingles)
+    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").tobytes(), xxhash.xxh64_intdigest(shingles.tobytes()) >> 1, group_keys(shingles)
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -148,14 +161,26 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 
 def wide_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(key, fp, keys) for whole texts, fp as bytes. One pass, no shuffle."""
+    """(key, fp, digest, keys) for whole texts, fp as bytes. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [wide_fingerprint(x or b"", shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([k.tolist() for _, k in found], pa.list_(pa.int64()))], [key, "fp", "keys"])
+            columns = [pa.array([f for f, *_ in found], pa.binary()), pa.array([d for _, d, _ in found], pa.int64()), pa.array([k.tolist() for *_, k in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "fp", "digest", "keys"])
+
+    return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key]]).add("fp", "binary").add("digest", "long").add("keys", T.ArrayType(T.LongType())))
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(id, shingles): the hashes of the distinct shingles of each text."""
 
-    return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key]]).add("fp", "binary").add("keys", T.ArrayType(T.LongType())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x or b"", shingle).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return df.select(key, text).mapInArrow(run, "id long, shingles array<long>")
 
 
 def _bits(value: Column, start: int, width: int) -> Column:
@@ -195,7 +220,12 @@ def chained(difference: np.ndarray, budget: Budget) -> np.ndarray:
 def linked(a: np.ndarray, b: np.ndarray, budget: Budget = NARROW) -> np.ndarray:
     """Indices of the pairs (rows of words) that pass the chains and then the full check."""
     difference = a ^ b
+    if budget.apart:
+        other = np.flatnonzero(difference[:, -1])
+        difference = difference[other, :-1]
     chosen = np.flatnonzero(chained(difference, budget))
+    if budget.apart:
+        return other[chosen[np.bitwise_count(difference[chosen]).sum(axis=1) <= budget.max_bits]]
     return chosen[np.bitwise_count(difference[chosen]).sum(axis=1) <= budget.max_bits]
 
 
@@ -245,8 +275,12 @@ def _star_edges(ids: np.ndarray, u: list[np.ndarray], v: list[np.ndarray]) -> tu
     return ids[keep], least[keep]
 
 
+def _all_edges(ids: np.ndarray, u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return (ids[np.concatenate(u)], ids[np.concatenate(v)]) if u else (ids[:0], ids[:0])
+
+
 def _within(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges inside runs of equal keys."""
+    """Star edges inside runs of equal keys; all links if the budget is apart."""
     u: list[np.ndarray] = []
     v: list[np.ndarray] = []
     held, step = 0, 1
@@ -258,12 +292,12 @@ def _within(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: Budge
             u.append(hit)
             v.append(hit + step)
             held += len(hit)
-        if held > 1 << 22:
+        if held > 1 << 22 and not budget.apart:
             root = roots(len(keys), np.concatenate(u), np.concatenate(v))
             u, v, held = [np.arange(len(keys))], [root], len(keys)
         step += 1
         left = left[left + step < len(keys)]
-    return _star_edges(ids, u, v)
+    return _all_edges(ids, u, v) if budget.apart else _star_edges(ids, u, v)
 
 
 def _bucket_links(budget: Budget, block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -332,17 +366,17 @@ def _block_links(budget: Budget) -> Callable[[pa.Table], pa.Table]:
             u.append(np.full(len(hit), x))
             v.append(hit)
             held += len(hit)
-            if held > 1 << 22:
+            if held > 1 << 22 and not budget.apart:
                 root = roots(len(ids), np.concatenate(u), np.concatenate(v))
                 u, v, held = [np.arange(len(ids))], [root], len(ids)
-        a, b = _star_edges(ids, u, v)
+        a, b = _all_edges(ids, u, v) if budget.apart else _star_edges(ids, u, v)
         return pa.table({"a": a, "b": b})
 
     return run
 
 
 def links(prints: DataFrame, budget: Budget = NARROW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) edges among the reps of distinct fingerprints (fp, rep, keys): a forest of each bucket."""
+    """(a, b) edges among the reps of distinct fingerprints (fp, rep, keys): a forest of each bucket, or all pairs if the budget is apart."""
     kind = dict(prints.dtypes)["fp"]
     keyed = prints.select(F.explode("keys").alias("bucket"), "fp", "rep")
     found = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(budget, block_rows), f"a long, b long, bucket long, block int, fp {kind}")
@@ -382,28 +416,50 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def _classes(own: DataFrame, prints: DataFrame, key: str, budget: Budget) -> DataFrame:
-    found = components(links(prints.filter("rep is not null"), budget))
-    named = prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.select(key, "fp").join(named, "fp").select(key, "fp", "component_id")
+def _classes(own: DataFrame, prints: DataFrame, key: str, found: DataFrame, *same: str) -> DataFrame:
+    """(key, fp, component_id) from the components of the reps; rows that agree in same share a rep."""
+    named = prints.join(found, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    return own.select(key, *same).join(named, [*same]).select(key, "fp", "component_id")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (id, shingles) have this Jaccard similarity at least; two empty sets are alike."""
+    once = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Sizes alone exclude some pairs before any set is moved for them.
+    sizes = sets.select("id", F.size("shingles").alias("n"))
+    sized = once.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").filter(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
+    both = sized.join(sets.toDF("a", "own"), "a").join(sets.toDF("b", "other"), "b")
+    common = both.select("a", "b", F.size("own").alias("n"), F.size("other").alias("m"), F.size(F.array_intersect("own", "other")).alias("common"))
+    return common.filter(F.col("common") >= least * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(key, fp, component_id): documents linked by 64-bit fingerprints within four bits, each component named by its smallest key. Exact."""
     own = materialize(fingerprints(df, key, text, shingle), "fingerprints")
     prints = materialize(own.groupBy("fp").agg(F.min(key).alias("rep")), "prints").withColumn("keys", candidate_keys(F.col("fp")))
-    return _classes(own, prints, key, NARROW)
+    return _classes(own, prints, key, components(links(prints.filter("rep is not null"))), "fp")
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(key, fp, component_id): documents linked by 256-bit fingerprints within WIDE's budget, a similarity of about 0.8 or more.
+    """(key, fp, component_id): documents linked by a Jaccard similarity of their distinct shingles of 0.8 or more.
 
-    A sixth of the bits may differ, where keys of equal segments would no longer tell documents apart. Candidates
-    share the key of a shingle group instead; what is compared then passes the same chains and the same full check.
+    At 0.8 a sixth of the bits of a SimHash differ, where keys of equal segments would no longer tell documents apart.
+    Candidates share the key of a shingle group instead and pass the chains and the bits of WIDE; their sets of shingles
+    decide. A dense bucket is mostly settled by its forest, so the second look is at few pairs. Equal sets are merged first.
     """
     own = materialize(wide_fingerprints(df, key, text, shingle), "fingerprints")
-    prints = materialize(own.groupBy("fp").agg(F.min(key).alias("rep"), F.min_by("keys", F.struct(F.col(key).isNull(), key, "keys")).alias("keys")), "prints")
-    return _classes(own, prints, key, WIDE)
+    prints = materialize(own.groupBy("fp", "digest").agg(F.min(key).alias("rep"), F.min_by("keys", F.struct(F.col(key).isNull(), key, "keys")).alias("keys")), "prints")
+    named = prints.filter("rep is not null")
+    forest = materialize(links(named, WIDE), "forest")
+    asked = forest.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = materialize(shingle_sets(df.select(key, text).join(asked, key, "left_semi"), key, text, shingle).distinct(), "shingles")
+    sure = materialize(confirmed(forest, sets), "sure")
+    classes = materialize(components(sure), "classes")
+    # Only documents of the forest have candidates at all.
+    left = named.join(asked, F.col("rep") == F.col(key), "left_semi").join(classes, F.col("rep") == F.col("node"), "left")
+    apart = left.select(F.concat("fp", F.unhex(F.lpad(F.hex(F.coalesce("component", "rep")), 16, "0"))).alias("fp"), "rep", "keys")
+    found = components(sure.unionByName(confirmed(materialize(links(apart, APART), "apart"), sets)))
+    return _classes(own, prints, key, found, "fp", "digest")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
