@@ -51,3 +51,15 @@ def test_empty_and_clashing(spark):
     assert licenses.with_licenses(rows).collect() == []
     with pytest.raises(ValueError):
         licenses.with_licenses(rows.withColumnRenamed("family", "licenses"))
+
+
+SHORT = {
+    "All rights reserved.": "proprietary", "ALL RIGHTS RESERVED": "proprietary", "(c) 1999 Harbour Press. All rights reserved.": "proprietary", "MIT License": "mit", "License: MIT": "mit", "license = MIT": "mit",
+}
+
+
+def test_short_notices():
+    model = licenses.train()
+    assert {t: [f for f, *_ in licenses.find(f"some words\n\n{t}\n\nmore", model)] for t in SHORT} == {t: [f] for t, f in SHORT.items()}
+    plain = ["the license of the car", "He reserved all the rooms by right.", "the public domain of the town was closed", "MIT opened a laboratory for the license of teachers"]
+    assert [licenses.find(t, model) for t in plain] == [[]] * len(plain)

@@ -4,7 +4,7 @@
 set, SAMPLES_PER_CLASS a class, made from the TEMPLATES by dropping, swapping and adding words, and for
 the class unknown from everyday sentences with the same words and from shuffled templates. A temperature fitted on held-out
 rows calibrates the probabilities; ``accept`` is the least one at which held-out predictions of a family
-are right with the wanted precision. ``confirmed`` compares a prediction with the family's templates.
+are right with the wanted precision. ``confirmed`` compares a prediction with the family's templates and short notices.
 
 A paragraph is a line. Lines without any SIGNAL word have no features and are unknown by definition, so one gate
 on the text skips them exactly. Neighbouring lines with signal words that stay unknown one by one are read together, as
@@ -107,6 +107,22 @@ TEMPLATES = {
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+# Short notices by family, whole lines of their own.
+NOTICES = {
+    "apache": ("Apache License", "Apache License, Version 2.0", "License: Apache 2.0", "License: Apache-2.0"),
+    "mit": ("MIT License", "The MIT License (MIT)", "License: MIT", "MIT licensed"),
+    "bsd": ("BSD License", "BSD 3-Clause License", "License: BSD", "License: BSD-3-Clause"),
+    "gpl": ("GNU General Public License", "License: GPL", "License: GPLv3", "Distributed under GPLv3"),
+    "lgpl": ("GNU Lesser General Public License", "License: LGPL", "License: LGPLv2.1", "Distributed under LGPLv2.1"),
+    "agpl": ("GNU Affero General Public License", "License: AGPL", "License: AGPLv3", "Distributed under AGPLv3"),
+    "mpl": ("Mozilla Public License", "License: MPL", "License: MPLv2", "Distributed under MPLv2"),
+    "cc-by": ("CC BY 4.0", "License: CC BY 4.0", "Creative Commons Attribution"),
+    "cc-by-sa": ("CC BY-SA 4.0", "License: CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike"),
+    "cc-by-nc": ("CC BY-NC 4.0", "License: CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial"),
+    "public-domain": ("This work is in the public domain.", "License: public domain", "License: CC0", "License: Unlicense"),
+    "isc": ("ISC License", "License: ISC", "ISC licensed"),
+    "proprietary": ("All rights reserved.", "Copyright 2020 Example. All rights reserved.", "License: proprietary"),
+}
 # Sentences with licence words that are no licence.
 EVERYDAY = (
     "He lost his driving license on the way to the town.", "The fishing license costs ten euros a year at the office.", "She has a license to teach at this school.", "The council may grant a license for the new shop.",
@@ -166,8 +182,8 @@ class Classifier:
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return _softmax(self.logits(texts) / self.temperature)
 
-    def classify(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Family and probability; unknown where nothing is accepted and confirmed."""
+    def classify(self, texts: list[str], inside: bool = True) -> list[tuple[str, float]]:
+        """Family and probability; unknown where nothing is accepted and confirmed, with inside also as a part of a template."""
         if not texts:
             return []
         chances = self.probabilities(texts)
@@ -175,7 +191,7 @@ class Classifier:
         out = []
         for text, k, row in zip(texts, best.tolist(), chances, strict=True):
             family, chance = self.families[k], float(row[k])
-            sure = family != UNKNOWN and chance >= self.accept and confirmed(text, family)
+            sure = family != UNKNOWN and chance >= self.accept and confirmed(text, family, inside=inside)
             out.append((family, chance) if sure else (UNKNOWN, float(row[self.families.index(UNKNOWN)])))
         return out
 
@@ -191,11 +207,15 @@ def _bigrams(text: str) -> frozenset[str]:
     return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset(words)
 
 
-def confirmed(text: str, family: str, least: float = CONFIRM) -> bool:
-    """Whether a template of the family has at least this share of its word pairs in the text."""
+def confirmed(text: str, family: str, least: float = CONFIRM, inside: bool = True) -> bool:
+    """Whether the text has at least this share of the word pairs of a template or notice of the family, or, with inside, one of them this share of the text's.
+
+    A text inside a template counts from four pairs; shorter ones must be notices.
+    """
     words = ["0" if w[0].isdigit() else w for w in _WORD.findall(text.lower())]
     own = set(zip(words, words[1:])) if len(words) > 1 else set(words)
-    return any(len(own & t) >= least * len(t) for t in map(_bigrams, TEMPLATES[family]))
+    known = [_bigrams(t) for t in (*TEMPLATES[family], *NOTICES[family])]
+    return any(len(own & t) >= least * len(t) or inside and len(own) >= 4 and len(own & t) >= least * len(own) for t in known)
 
 
 def _variants(texts: tuple[str, ...], n: int, rng: np.random.Generator, noise: list[str]) -> list[str]:
@@ -225,7 +245,7 @@ def train(samples: int = SAMPLES_PER_CLASS, precision: float = PRECISION, seed:
     families = (*TEMPLATES, UNKNOWN)
     texts, labels = [], []
     for k, family in enumerate(families):
-        own = _variants(TEMPLATES[family], samples, rng, noise) if family != UNKNOWN else _variants(EVERYDAY, 2 * samples, rng, noise) + _scrambled(2 * samples, rng)
+        own = _variants((*TEMPLATES[family], *NOTICES[family]), samples, rng, noise) if family != UNKNOWN else _variants(EVERYDAY, 2 * samples, rng, noise) + _scrambled(2 * samples, rng)
         texts += own
         labels += [k] * len(own)
     order = rng.permutation(len(texts))
