@@ -55,6 +55,7 @@ def test_empty_and_clashing(spark):
 
 SHORT = {
     "All rights reserved.": "proprietary", "ALL RIGHTS RESERVED": "proprietary", "(c) 1999 Harbour Press. All rights reserved.": "proprietary", "MIT License": "mit", "License: MIT": "mit", "license = MIT": "mit",
+    "distributed under GPLv3": "gpl", "Licensed under GPLv2": "gpl", "licensed under LGPLv2.1": "lgpl", "License: AGPLv3": "agpl", "released under MPLv2": "mpl",
 }
 
 
@@ -63,3 +64,30 @@ def test_short_notices():
     assert {t: [f for f, *_ in licenses.find(f"some words\n\n{t}\n\nmore", model)] for t in SHORT} == {t: [f] for t, f in SHORT.items()}
     plain = ["the license of the car", "He reserved all the rooms by right.", "the public domain of the town was closed", "MIT opened a laboratory for the license of teachers"]
     assert [licenses.find(t, model) for t in plain] == [[]] * len(plain)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+AFTER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+
+
+@pytest.mark.parametrize(("family", "body"), [("mit", MIT), ("isc", ISC)])
+def test_wrapped_files(family, body):
+    text = f"Copyright (c) 2020 Jane Roe\n\n{body}\n\n{AFTER}\n"
+    spans = [(f, text[a:b]) for f, a, b, _ in licenses.find(text, licenses.train())]
+    assert (family, body) in spans
+    commented = "\n".join(f"# {x}".rstrip() for x in text.split("\n")) + "\nimport os\n"
+    assert family in {f for f, *_ in licenses.find(commented, licenses.train())}
+
+
+def test_gate_agrees_with_words():
+    for text in ("GPLv3", "LGPLv2.1", "xgplv3", "gplvx", "gplv", "AGPLv3license", "license", "licensev", "mplv2"):
+        assert bool(licenses._GATE.search(text)) == bool(licenses.grams(text)), text

@@ -6,9 +6,10 @@ the class unknown from everyday sentences with the same words and from shuffled
 rows calibrates the probabilities; ``accept`` is the least one at which held-out predictions of a family
 are right with the wanted precision. ``confirmed`` compares a prediction with the family's templates and short notices.
 
-A paragraph is a line. Lines without any SIGNAL word have no features and are unknown by definition, so one gate
-on the text skips them exactly. Neighbouring lines with signal words that stay unknown one by one are read together, as
-wrapped paragraphs.
+A paragraph is a line, or a run of lines between blank ones, where a line without letters and digits is blank. What has no
+SIGNAL word has no features and is unknown by definition, so one gate on the text skips it exactly. Lines with a
+signal that hold a template are taken alone; the other lines of their paragraph are then read together, next the neighbouring
+ones with signals, and last single lines that are part of a template.
 
 Defined results: null and empty texts hold no licence; repeated rows are scanned alike; other columns pass by
 untouched, clashing names are refused.
@@ -17,6 +18,7 @@ untouched, clashing names are refused.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -137,10 +139,12 @@ SIGNAL = (
     "gpl", "lgpl", "agpl", "mpl", "cc", "cc0", "creative", "mozilla", "apache", "mit", "bsd", "isc", "gnu", "affero", "unencumbered", "reserved", "domain",
 )
 
-_WORD = re.compile(r"[a-z]+|[0-9]+")
+# A version's v is a word of its own, as in GPLv3.
+_WORD = re.compile(r"[a-z]+?(?=v[0-9])|[a-z]+|[0-9]+")
 _SIGNALS = frozenset(SIGNAL)
-GATE = r"(?i)(?<![a-z])(?:" + "|".join(sorted(SIGNAL, key=len, reverse=True)) + r")(?![a-z])"
+GATE = r"(?i)(?<![a-z])(?:" + "|".join(sorted(SIGNAL, key=len, reverse=True)) + r")(?:(?![a-z])|(?=v[0-9]))"
 _GATE = re.compile(GATE)
+_FILLED = re.compile(r"[^\W_]")
 
 
 def grams(text: str) -> list[str]:
@@ -283,23 +287,44 @@ def train(samples: int = SAMPLES_PER_CLASS, precision: float = PRECISION, seed:
 
 def find(text: str, model: Classifier) -> list[tuple[str, int, int, float]]:
     """(family, start, end, probability) of a text's licence paragraphs, in code points."""
-    lines, at = [], 0
+    # (start, end, signal) of the lines by paragraph; a line without letters and digits parts two.
+    paragraphs: list[list[tuple[int, int, bool]]] = [[]]
+    at = 0
     for line in text.split("\n"):
-        if _GATE.search(line):
-            lines.append((at, at + len(line)))
+        if _FILLED.search(line):
+            paragraphs[-1].append((at, at + len(line), bool(_GATE.search(line))))
+        elif paragraphs[-1]:
+            paragraphs.append([])
         at += len(line) + 1
-    found = [(f, a, b, p) for (a, b), (f, p) in zip(lines, model.classify([text[a:b] for a, b in lines]), strict=True) if f != UNKNOWN]
-    sure = {a for _, a, _, _ in found}
-    runs: list[list[int]] = []
-    for a, b in lines:
-        if a in sure:
-            continue
-        if runs and runs[-1][1] + 1 == a:
-            runs[-1][1], runs[-1][2] = b, runs[-1][2] + 1
-        else:
-            runs.append([a, b, 1])
-    runs = [r for r in runs if r[2] > 1]
-    found += [(f, a, b, p) for (a, b, _), (f, p) in zip(runs, model.classify([text[a:b].replace("\n", " ") for a, b, _ in runs]), strict=True) if f != UNKNOWN]
+    lines = [(a, b) for p in paragraphs for a, b, signal in p if signal]
+
+    def read(places: list[tuple[int, int]], inside: bool = True) -> list[tuple[str, int, int, float]]:
+        return [(f, a, b, p) for (a, b), (f, p) in zip(places, model.classify([text[a:b].replace("\n", " ") for a, b in places], inside), strict=True) if f != UNKNOWN]
+
+    def rest(found: list[tuple[str, int, int, float]], every: bool) -> list[tuple[int, int]]:
+        """Runs of two or more lines with a signal that no span has: of all lines of a paragraph, or of those with a signal."""
+        taken, runs = [(a, b) for _, a, b, _ in sorted(found, key=lambda x: x[1])], []
+        k = 0
+        for paragraph in paragraphs:
+            run: list[tuple[int, int, bool]] = []
+            for a, b, signal in [*paragraph, (-1, -1, False)]:
+                while a >= 0 and k < len(taken) and taken[k][1] < a:
+                    k += 1
+                free = a >= 0 and not (k < len(taken) and taken[k][0] <= a)
+                if free and (signal or every):
+                    run.append((a, b, signal))
+                    continue
+                if len(run) > 1 and any(s for *_, s in run):
+                    runs.append((run[0][0], run[-1][1]))
+                run = []
+        return runs
+
+    found = read(lines, False)
+    found += read(rest(found, True))
+    found += read(rest(found, False))
+    taken = sorted((a, b) for _, a, b, _ in found)
+    starts = [a for a, _ in taken]
+    found += read([(a, b) for a, b in lines if not (k := bisect_right(starts, a)) or taken[k - 1][1] <= a])
     return sorted(found, key=lambda x: x[1])
 
 
