@@ -7,6 +7,7 @@ import re
 import pytest
 
 from weftgraph.llm import pii, secrets
+from weftgraph.llm import spans as spans_module
 
 SCHEMA = "doc_id long, text string"
 
@@ -126,12 +127,12 @@ def test_overlapping_spans_leave_nothing(spark):
     text = "call +1 4111111111111 1111 1111 1111 1111 now"
     rows = spark.createDataFrame([(1, text)], SCHEMA)
     whole = pii.text_of("text")
-    found = rows.select(pii.ordered(pii.base_spans(whole)).alias("s"), pii.replaced(whole, pii.merged(pii.base_spans(whole)), lambda s: pii.F.lit("<X>")).alias("clean")).first()
+    found = rows.select(pii.ordered(pii.base_spans(whole)).alias("s"), pii.replaced(whole, pii.merged(pii.base_spans(whole)), lambda s, _: pii.F.lit("<X>")).alias("clean")).first()
     covered = {i for s in found.s for i in range(s.start, s.end)}
     assert found.clean.replace("<X>", "") == "".join(c for i, c in enumerate(text) if i not in covered)
     mixed_texts = [mixed(i, PARTS, 40) for i in range(80)]
     rows = spark.createDataFrame(list(enumerate(mixed_texts)), SCHEMA)
-    for r in rows.select("text", pii.base_spans(whole).alias("s"), pii.replaced(whole, pii.merged(pii.base_spans(whole)), lambda s: pii.F.lit("\u0001")).alias("clean")).collect():
+    for r in rows.select("text", pii.base_spans(whole).alias("s"), pii.replaced(whole, pii.merged(pii.base_spans(whole)), lambda s, _: pii.F.lit("\u0001")).alias("clean")).collect():
         covered = {i for s in r.s for i in range(s.start, s.end)}
         assert r.clean.replace("\u0001", "") == "".join(c for i, c in enumerate(r.text) if i not in covered)
 
@@ -153,6 +154,78 @@ def test_term_counts_match_brute_force(spark):
     assert got == expected
 
 
+def test_dense_texts_take_linear_time(spark):
+    """100,000 matches in one text: spans, linking, and the text put together again."""
+    import time
+
+    mails = " ".join(f"u{i}@h.example" for i in range(100_000))
+    pairs = "\n".join(f"login: user{i}\npwd = Zx81kQ9p{i}" for i in range(25_000)) + " " + " ".join(["deadbeef" * 3] * 50_000)
+    rows = spark.createDataFrame([(0, mails), (1, pairs)], SCHEMA)
+    whole = pii.text_of("text")
+    one = lambda i, column: rows.filter(f"doc_id = {i}").select(column.alias("x")).first().x
+    timed = []
+    for i, column, rules in ((0, pii.rendered(pii.base_spans(whole)), PII), (1, pii.rendered(secrets.base_spans(whole)), SECRETS)):
+        began = time.perf_counter()
+        assert one(i, column) == brute((mails, pairs)[i], rules)
+        timed.append(time.perf_counter() - began)
+    began = time.perf_counter()
+    assert one(0, pii.replaced(whole, pii.merged(pii.base_spans(whole)), lambda s, _: pii.F.lit("<X>"))) == " ".join(["<X>"] * 100_000)
+    timed.append(time.perf_counter() - began)
+    began = time.perf_counter()
+    found = secrets.with_secrets(rows.filter("doc_id = 1")).select(pii.F.size("base_spans"), pii.F.size("secret_spans")).first()
+    timed.append(time.perf_counter() - began)
+    assert tuple(found) == (50_000, 100_000)
+    assert max(timed[:3]) < 10 and timed[3] < 30, timed
+
+
+def test_long_parts(spark):
+    """Nothing has a greatest length: a late digit in a blob, wide white space at a separator, a long term."""
+    blob = "A" * 200 + "t" * 200 + "7"
+    texts = [f"login: alice {blob}", "client_id" + " " * 40 + "\t=  abc1\npwd :" + " " * 30 + "Zx81kQ9p"]
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r.doc_id: [s.kind for s in r.secret_spans] for r in secrets.with_secrets(rows).collect()}
+    assert got == {0: ["weak_identifier", "weak_blob"], 1: ["weak_identifier", "weak_secret"]}
+    name = "Zorblax" * 9
+    shown = [f"{x} ask {name} about it at zor@blax.example today" for x in ("please", "kindly", "now")] + [f"word {i} of the rest" for i in range(40)]
+    found = pii.sanitised(spark.createDataFrame([*enumerate(shown)], SCHEMA)).collect()
+    assert not any(name in r.text for r in found)
+
+
+def test_scans_against_plain_loops(spark):
+    """apart and merged on random spans."""
+    r = random.Random(8)
+    rows = []
+    for i in range(150):
+        some = lambda n: sorted((a, k, a + r.randint(1, 6), "k", "v") for k, a in enumerate(r.sample(range(60), r.randint(0, n))))
+        rows.append((i, some(9), some(9)))
+    kind = f"id int, found {spans_module.SPAN.replace('struct', 'array<struct', 1)}>, base {spans_module.SPAN.replace('struct', 'array<struct', 1)}>"
+    frame = spark.createDataFrame(rows, kind)
+    for row in frame.select("*", spans_module.apart(pii.F.col("found"), pii.F.col("base")).alias("apart"), spans_module.merged(pii.F.col("found")).alias("merged")).collect():
+        assert row.apart == [s for s in row.found if not any(b.start < s.end and s.start < b.end for b in row.base)]
+        expected = []
+        for s in row.found:
+            if expected and s.start < expected[-1][1]:
+                expected[-1][1] = max(expected[-1][1], s.end)
+            else:
+                expected.append([s.start, s.end])
+        assert [[s.start, s.end] for s in row.merged] == expected
+
+
+def test_term_spans_match_brute_force(spark):
+    """All words of a listed term that touch no base span, whatever their case."""
+    r = random.Random(5)
+    words = ["Quark", "QUARK", "quarks", "é-quark", "the", "x@quark.example", "lepton", "LEPTON2", "lepton,"]
+    texts = [" ".join(r.choices(words, k=30)) for _ in range(40)] + ["quark " * 3000]
+    listed = [("lepton", "generalise"), ("quark", "remove")]
+    rows = spark.createDataFrame([(i, t, listed) for i, t in enumerate(texts)], "doc_id long, text string, listed array<struct<term:string,action:string>>")
+    whole = pii.text_of("text")
+    found = rows.select("text", pii.base_spans(whole).alias("base"), pii._term_spans(whole, pii.F.col("listed")).alias("t")).withColumn("free", spans_module.apart(pii.F.col("t"), pii.F.col("base")))
+    for row in found.collect():
+        every = [(m.start(), m.end(), dict(listed)[m[0].lower()]) for m in re.finditer(r"[^\W_]+", row.text) if m[0].lower() in dict(listed)]
+        assert [(s.start, s.end, s.value) for s in row.t] == every
+        assert [(s.start, s.end, s.value) for s in row.free] == [e for e in every if not any(b.start < e[1] and e[0] < b.end for b in row.base)]
+
+
 @pytest.mark.parametrize("query", [pii.op1_pii, secrets.op10_secrets])
 def test_empty_table(spark, tmp_path, query):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))

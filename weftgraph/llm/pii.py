@@ -11,6 +11,7 @@ by its class. At least two different texts must show the pair, so that words see
 a text, are no evidence; a term must also be rarer than the corpus at large: entities in every document
 carry no information.
 
+A term is a whole run of letters and digits, of any length; it is near if it is among the NEAR terms before or after the entity.
 Counting pre-aggregates per task. Candidate and disclosing terms are broadcast only after
 they were counted and found at most BROADCAST_TERMS; beyond that the joins shuffle.
 
@@ -23,14 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import DOCUMENT_COLUMNS, materialize, table, text_of
-from .spans import count_of, merged, no_spans, ordered, rendered, replaced, spans
+from .shared import DOCUMENT_COLUMNS, looked_up, materialize, table, text_of
+from .spans import apart, bound, count_of, merged, no_spans, ordered, rendered, replaced, scanned, spans
 
 REMOVE_BITS = 0.5
 GENERALISE_BITS = 1.5
-NEAR = 60
+NEAR = 10
 BROADCAST_TERMS = 100_000
-LONGEST_TERM = 40
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 # Fixed patterns. An email begins where a run of its characters begins or the last match ended; possessive
@@ -41,7 +41,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 TERM_BREAK = r"[^\p{L}\p{N}]+"
-TERM = r"(?<![\p{L}\p{N}])(?iu:%s)(?![\p{L}\p{N}])"
+TERM = r"[\p{L}\p{N}]++"
 
 
 def base_spans(text: Column) -> Column:
@@ -68,23 +68,22 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), TERM_BREAK, -1))
 
 
-def _telling(term: Column) -> Column:
-    return F.length(term).between(3, LONGEST_TERM) & term.rlike(r"\p{L}")
+def _mentions(text: Column, base: Column, near: int) -> Column:
+    """(entity, terms near it) for each base span; what base spans cover holds no terms."""
+    blank = replaced(text, merged(base), lambda s, _: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    count = lambda before, own: own + F.coalesce(before, F.lit(0))
 
+    def mention(s: Column, words: Column, before: Column) -> Column:
+        first = F.greatest(before - near, F.lit(0))
+        return F.struct(_entity(s).alias("entity"), F.array_distinct(F.transform(F.slice(words, first + 1, before - first + near), lambda w: F.lower(w["value"]))).alias("terms"))
 
-def _mentions(text: Column, base: Column, near: int) -> Column:
-    """(entity, terms near it) for each base span; other base spans are blanked and terms that the window cuts are left out."""
-    blank = replaced(text, merged(base), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    def found(words: Column, events: Column, passed: Column) -> Column:
+        return F.filter(F.transform(events, lambda s, i: F.when(s["rank"] < 4, mention(s, words, F.get(passed, i)))), lambda m: m.isNotNull())
 
-    def mention(s: Column) -> Column:
-        from_ = F.greatest(s["start"] - near, F.lit(0))
-        before = F.substring(blank, from_ + 1, s["start"] - from_)
-        after = F.substring(blank, s["end"] + 1, F.lit(near))
-        before = F.when(from_ > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-        after = F.when(F.length(blank) > s["end"] + near, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-        return F.struct(_entity(s).alias("entity"), F.filter(_terms(F.concat(before, F.lit(" "), after)), _telling).alias("terms"))
+    def placed(words: Column) -> Column:
+        return bound(ordered(base, words), lambda events: scanned(F.transform(events, lambda s: F.when(s["rank"] == 4, 1).otherwise(0)), count, lambda passed: found(words, events, passed)))
 
-    return F.transform(base, mention)
+    return bound(spans(blank, TERM, "term", 4), placed)
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", remove: float = REMOVE_BITS, generalise: float = GENERALISE_BITS, near: int = NEAR) -> DataFrame:
@@ -96,21 +95,24 @@ def disclosing_terms(df: DataFrame, text: str = "text", remove: float = REMOVE_B
     )
     pair = lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t.alias("term")))
     shown = materialize(shown.select("seen", F.array_distinct(F.transform("mentions", lambda m: m["entity"])).alias("entities"), F.array_distinct(F.flatten(F.transform("mentions", pair))).alias("pairs")), "mentions")
-    entities = shown.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = (
         shown.select("seen", F.explode("pairs").alias("p")).groupBy("p.entity", "p.term", "seen").agg(F.count("*").alias("rows"))
         .groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.count("*").alias("texts")).filter("texts >= 2").drop("texts")
     )
-    pairs = materialize(pairs.join(entities, "entity"), "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
+    pairs = materialize(pairs, "pairs")
+    # An entity may have very many terms, and a term very many entities: both are looked up, not joined.
+    entities = shown.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    entities = materialize(pairs.groupBy("entity").agg(F.count("*").alias("rows")).join(entities, "entity"), "entities")
+    pairs = looked_up(pairs, entities, "entity", "rows")
+    terms = materialize(pairs.groupBy("term").agg(F.count("*").alias("rows")), "terms")
     every = df.select(F.explode(_terms(whole)).alias("term"))
     if terms.count() <= BROADCAST_TERMS:
-        every = every.join(F.broadcast(terms), "term", "left_semi")
-    counted = every.groupBy("term").agg(F.count("*").alias("n_t"))
+        every = every.join(F.broadcast(terms.select("term")), "term", "left_semi")
+    counted = materialize(every.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term"), "counted")
     everything = df.count()
     left = F.log2(F.col("n_t") / F.col("n_te"))
     gained = F.log2(F.lit(float(max(everything, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    found = pairs.join(counted, "term").withColumn("bits", left).filter((left < generalise) & (gained > 1))
+    found = looked_up(pairs, counted, "term", "rows").withColumn("bits", left).filter((left < generalise) & (gained > 1))
     return materialize(found.groupBy("term").agg(F.min("bits").alias("bits")).withColumn("action", F.when(F.col("bits") < remove, "remove").otherwise("generalise")), "disclosing")
 
 
@@ -133,18 +135,25 @@ def with_spans(df: DataFrame, key: str = "doc_id", text: str = "text", remove: f
     listed, few = _listed(df, key, text, disclosing_terms(df, text, remove, generalise, near))
     match = df[key].eqNullSafe(listed["row_key"]) & (F.xxhash64(whole) == listed["row_text"])
     rows = df.join(F.broadcast(listed) if few else listed, match, "left").withColumn("base_spans", base_spans(whole))
-    words = F.array_join(F.transform(F.sort_array("listed"), lambda x: x["term"]), "|")
-    # Terms are letters and digits, so the pattern needs no quoting. The longest of those that fit is the one the boundaries allow.
-    matches = spans(whole, F.concat(F.lit(TERM.split("%s")[0]), words, F.lit(TERM.split("%s")[1])), "term", 4)
-    acted = F.transform(matches, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind"),
-        F.coalesce(F.get(F.filter("listed", lambda x: x["term"] == F.lower(s["value"])), 0)["action"], F.lit("generalise")).alias("value")))
-    free = F.filter(acted, lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = apart(_term_spans(whole, F.col("listed")), F.col("base_spans"))
     return rows.withColumn("term_spans", F.when(F.col("listed").isNotNull(), free).otherwise(no_spans())).drop("listed", "row_key", "row_text")
 
 
-def _label(s: Column, text: Column) -> Column:
-    word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+def _term_spans(text: Column, listed: Column) -> Column:
+    """The spans of a text's words that are listed, value the action: words are sorted behind the listed terms, and each looks at the last one."""
+    terms = F.transform(listed, lambda x: F.struct(x["term"].alias("word"), F.lit(0).alias("turn"), F.lit(0).alias("start"), F.lit(0).alias("end"), x["action"].alias("action")))
+    words = F.transform(spans(text, TERM, "term", 4), lambda s: F.struct(F.lower(s["value"]).alias("word"), F.lit(1).alias("turn"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("string").alias("action")))
+
+    def chosen(events: Column, known: Column) -> Column:
+        acted = F.transform(events, lambda e, i: F.when((e["turn"] == 1) & (F.get(known, i)["word"] == e["word"]), F.struct(
+            e["start"].alias("start"), F.lit(4).alias("rank"), e["end"].alias("end"), F.lit("term").alias("kind"), F.get(known, i)["action"].alias("value"))))
+        return F.array_sort(F.filter(acted, lambda s: s.isNotNull()))
+
+    known = lambda events: F.transform(events, lambda e: F.when(e["turn"] == 0, F.struct(e["word"].alias("word"), e["action"].alias("action"))))
+    return bound(F.array_sort(F.concat(terms, words)), lambda events: scanned(known(events), lambda before, own: F.coalesce(own, before), lambda last: chosen(events, last)))
+
+
+def _label(s: Column, word: Column) -> Column:
     kind = F.when(word.rlike(r"[0-9]"), "<CODE>").when(word.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
     return F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", "").otherwise(kind)
 
@@ -154,7 +163,7 @@ def sanitised(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = with_spans(df, key, text)
     # Overlapping spans are replaced as one, so that nothing of the later one is left.
     found = merged(ordered(F.col("base_spans"), F.col("term_spans")))
-    clean = replaced(F.col(text), found, lambda s: _label(s, F.col(text)))
+    clean = replaced(F.col(text), found, _label)
     touched = (F.size("base_spans") > 0) | (F.size("term_spans") > 0)
     return rows.withColumn(text, F.when(touched, clean).otherwise(F.col(text))).drop("base_spans", "term_spans")
 

@@ -4,8 +4,9 @@ Base spans: assignments to secret names, access key ids and long hex runs. Weak
 parts (identifiers, secret-like values, endpoints) say little by themselves. They are
 reported only if a complementary part lies in the same scope, a run of lines without a blank one,
 at most REACH code points away: a secret for an identifier or endpoint, one of those for a secret.
-The interval join of parts and candidates is a sweep over each document's sorted parts that keeps
-the furthest end of each role, so no pairs are made and nothing is shuffled.
+The interval join of parts and candidates is a sweep over each document's sorted parts with running
+furthest ends of each role, so no pairs are made and nothing is shuffled. The cost of a text is
+n log n in its matches; runs, values and white space around separators have no greatest length.
 
 Defined results: a null text is empty and has no spans; repeated rows each give a
 row; all other columns are kept by ``with_secrets``, which refuses clashing names.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, text_of
-from .spans import count_of, no_spans, ordered, rendered, spans
+from .spans import apart, bound, count_of, no_spans, ordered, rendered, scanned, spans
 
 REACH = 300
 BASE_KINDS = ("assign", "access", "hex")
@@ -28,12 +29,12 @@ ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{24,}+"
 ASSIGN_GATE = r"(?i)passw(?:or)?d|secret|token|api_?key"
 
-_SET = r"""["']?\x20{0,8}[:=]\x20{0,8}["']?"""
+_SET = r"""["']?[\x20\t]*+[:=][\x20\t]*+["']?"""
 IDENTIFIER = rf"(?<![A-Za-z0-9])(?i:user(?:_?name|_?id)?|login|account(?:_?id|_?name)?|client_?id|app_?id|tenant_?id|access_?key(?:_?id)?|key_?id){_SET}([A-Za-z0-9@._+-]{{3,}}+)"
 SECRET = rf"(?<![A-Za-z0-9])(?i:pass(?:phrase|code)?|pwd|(?:client|access|private|secret|auth|signing|encryption)_?(?:key|code)|credentials?|auth(?:orization)?|bearer|key|sig(?:nature)?){_SET}([A-Za-z0-9+/_.=-]{{8,}}+)"
-BLOB = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[a-z0-9+/_-]{0,64}[A-Z])(?=[A-Z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}"
-ENDPOINT = rf"""(?i:https?|ftps?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ldaps?|jdbc:[a-z]{{2,20}})://[^\x20\x09-\x0D"'<>]++|(?<![A-Za-z0-9])(?i:host(?:name)?|endpoint|server|(?:base_?)?url|region){_SET}[A-Za-z0-9.:/_-]{{4,}}+"""
-WEAK_GATE = r"""(?i)[a-z_]["']?\x20{0,8}[:=]\x20{0,8}["']?[a-z0-9]|://|[A-Za-z0-9+/_-]{32}"""
+BLOB = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+={0,2}"
+ENDPOINT = rf"""(?i:https?|ftps?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ldaps?|jdbc:[a-z0-9]++)://[^\x20\x09-\x0D"'<>]++|(?<![A-Za-z0-9])(?i:host(?:name)?|endpoint|server|(?:base_?)?url|region){_SET}[A-Za-z0-9.:/_-]{{4,}}+"""
+WEAK_GATE = r"""(?i)[a-z_]["']?[\x20\t]*+[:=][\x20\t]*+["']?[a-z0-9@._+/-]|://|[A-Za-z0-9+/_-]{32}"""
 BREAK = r"\n[\x20\t\r]*+\n"
 
 _ROLE = {"assign": "secret", "hex": "secret", "access": "identifier", "weak_identifier": "identifier", "weak_secret": "secret", "weak_blob": "secret", "weak_endpoint": "endpoint"}
@@ -50,8 +51,7 @@ def base_spans(text: Column) -> Column:
 def weak_parts(text: Column, base: Column) -> Column:
     """Weak candidates that touch no base span, sorted."""
     found = ordered(spans(text, IDENTIFIER, "weak_identifier", 3, 1), spans(text, SECRET, "weak_secret", 4, 1), spans(text, BLOB, "weak_blob", 5), spans(text, ENDPOINT, "weak_endpoint", 6))
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(text.rlike(WEAK_GATE), free).otherwise(no_spans())
+    return F.when(text.rlike(WEAK_GATE), apart(found, base)).otherwise(no_spans())
 
 
 def _role(kind: Column) -> Column:
@@ -59,38 +59,31 @@ def _role(kind: Column) -> Column:
 
 
 def linked(text: Column, base: Column, weak: Column, reach: int = REACH) -> Column:
-    """The weak parts that a complementary part of their scope lies within reach of."""
-    breaks = spans(text, BREAK, "break", -1)
-    # Number the scopes: a span belongs to the breaks that start before it.
-    placed = F.aggregate(
-        ordered(breaks, base, weak),
-        F.struct(F.lit(0).alias("scope"), F.array().cast("array<struct<scope:int,at:int,turn:int,start:int,end:int,rank:int,kind:string,value:string>>").alias("events")),
-        lambda state, s: F.when(s["kind"] == "break", F.struct((state["scope"] + 1).alias("scope"), state["events"].alias("events"))).otherwise(
-            F.struct(
-                state["scope"].alias("scope"),
-                F.concat(state["events"], F.array(_event(state, s, s["start"], 0)), F.when(s["rank"] >= 3, F.array(_event(state, s, s["end"] + reach, 1))).otherwise(F.array().cast("array<struct<scope:int,at:int,turn:int,start:int,end:int,rank:int,kind:string,value:string>>"))).alias("events"),
-            )
-        ),
-        lambda state: state["events"],
-    )
-    # Parts are met at their starts, candidates at the furthest start that is within reach of their ends.
-    sweep = F.array_sort(placed)
-    start = F.struct(F.lit(-1).alias("scope"), *(F.lit(None).cast("int").alias(r) for r in ("secret", "identifier", "endpoint")), no_spans().alias("kept"))
-
-    def step(state: Column, e: Column) -> Column:
-        known = {r: F.when(state["scope"] == e["scope"], state[r]) for r in ("secret", "identifier", "endpoint")}
-        role = _role(e["kind"])
-        far = {r: F.when((e["turn"] == 0) & (role == r), F.greatest(known[r], e["end"])).otherwise(known[r]) for r in known}
-        partner = F.when(role == "secret", F.greatest(known["identifier"], known["endpoint"])).otherwise(known["secret"])
-        span = F.struct(*(e[c].alias(c) for c in ("start", "end", "rank", "kind", "value")))
-        kept = F.when((e["turn"] == 1) & (partner >= e["start"] - reach), F.concat(state["kept"], F.array(span))).otherwise(state["kept"])
-        return F.struct(e["scope"].alias("scope"), *(far[r].alias(r) for r in far), kept.alias("kept"))
-
-    return F.when(F.size(weak) > 0, F.aggregate(sweep, start, step, lambda s: s["kept"])).otherwise(no_spans())
-
-
-def _event(state: Column, s: Column, at: Column, turn: int) -> Column:
-    return F.struct(state["scope"].alias("scope"), at.alias("at"), F.lit(turn).alias("turn"), *(s[c].alias(c) for c in ("start", "end", "rank", "kind", "value")))
+    """The weak parts that a complementary part of their scope lies within reach of, sorted."""
+    # A span belongs to the scope after the breaks that start before it. Scopes and ends make one number, so that a
+    # running greatest one never carries an end into a later scope.
+    place = lambda scope, at: scope.cast("long") * F.lit(1 << 32) + at
+    event = lambda scope, at, turn, s: F.struct(place(scope, at).alias("at"), F.lit(turn).alias("turn"), scope.alias("scope"), s.alias("span"))
+
+    def events(all_: Column, scopes: Column) -> Column:
+        # Parts are met at their starts, candidates at the furthest start that is within reach of their ends.
+        met = F.transform(all_, lambda s, i: F.when(s["rank"] >= 0, event(F.get(scopes, i), s["start"], 0, s)))
+        asking = F.transform(all_, lambda s, i: F.when(s["rank"] >= 3, event(F.get(scopes, i), s["end"] + reach, 1, s)))
+        return F.array_sort(F.filter(F.concat(met, asking), lambda e: e.isNotNull()))
+
+    def kept(sweep: Column) -> Column:
+        ends = lambda role: F.transform(sweep, lambda e: F.when((e["turn"] == 0) & (_role(e["span"]["kind"]) == role), place(e["scope"], e["span"]["end"])))
+
+        def chosen(secret: Column, identifier: Column, endpoint: Column) -> Column:
+            partner = lambda e, i: F.when(_role(e["span"]["kind"]) == "secret", F.greatest(F.get(identifier, i), F.get(endpoint, i))).otherwise(F.get(secret, i))
+            near = lambda e, i: partner(e, i) >= place(e["scope"], F.greatest(e["span"]["start"] - reach, F.lit(0)))
+            return ordered(F.filter(F.transform(sweep, lambda e, i: F.when((e["turn"] == 1) & near(e, i), e["span"])), lambda s: s.isNotNull()))
+
+        return scanned(ends("secret"), F.greatest, lambda a: scanned(ends("identifier"), F.greatest, lambda b: scanned(ends("endpoint"), F.greatest, lambda c: chosen(a, b, c))))
+
+    count = lambda before, own: own + F.coalesce(before, F.lit(0))
+    numbered = bound(ordered(spans(text, BREAK, "break", -1), base, weak), lambda all_: scanned(F.transform(all_, lambda s: F.when(s["rank"] < 0, 1).otherwise(0)), count, lambda scopes: events(all_, scopes)))
+    return F.when(F.size(weak) > 0, bound(numbered, kept)).otherwise(no_spans())
 
 
 def with_secrets(df: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A key is hot if it holds over this part of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 1000
 #: Words are maximal runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder all executors and the driver see: spark.checkpoint.dir. Only a local master may leave it unset (tests) and gets a temporary one."""
     context = spark.sparkContext
     known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
         known = context.getCheckpointDir()
     return known.rstrip("/")
@@ -66,6 +70,24 @@ def materialize_by(df: DataFrame, name: str, part: str, codec: str = "zstd") ->
     return spark.read.schema(df.schema).parquet(target), drop
 
 
+def looked_up(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """left with the other columns of right, which has one row for each of left's keys and the number of left's rows with it in count.
+
+    Hot keys are broadcast: by their counts there are fewer than HOT_KEYS. Rows of the other keys meet by a shuffle, in which
+    the rows of hot keys are spread over all tasks and meet nothing. right is read several times, so it should be written.
+    """
+    total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
+    others = [c for c in right.columns if c not in (key, count)]
+    found = lambda name: F.struct(F.lit(1).alias("_"), *others).alias(name)
+    hot = right.filter(F.col(count) * HOT_KEYS > total).select(F.col(key).alias("hot_key"), found("hot_found"))
+    rest = right.filter(F.col(count) * HOT_KEYS <= total).select(F.col(key).alias("rest_key"), F.lit(0).cast("long").alias("rest_salt"), found("rest_found"))
+    salt = F.when(F.col("hot_found").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20)) + 1)
+    rows = left.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("hot_salt", salt)
+    rows = rows.join(rest, (F.col(key) == F.col("rest_key")) & (F.col("hot_salt") == F.col("rest_salt")), "left")
+    both = F.coalesce("hot_found", "rest_found")
+    return rows.filter(both.isNotNull()).select(*left.columns, *(both[c].alias(c) for c in others))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
