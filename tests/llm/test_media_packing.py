@@ -46,13 +46,40 @@ def test_area_resize_matches_exact_areas():
 
 
 def test_bad_media(spark):
-    rows = spark.createDataFrame([(1, b"P5 2 2 255\n\0"), (2, b"zz"), (3, None), (4, media.encode_pgm(np.zeros((2, 2), np.uint8)))], "id int, media binary")
-    got = {r.id: r.error for r in media.media_tiles(rows).collect()}
-    assert got[4] is None and got[1] and got[2] and got[3]
+    beyond = bytearray(media.encode_bmp(np.full((2, 2), 9, np.uint8)))
+    beyond[46:50] = (4).to_bytes(4, "little")
+    cut = media.encode_bmp(np.zeros((4, 4, 3), np.uint8))
+    bad = [b"P5 2 2 255\n\0", b"zz", None, b"", b"P5 99999999999 99999999999 255\n", b"P5 999999999 999999999 255\n\0", b"P2 1 1 255\n99999999999999999999999", b"P2 1 1 15\n16", b"P2 1 1 255\n-1", b"P1 1 1\n7", b"P5 -1 2 255\n"]
+    bad += [bytes(beyond), cut[:-1], cut[:40], b"BM", b"P6", b"P4 9 9\n", b"P5 2 2 70000\n" + b"0" * 20, b"BM" + b"\xff" * 60]
+    r = random.Random(3)
+    noise = [bytes(r.choices(range(256), k=80)) for _ in range(50)] + [b"BM" + bytes(r.choices([0, 1, 2, 8, 40, 255], k=90)) for _ in range(200)] + [b"P%d " % r.randint(1, 6) + bytes(r.choices(b"0123 \n#", k=40)) for _ in range(200)]
+    good = media.encode_pgm(np.zeros((2, 2), np.uint8))
+    rows = spark.createDataFrame([*enumerate(bad + noise), (-1, good), (-2, good)], "id int, media binary")
+    got = {r.id: (r.error, r.tile, r.dhash) for r in media.media_tiles(rows).collect()}
+    assert got[-1][0] is None and got[-1] == got[-2] and len(got) == len(bad) + len(noise) + 2
+    assert all(got[i][0] and got[i][1] is None for i in range(len(bad)))
+    assert all((error is None) == (tile is not None) for error, tile, _ in got.values())
+    assert media.media_tiles(rows.limit(0)).count() == 0
     with pytest.raises(ValueError):
         media.media_tiles(rows.withColumnRenamed("id", "tile"))
 
 
+def test_samples_are_scaled_by_maxval():
+    image = np.random.default_rng(6).integers(0, 16, (5, 6)).astype(np.uint8)
+    body = b" ".join(b"%d" % x for x in image.reshape(-1))
+    assert media.features(b"P2 6 5 15\n" + body) == media.features(media.encode_pgm(image * 17))
+    bits = image & 1
+    assert media.features(b"P1 6 5\n" + b"".join(b"%d" % (1 - x) for x in bits.reshape(-1))) == media.features(media.encode_pgm(bits * 255))
+
+
+def test_empty_tables(spark, tmp_path):
+    path = documents(spark, tmp_path, [])
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert media.op5_media(spark, path).count() == 0
+    assert packing.op6_packing(spark, path).count() == 0
+    assert warc.op8_warc(spark, path).count() == 0
+
+
 def test_media_query(spark, tmp_path):
     texts = [None, "", "x" * 64, "x" * 65, "é\0" * 500, "x" * 64]
     rows = {r.doc_id: r for r in media.op5_media(spark, documents(spark, tmp_path, texts)).collect()}
@@ -63,7 +90,9 @@ def test_media_query(spark, tmp_path):
         assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = media.encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, 64))
         assert (row.media_bytes, row.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
-    assert rows[2].feature == rows[5].feature
+    assert rows[2].feature == rows[5].feature and rows[2].tile == rows[5].tile
+    tile = np.load(__import__("io").BytesIO(bytes(rows[4].tile)))
+    assert tile.shape == (16, 16) and tile.dtype == np.uint8 and 0 < tile.max() <= 255
 
 
 def test_encoder_gives_the_tokenizers_ids():
@@ -136,11 +165,34 @@ def test_warc(spark, tmp_path):
         assert bytes(head) + b"\r\n\r\n" == r.header.encode()
         length = int(dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])[b"Content-Length"])
         assert length == len(block) - 4 and (r.record_type == "revisit" or block[:-4] == r.payload)
-    broken = payloads.selectExpr("digest", "cast('x' as binary) as payload")
+    broken = payloads.selectExpr("digest", "records", "cast('x' as binary) as payload")
     with pytest.raises(Exception, match="another digest"):
         warc.verified(broken).collect()
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_archive_of_one_page(spark, tmp_path, hot, monkeypatch):
+    """Half of the pages are empty and a quarter equal: every record comes back whole, whichever digests are looked up."""
+    monkeypatch.setattr("weftgraph.llm.shared.HOT_KEYS", hot)
+    same = "<html>" + "x" * 200
+    pages = [(i, f"u{i}", None if i % 2 else same if i % 4 else f"{same}{i}") for i in range(400)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    headers, payloads = warc.write_archive(rows)
+    found = {r.page_id: r for r in warc.reconstruct(headers, payloads).collect()}
+    assert len(found) == 400
+    for i, _, body in pages:
+        r = found[i]
+        assert (r.record_type, r.refers_to) == (("revisit", 2) if body == same and i != 2 else ("response", None))
+        assert bytes(r.record) == r.header.encode() + (b"" if r.record_type == "revisit" else (body or "").encode()) + b"\r\n\r\n"
+        fields = dict(x.split(": ", 1) for x in r.header.strip().split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.op8_warc(spark, str(tmp_path)).collect()}
+    assert got == {i: (len((b or "").encode()), hashlib.sha256((b or "").encode()).hexdigest()) for i, _, b in pages}
+    with pytest.raises(ValueError):
+        warc.write_archive(rows.withColumnRenamed("page_id", "digest"), "digest")
+
+
 def brute_counts(text):
     import re
 

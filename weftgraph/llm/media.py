@@ -6,8 +6,10 @@ arithmetic; ``npy_bytes`` writes the tile; ``difference_hash`` compares
 neighbouring cells. ``store_payloads`` and ``read_payloads`` keep arbitrary bytes
 as samples of a PGM image and read them back.
 
-Defined results: a null or undecodable medium gives null features and an
-``error`` text; a null or empty text is stored as one row of 64 zero samples;
+Samples are scaled to the full range of a byte, or of two where maxval exceeds 255, before features are taken.
+
+Defined results: a null medium and one that cannot be decoded (cut short, sizes or palette places out of
+range, numbers too large) give null features and an ``error`` text; a null or empty text is stored as one row of 64 zero samples;
 equal inputs give equal values; other columns pass by untouched.
 """
 
@@ -39,11 +41,8 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, height) + samples.tobytes()
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (h, w) or (h, w, 3); uint8, or uint16 where maxval exceeds 255.
-
-    Bitmaps give 0 for black and 1 for white.
-    """
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples and the greatest possible one."""
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -52,6 +51,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         found = _NETPBM_TOKEN.match(data, place)
         if not found:
             raise ValueError("short Netpbm header")
+        if not found[1].isdigit() or len(found[1]) > 9:
+            raise ValueError("bad Netpbm header")
         header.append(int(found[1]))
         place = found.end()
     width, height, top = header[0], header[1], header[2] if len(header) == 3 else 1
@@ -59,12 +60,20 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("bad Netpbm header")
     planes = 3 if kind in (b"P3", b"P6") else 1
     count = width * height * planes
+    # A sample takes a bit at least, so nothing is set aside for a size that the data cannot have.
+    if count > 8 * len(data):
+        raise ValueError("short Netpbm raster")
     kind_of = np.uint8 if top < 256 else np.uint16
     if kind == b"P1":
         bits = re.sub(rb"#[^\r\n]*|\s", b"", data[place:])
+        if bits[:count].strip(b"01"):
+            raise ValueError("bad Netpbm sample")
         values = 1 - (np.frombuffer(bits, np.uint8)[:count] - ord("0"))
     elif kind in (b"P2", b"P3"):
-        values = np.array(re.sub(rb"#[^\r\n]*", b"", data[place:]).split()[:count], dtype=np.int64).astype(kind_of)
+        found = re.sub(rb"#[^\r\n]*", b"", data[place:]).split()[:count]
+        if any(not x.isdigit() or len(x) > 5 for x in found):
+            raise ValueError("bad Netpbm sample")
+        values = np.array(found, dtype=np.int64)
     elif kind == b"P4":
         stride = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, stride * height, place + 1).reshape(height, stride)
@@ -73,7 +82,17 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         values = np.frombuffer(data, np.uint8 if top < 256 else ">u2", count, place + 1).astype(kind_of, copy=False)
     if len(values) != count:
         raise ValueError("short Netpbm raster")
-    return values.reshape((height, width, 3) if planes == 3 else (height, width))
+    if values.max(initial=0) > top:
+        raise ValueError("sample over maxval")
+    return values.astype(kind_of, copy=False).reshape((height, width, 3) if planes == 3 else (height, width)), top
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6 as (h, w) or (h, w, 3); uint8, or uint16 where maxval exceeds 255.
+
+    Bitmaps give 0 for black and 1 for white.
+    """
+    return _netpbm(data)[0]
 
 
 def encode_bmp(samples: np.ndarray) -> bytes:
@@ -100,18 +119,24 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("unsupported BMP")
     upward, height = height > 0, abs(height)
     stride = (width * bits + 31) // 32 * 4
+    if start + stride * height > len(data):
+        raise ValueError("short BMP raster")
     raster = np.frombuffer(data, np.uint8, stride * height, start).reshape(height, stride)
     if upward:
         raster = raster[::-1]
     if bits >= 24:
         return raster[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1]
     used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    if 14 + size + 4 * used > len(data):
+        raise ValueError("short BMP palette")
     palette = np.frombuffer(data, np.uint8, used * 4, 14 + size).reshape(used, 4)[:, 2::-1]
     if bits == 8:
         index = raster[:, :width]
     else:
         unpacked = np.unpackbits(raster, axis=1).reshape(height, -1, bits)
         index = (unpacked @ (1 << np.arange(bits - 1, -1, -1)))[:, :width]
+    if index.max(initial=0) >= used:
+        raise ValueError("place beyond the BMP palette")
     grey = (palette == palette[:, :1]).all()
     return palette[:, 0][index] if grey else palette[index]
 
@@ -121,6 +146,15 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def full_range(data: bytes) -> np.ndarray:
+    """The decoded image with its samples scaled to 0 to 255, or to 65535 where maxval exceeds 255, rounded half up."""
+    if data[:2] == b"BM":
+        return decode_bmp(data)
+    image, top = _netpbm(data)
+    full = 255 if top < 256 else 65535
+    return image if top == full else (2 * image.astype(np.int64) * full + top) // (2 * top)
+
+
 def grey_of(image: np.ndarray) -> np.ndarray:
     """Integer luma of a colour image, a grey one as it is."""
     if image.ndim == 2:
@@ -170,7 +204,7 @@ def difference_hash(grey: np.ndarray) -> str:
 
 def features(media: bytes, tile: int = TILE) -> tuple[bytes, str]:
     """NPY tile and difference hash of an image."""
-    grey = grey_of(decode(media))
+    grey = grey_of(full_range(media))
     small = area_resize(grey, tile, tile)
     return npy_bytes(small.astype(np.uint8 if small.max(initial=0) < 256 else np.uint16)), difference_hash(grey)
 
@@ -190,8 +224,8 @@ def media_tiles(df: DataFrame, media: str = "media", tile: int = TILE) -> DataFr
             for data in _binaries(batch.column(media)):
                 try:
                     out.append((*features(data, tile), None) if data is not None else (None, None, "null"))
-                except ValueError as problem:
-                    out.append((None, None, str(problem)))
+                except (ValueError, IndexError, OverflowError, struct.error) as problem:
+                    out.append((None, None, str(problem) or type(problem).__name__))
             extra = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.binary(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "tile", "dhash", "error"])
 
@@ -217,7 +251,7 @@ def store_payloads(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def read_payloads(stored: DataFrame, key: str = "doc_id", tile: int = TILE) -> DataFrame:
-    """Digests and features of the payloads that the stored media decode to."""
+    """Digests, features and NPY tiles of the payloads that the stored media decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,20 +261,20 @@ def read_payloads(stored: DataFrame, key: str = "doc_id", tile: int = TILE) -> D
                 payload = image.tobytes()
                 grey = grey_of(image)
                 small = npy_bytes(area_resize(grey, tile, tile).astype(np.uint8))
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(grey), hashlib.sha256(small).hexdigest()))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(grey), small))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             extra = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *extra], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *extra], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
 
     kind = stored.schema[key].dataType.simpleString()
     return stored.select(key, "n_bytes", "media").mapInArrow(
         run,
         f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string, tile_sha256 string",
+        "media_bytes long, media_sha256 string, feature string, tile binary",
     )
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as PGM in a Parquet media column, read back with digests, tile digest and difference hash."""
+    """Every document as PGM in a Parquet media column, read back with digests, NPY tile and difference hash."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_payloads(materialize(store_payloads(documents), "media"))
