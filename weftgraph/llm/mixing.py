@@ -1,8 +1,8 @@
 """Mixing sources to target weights by the cube method.
 
 Each source gets a share of all words by its weight, at most CAP times what it has;
-what that leaves over goes to the other sources by weight (water filling, on the table
-of sources). A source's rate is its target over its words: every document is
+what that leaves over goes to the other sources by weight (water filling). The table of sources stays
+distributed, as sources may be as many as hosts: their order comes from ranges, the level of the water from sums. A source's rate is its target over its words: every document is
 taken floor(rate) times, and once more with the remaining fraction as probability.
 
 Those extra copies are drawn by balanced sampling. The flight moves three units' probabilities
@@ -10,7 +10,9 @@ at a time along the null space of the two constraints, documents and words of th
 source, until at most two are still fractional. It runs in blocks of about BLOCK_ROWS
 units of a source, then again over what the blocks leave, and so on; in the last, one
 block a source, the landing picks the rounding of the remaining one or two units with the
-least error. All moves follow hashes of the ids, so reruns agree.
+least error and then turns further units, from large to small, as long as that brings the words
+nearer to the target: the flight leaves large units open, as small ones reach their ends first.
+All moves follow hashes of the ids, so reruns agree.
 
 Defined results: rows that repeat an id within a source are one unit and are all
 taken alike; a null source is a source of its own, last in order; null texts and
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import DOCUMENT_COLUMNS, materialize, table, word_count
+from .shared import DOCUMENT_COLUMNS, looked_up, materialize, shuffle_partitions, table, word_count
 
 CAP = 3.0
 CYCLE = 3
@@ -35,23 +37,32 @@ BLOCK_ROWS = 8_000
 _EDGE = 1e-9
 
 
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """rows with turn, their place from 0 in the order of a column, nulls last: places in ranges, and the sizes of the ranges."""
+    order = F.col(column).asc_nulls_last()
+    ranged = materialize(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), order).withColumn("part", F.spark_partition_id()), "ranged")
+    before, at = [], 0
+    # A row for each partition, of which there are shuffle_partitions at most.
+    for row in ranged.groupBy("part").count().orderBy("part").collect():
+        before.append((row["part"], at))
+        at += row["count"]
+    offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
+    return ranged.join(F.broadcast(offsets), "part").withColumn("turn", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(order)) - 1).drop("part", "before")
+
+
 def targets(sizes: DataFrame, source: str = "source", size: str = "size", cap: float = CAP, cycle: int = CYCLE) -> DataFrame:
     """(source, source_size, units, target) for weights 1 .. cycle, repeating in code point order of the sources, null last."""
     totals = sizes.groupBy(source).agg(F.sum(size).alias("source_size"), F.count("*").alias("units"))
-    # From here on there is a row a source.
-    everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    weight = ((F.row_number().over(W.orderBy(F.col(source).asc_nulls_last())) - 1) % cycle + 1).cast("double")
-    rows = totals.withColumn("weight", weight).withColumn("limit", cap * F.col("source_size"))
-    rank = W.orderBy(F.col("limit") / F.col("weight"), F.col(source).asc_nulls_last())
-    before = rank.rowsBetween(W.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("rank", F.row_number().over(rank))
-        .withColumn("spent", F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
-        .withColumn("gone", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.col("spent")) / (F.sum("weight").over(everything) - F.col("gone")))
-    )
-    # The first source that the level does not fill sets the level of all that follow.
-    level = F.min_by(F.when(F.col("limit") >= F.col("weight") * F.col("level"), F.col("level")), F.when(F.col("limit") >= F.col("weight") * F.col("level"), F.col("rank"))).over(everything)
+    rows = numbered(totals, source).withColumn("weight", (F.col("turn") % cycle + 1).cast("double")).withColumn("limit", cap * F.col("source_size"))
+    rows = materialize(rows, "sources")
+    # The level rises as sources reach their limits, and more do as it rises; every round but the last adds some.
+    level, full = 0.0, -1
+    while True:
+        over = F.col("limit") < F.col("weight") * level
+        sums = rows.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("limit"))).alias("spent"), F.sum(F.when(~over, F.col("weight"))).alias("open"), F.count(F.when(over, 1)).alias("full")).first()
+        if sums["full"] == full or not sums["open"]:
+            break
+        full, level = sums["full"], (float(sums["all"]) - (sums["spent"] or 0.0)) / sums["open"]
     return rows.select(source, "source_size", "units", F.least("limit", F.col("weight") * level).alias("target"))
 
 
@@ -109,18 +120,23 @@ def fly(chances: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
 
 
 def land(chances: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The landing: the last fractional units rounded with the least error in words, then in documents."""
+    """The landing: the last fractional units rounded with the least error in words, then in documents; then single units turned to lessen the error."""
     out = chances.copy()
     open_ = np.flatnonzero((out > _EDGE) & (out < 1 - _EDGE))
-    if not len(open_):
-        return np.round(out)
     best = min(
         range(1 << len(open_)),
         key=lambda c: (abs(sum(((c >> b & 1) - out[x]) * sizes[x] for b, x in enumerate(open_))), abs(sum((c >> b & 1) - out[x] for b, x in enumerate(open_))), c),
     )
     for b, x in enumerate(open_):
         out[x] = best >> b & 1
-    return np.round(out)
+    out = np.round(out)
+    over = float((out - chances) @ sizes)
+    # From large to small, so that each turn may be followed by finer ones.
+    for x in np.lexsort((np.arange(len(out)), -sizes)).tolist():
+        turned = over - sizes[x] if out[x] else over + sizes[x]
+        if abs(turned) < abs(over):
+            out[x], over = 1 - out[x], turned
+    return out
 
 
 def sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -158,15 +174,14 @@ def sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", cap: float = CAP, cycle: int = CYCLE, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows, units): a row with key, source and size for each of df's; a unit a key and source with source_size, target and copies."""
     rows = materialize(df.select(F.col(key).alias("uid"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
-    # A row a source, written so that its size is known before it is broadcast or not.
-    goals = materialize(targets(rows, "source", "size", cap, cycle).withColumn("source_key", F.xxhash64("source", F.col("source").isNull())), "goals")
+    source_key = F.xxhash64("source", F.col("source").isNull())
+    goals = materialize(targets(rows, "source", "size", cap, cycle).select(source_key.alias("source_key"), "source_size", "units", "target", F.col("units").alias("n_units")), "goals")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + 1e-9)
-    units = (
-        rows.groupBy("uid", "source").agg(F.sum("size").cast("double").alias("weight_words"))
-        .alias("u").join(goals.alias("g"), F.col("u.source").eqNullSafe(F.col("g.source")))
-        .select("uid", "u.source", "source_key", "weight_words", F.greatest(rate - whole, F.lit(0.0)).alias("chance"), whole.cast("long").alias("whole"),
-                F.col("units").alias("n_units"), "source_size", "target", F.xxhash64("uid", "source_key").alias("lot"))
+    once = rows.groupBy("uid", "source").agg(F.sum("size").cast("double").alias("weight_words")).withColumn("source_key", source_key)
+    units = looked_up(once, goals, "source_key", "units").select(
+        "uid", "source", "source_key", "weight_words", F.greatest(rate - whole, F.lit(0.0)).alias("chance"), whole.cast("long").alias("whole"),
+        "n_units", "source_size", "target", F.xxhash64("uid", "source_key").alias("lot"),
     )
     drawn = sample(units, block_rows)
     return rows, drawn.select("uid", "source", "source_size", "target", (F.col("whole") + F.round("chance").cast("long")).alias("copies"))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import DOCUMENT_COLUMNS, materialize, table
+from .shared import DOCUMENT_COLUMNS, looked_up, materialize, table
 
 SEED = 42
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -409,10 +409,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = tuple(measured)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # The centre of a large star has very many neighbours: its row is looked up, not joined.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = materialize(looked_up(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
+        small = looked_up(large, lowest, "u", "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
