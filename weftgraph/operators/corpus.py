@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_of, noise_category, title_block, topic_scope
@@ -39,9 +38,11 @@ def selected(pages: DataFrame, quota: int, stub: int = STUB_CHARS) -> DataFrame:
         (topic_scope(F.col("categories")).isNotNull(), topic_scope(F.col("categories"))), (F.col("failed"), F.lit("fetch_failed")), (F.col("chars") < stub, F.lit("stub")),
     )
     judged = pages.withColumn("reason", reason)
-    order = W.orderBy(F.col("overlap").desc(), F.col("support").desc(), "title")
-    # Only what is left takes a place; the running count needs the order of the kept pages alone.
-    kept = judged.filter("reason is null").withColumn("place", F.row_number().over(order)).withColumn("reason", F.when(F.col("place") > quota, "over_quota")).drop("place")
+    place = F.struct((-F.col("overlap")).alias("overlap"), (-F.col("support")).alias("support"), "title")
+    # Only what is left takes a place. The last place within the quota is one row; a limit by order is taken in each task first.
+    kept = judged.filter("reason is null")
+    last = kept.select(place.alias("last")).orderBy("last").limit(quota).agg(F.max("last").alias("last"))
+    kept = kept.crossJoin(F.broadcast(last)).withColumn("reason", F.when(F.coalesce(place > F.col("last"), F.lit(True)), "over_quota")).drop("last")
     return kept.unionByName(judged.filter("reason is not null"))
 
 

@@ -10,8 +10,8 @@ from ..functions import fixed
 from ..functions.rules import co_participant, route, seed_score, target_relation, target_type, type_priority
 from ..functions.text import without_particle
 
-#: An alias table up to this many rows is broadcast to the containment join; a larger one is looked up by its length.
-BROADCAST_ALIASES = 200_000
+#: An alias table up to this many rows is broadcast and tested by a loop; a larger one meets substrings by equality.
+BROADCAST_ALIASES = 1_000
 
 
 def contained(questions: DataFrame, aliases: DataFrame, least: int = 2) -> DataFrame:
@@ -23,10 +23,20 @@ def contained(questions: DataFrame, aliases: DataFrame, least: int = 2) -> DataF
     usable = aliases.filter(F.length("surface") >= least)
     if usable.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
         return questions.join(F.broadcast(usable), F.expr("contains(question, surface)")).select("qid", "question", "surface", "id", "type")
-    lengths = [r[0] for r in usable.select(F.length("surface")).distinct().collect()]
-    part_of = lambda n: lambda i: F.substring("question", i, F.lit(n))
-    parts = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("question") - n + 1, F.lit(1))), part_of(n)) for n in sorted(lengths))))
-    return questions.select("qid", "question", F.explode(F.array_distinct(parts)).alias("surface")).join(usable, "surface").select("qid", "question", "surface", "id", "type")
+    parts = questions.select("qid", "question", F.explode(substrings(F.col("question"), _lengths(usable, "surface"))).alias("surface"))
+    return parts.join(usable, "surface").select("qid", "question", "surface", "id", "type")
+
+
+def _lengths(rows: DataFrame, column: str) -> list[int]:
+    """The different lengths of a column of names, of which there are few."""
+    return sorted(r[0] for r in rows.select(F.length(column)).distinct().collect() if r[0])
+
+
+def substrings(text: Column, lengths: list[int]) -> Column:
+    """The different substrings of a text that have one of the lengths."""
+    part_of = lambda n: lambda i: F.substring(text, i, F.lit(n))
+    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), part_of(n))).otherwise(F.array().cast("array<string>")) for n in lengths]
+    return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")
 
 
 def seeds(questions: DataFrame, aliases: DataFrame, least: int = 2) -> DataFrame:
@@ -55,5 +65,8 @@ def unknown_concepts(questions: DataFrame, found: DataFrame, aliases: DataFrame)
     rows = questions.join(surfaces, "qid", "left").withColumn("surfaces", F.coalesce("surfaces", F.array().cast("array<string>")))
     words = rows.select("qid", F.explode(F.array_distinct(_concepts(F.col("question"), F.col("surfaces")))).alias("c")).select("qid", "c.word", "c.stem")
     common = F.col("stem").isin(*fixed.COMMON_WORDS) | F.col("word").isin(*fixed.COMMON_WORDS)
-    known = aliases.select("surface").distinct()
-    return words.filter(~common).join(known, F.expr("contains(surface, stem)"), "left_anti").select("qid", "word")
+    asked, known = words.filter(~common), aliases.select("surface").distinct()
+    if known.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES:
+        return asked.join(F.broadcast(known), F.expr("contains(surface, stem)"), "left_anti").select("qid", "word")
+    parts = known.select(F.explode(substrings(F.col("surface"), _lengths(asked, "stem"))).alias("stem")).distinct()
+    return asked.join(parts, "stem", "left_anti").select("qid", "word")

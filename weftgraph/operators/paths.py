@@ -172,28 +172,52 @@ def numbered(path: Column) -> Column:
     return F.array_join(F.transform(path, line), "\n")
 
 
-def two_hop_patterns(edges: DataFrame) -> DataFrame:
-    """(a, event, b, organization): a and b took part in the event and b founded the organization."""
-    part = edges.filter("relation = 'PARTICIPATED_IN'").select(F.col("head"), F.col("tail").alias("event"))
-    founded = edges.filter("relation = 'FOUNDED'").select(F.col("head").alias("b"), F.col("tail").alias("organization"))
-    other = part.withColumnRenamed("head", "b").join(founded, "b")
-    return part.withColumnRenamed("head", "a").join(other, "event").filter("a <> b and organization <> a and organization <> event").select("a", "event", "b", "organization").distinct()
+def _sides(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(head, event) of participations and (b, organization) of foundings."""
+    part = edges.filter("relation = 'PARTICIPATED_IN'").select("head", F.col("tail").alias("event")).distinct()
+    return part, edges.filter("relation = 'FOUNDED'").select(F.col("head").alias("b"), F.col("tail").alias("organization")).distinct()
+
+
+def pattern_counts(edges: DataFrame) -> DataFrame:
+    """(event, patterns, organizations) of the patterns (a, event, b, organization): a and b took part in the event and b founded the organization.
+
+    The pairs of a and b are counted and never listed: a founder has as many patterns as there are others in the event.
+    """
+    part, founded = _sides(edges)
+    people = part.groupBy("event").agg(F.count("*").alias("people"))
+    bridges = part.withColumnRenamed("head", "b").join(founded, "b").filter("organization <> event")
+    # An organization that takes part itself is not its own first person.
+    own = part.select("event", F.col("head").alias("organization"), F.lit(1).alias("inside"))
+    each = bridges.join(people, "event").join(own, ["event", "organization"], "left")
+    each = each.withColumn("others", F.col("people") - 1 - F.when(F.col("organization") != F.col("b"), F.coalesce("inside", F.lit(0))).otherwise(0)).filter("others > 0")
+    return each.groupBy("event").agg(F.sum("others").alias("patterns"), F.count_distinct("organization").alias("organizations"))
+
+
+def bridges(edges: DataFrame, most: int = 10, per_event: int = 2) -> DataFrame:
+    """(a, event, b, organization), the least organization of each a, event and b, that a choice of so many patterns can need.
+
+    Of an event's founders only the first most + per_event + 1 can be chosen: so many others at most are a itself or taken already.
+    """
+    part, founded = _sides(edges)
+    pairs = part.withColumnRenamed("head", "b").join(founded, "b").filter("organization <> event")
+    # The two least organizations of a founder, as one of them may be a.
+    least = pairs.withColumn("n", F.row_number().over(W.partitionBy("event", "b").orderBy("organization"))).filter("n <= 2").groupBy("event", "b").agg(F.array_sort(F.collect_list("organization")).alias("organizations"))
+    first = least.withColumn("n", F.row_number().over(W.partitionBy("event").orderBy("b"))).filter(F.col("n") <= most + per_event + 1)
+    joined = part.withColumnRenamed("head", "a").join(first, "event").filter("a <> b")
+    return joined.select("a", "event", "b", F.get(F.filter("organizations", lambda o: o != F.col("a")), 0).alias("organization")).filter("organization is not null")
 
 
 def diverse_patterns(patterns: DataFrame, most: int = 10, per_event: int = 2) -> list[tuple[str, str, str, str]]:
     """A greedy choice in alphabetical order: an event at most twice, a bridge person once.
 
-    Sequential by nature. The patterns stay sorted and distributed; partitions are only read until the choice is full.
+    Sequential by nature, in ``most`` rounds. What is refused once stays so, so that each round is the least row that is not refused.
     """
     chosen: list[tuple[str, str, str, str]] = []
-    events: dict[str, int] = {}
-    bridges: set[str] = set()
-    least = patterns.groupBy("a", "event", "b").agg(F.min("organization").alias("organization")).orderBy("a", "event", "b")
-    for row in least.toLocalIterator():
-        if len(chosen) == most:
+    while len(chosen) < most:
+        events = [e for _, e, _, _ in chosen]
+        free = patterns.filter(~F.col("b").isin([b for _, _, b, _ in chosen]) & ~F.col("event").isin([e for e in set(events) if events.count(e) >= per_event]))
+        least = free.agg(F.min(F.struct("a", "event", "b", "organization")).alias("least")).first()["least"]
+        if least is None:
             break
-        if row["b"] not in bridges and events.get(row["event"], 0) < per_event:
-            events[row["event"]] = events.get(row["event"], 0) + 1
-            bridges.add(row["b"])
-            chosen.append((row["a"], row["event"], row["b"], row["organization"]))
+        chosen.append(tuple(least))
     return chosen

@@ -93,8 +93,8 @@ sql("kg_3hop_chain", f"""WITH {STEPS} {seed("C1")} {CHAIN}
 SELECT qid, a.other AS target, count(*) AS paths, round(max(w1 * w2 * w3 * a.w), 6) AS score
 FROM found JOIN adj a ON a.node = org AND a.direction = 'forward' AND a.relation = 'PARTICIPATED_IN' AND a.other_type = 'Event' AND a.other <> ev GROUP BY qid, a.other""")
 sql("kg_two_seed_intersect", f"""WITH {STEPS},
-e AS (SELECT other AS per, min({{'t': node, 'w': w}}) AS x FROM adj WHERE node IN ('P1', 'P3') AND relation = 'PARTICIPATED_IN' AND other_type = 'Person' GROUP BY other),
-o AS (SELECT other AS per, min({{'t': node, 'w': w}}) AS x FROM adj WHERE node IN ('S1', 'S3', 'S5') AND relation = 'FOUNDED' AND other_type = 'Person' GROUP BY other),
+e AS (SELECT other AS per, min({{'t': node, 'w': w}}) AS x FROM adj WHERE node IN (SELECT 'P' || i FROM range(1, 40) r(i)) AND relation = 'PARTICIPATED_IN' AND other_type = 'Person' GROUP BY other),
+o AS (SELECT other AS per, min({{'t': node, 'w': w}}) AS x FROM adj WHERE node IN (SELECT 'S' || i FROM range(1, 10) r(i)) AND relation = 'FOUNDED' AND other_type = 'Person' GROUP BY other),
 r AS (SELECT per, o.x.w * e.x.w AS score, o.x.t AS ot, e.x.t AS et FROM e JOIN o USING (per)),
 k AS (SELECT *, row_number() OVER (ORDER BY score DESC, [ot, per, et]) AS n FROM r)
 SELECT 'q' AS qid, per AS target, round(score, 6) AS score, ot || ' <-[FOUNDED]- ' || per || ' -[PARTICIPATED_IN]-> ' || et AS path FROM k WHERE n <= 50""")
@@ -133,10 +133,19 @@ SELECT seed, node, CAST(min(hop) AS INT) AS hop FROM walk GROUP BY seed, node"""
 
 sql("kg_bfs", _bfs("TRUE"))
 sql("kg_bfs_hubs", _bfs("(hop = 0 OR n <= 40)"))
-PATTERNS = f"""WITH {EDGES}, part AS (SELECT head, tail AS event FROM edges WHERE relation = 'PARTICIPATED_IN' AND head_type = 'Person' AND tail IN ('P1', 'P2', 'P3')),
-fo AS (SELECT head AS b, tail AS organization FROM edges WHERE relation = 'FOUNDED'),
-pat AS (SELECT DISTINCT x.head AS a, x.event, y.head AS b, organization FROM part x JOIN part y ON x.event = y.event AND x.head <> y.head JOIN fo ON fo.b = y.head)"""
+PATTERNS = f"""WITH {EDGES}, part AS (SELECT head, tail AS event FROM edges WHERE relation = 'PARTICIPATED_IN' AND head_type = 'Person'),
+fo AS (SELECT head AS b, tail AS organization FROM edges WHERE relation = 'FOUNDED' AND head_type = 'Person'),
+pat AS (SELECT x.head AS a, x.event, y.head AS b, organization FROM part x JOIN part y ON x.event = y.event AND x.head <> y.head JOIN fo ON fo.b = y.head)"""
 sql("kg_two_hop_proof", f"{PATTERNS} SELECT event, count(*) AS patterns, count(DISTINCT organization) AS organizations FROM pat GROUP BY event")
+sql("kg_two_hop_greedy", PATTERNS.replace("WITH", "WITH RECURSIVE", 1) + """,
+one AS MATERIALIZED (SELECT a, event, b, min(organization) AS organization FROM pat GROUP BY a, event, b),
+g(n, got, used, told) AS (
+  SELECT 0, NULL::STRUCT(a VARCHAR, event VARCHAR, b VARCHAR, organization VARCHAR), []::VARCHAR[], []::VARCHAR[]
+  UNION ALL
+  SELECT n + 1, m, list_append(used, m.b), list_append(told, m.event) FROM (
+    SELECT n, used, told, min({'a': a, 'event': event, 'b': b, 'organization': organization}) AS m
+    FROM g JOIN one ON n < 10 AND NOT list_contains(used, b) AND len(list_filter(told, lambda x: x = event)) < 2 GROUP BY n, used, told))
+SELECT got.a AS a, got.event AS event, got.b AS b, got.organization AS organization FROM g WHERE n > 0""")
 sql("kg_supporting", f"""WITH {STEPS} {TWO_SEEDS} {CHAIN}, top5 AS (SELECT * FROM ranked WHERE rank <= 5),
 st AS (SELECT qid, rank, 1 AS hop, qid AS head, 'PARTICIPATED_IN' AS relation, ev AS tail FROM top5 UNION ALL SELECT qid, rank, 2, per, 'PARTICIPATED_IN', ev FROM top5 UNION ALL SELECT qid, rank, 3, per, 'FOUNDED', org FROM top5),
 f AS (SELECT qid, head, relation, tail, min({{'rank': rank, 'hop': hop}}) AS m FROM st GROUP BY qid, head, relation, tail)
@@ -267,7 +276,7 @@ def grams(key: str, text: str, source: str) -> str:
 CHUNKS = f"""ck AS (SELECT doc, o, chunk FROM (SELECT item_id AS doc, o, {STRIP.format("substring(text, o + 1, 800)")} AS chunk FROM (SELECT item_id, text, unnest(range(0, length(text), 650)) AS o FROM benchmark)) WHERE length(chunk) >= 40),
 cg AS (SELECT doc, o, gram, 1 + ln(count(*)) AS tf FROM ({grams("doc, o", "chunk", "ck")}) GROUP BY doc, o, gram)"""
 sql("tfidf_df", f"WITH {CHUNKS} SELECT gram, count(*) AS df FROM cg GROUP BY gram")
-ASKED = "ask AS (SELECT conv_id AS qid, text[:60] AS question FROM conversations WHERE turn = 0)"
+ASKED = "ask AS (SELECT conv_id AS qid, text AS question FROM conversations WHERE turn = 0)"
 RANKED = f"""WITH {CHUNKS}, {ASKED}, idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM ck)) / (1 + count(*))) + 1 AS idf FROM cg GROUP BY gram),
 wt AS (SELECT doc, o, gram, tf * idf AS w FROM cg JOIN idf USING (gram)), nr AS (SELECT doc, o, sqrt(sum(w * w)) AS n FROM wt GROUP BY doc, o),
 qg AS (SELECT qid, gram, (1 + ln(count(*))) AS tf FROM ({grams("qid", "question", "ask")}) GROUP BY qid, gram), qw AS (SELECT qid, gram, tf * idf AS w FROM qg JOIN idf USING (gram)), qn AS (SELECT qid, sqrt(sum(w * w)) AS n FROM qw GROUP BY qid),
@@ -318,7 +327,7 @@ ACCURACY = """CASE WHEN len(list_filter({e}, lambda x: contains(replace({a}, ' '
 WHEN len(list_filter({e}, lambda x: length(trim(x)) >= 3 AND len(list_filter(range(1, length(trim(x))), lambda i: contains({a}, substring(trim(x), i, 2)))) > 0)) > 0 THEN 0.5 ELSE 0.0 END"""
 GOLDEN = EDGES + f""",
 it AS (SELECT 'G' || c_custkey AS item_id, CAST(c_custkey % 3 + 1 AS INT) AS hops, [c_mktsegment, c_name] AS expected, c_custkey % 11 <> 0 AS answerable,
-  CASE WHEN c_custkey % 5 = 0 THEN 'It is ' || lower(c_mktsegment) WHEN c_custkey % 5 = 1 THEN 'none, BUx' ELSE 'It is ' || regexp_replace(c_mktsegment, '(.)', '\\1 ', 'g') END AS answer, c_custkey % 2 = 0 AS refused FROM customer WHERE c_custkey < 60),
+  CASE WHEN c_custkey % 5 = 0 THEN 'It is ' || lower(c_mktsegment) WHEN c_custkey % 5 = 1 THEN 'none, BUx' ELSE 'It is ' || regexp_replace(c_mktsegment, '(.)', '\\1 ', 'g') END AS answer, c_custkey % 2 = 0 AS refused FROM customer),
 ex AS (SELECT item_id, e.tail AS n, head, relation, CASE WHEN e.tail LIKE '%7' THEN 'P-none' ELSE e.tail END AS tail FROM edges e JOIN it ON item_id = 'G' || head[2:] WHERE head_type = 'Person' AND answerable AND confidence > 0.97),
 cx AS (SELECT DISTINCT 'G' || head[2:] AS item_id, head, relation, tail FROM edges WHERE confidence < 0.995),
 eh AS (SELECT ex.*, cx.head IS NOT NULL AS hit FROM ex LEFT JOIN cx USING (item_id, head, relation, tail)),
