@@ -64,16 +64,27 @@ def test_parse_does_not_depend_on_chunks(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts))
 
 
-def test_many_windows_of_one_trigger(monkeypatch):
-    monkeypatch.setattr(dedup, "SORT_WINDOWS", 64)
+@pytest.mark.parametrize("places", [64, 1 << 19])
+def test_many_phrases_of_one_trigger(monkeypatch, places):
+    """Phrases with few different sides, periodic ones with the trigger at every place, and ones that end in a window."""
+    monkeypatch.setattr(dedup, "SORT_PLACES", places)
+    monkeypatch.setattr(dedup, "SORT_BYTES", 4000)
     r = np.random.default_rng(1)
-    texts = list({bytes(r.integers(97, 99, r.integers(50, 90)).astype(np.uint8)) for _ in range(200)} | {b"a" * 70, b"a" * 55})
+    whole = b"".join(bytes(r.integers(97, 99, 400).astype(np.uint8)) + b"a" * 90 + b"ab" * 60 + b"same passage of the text " * 4 for _ in range(12))
+    docs = [whole[i : i + 300] for i in range(0, len(whole) - 300, 97)]
+    phrases = {}
+    for d, text in enumerate(docs):
+        for keys, _, at, counts in dedup.parse(np.frombuffer(text, np.uint8), np.array([len(text)])):
+            for key, a, n in zip(keys.tolist(), at.tolist(), counts.tolist()):
+                phrases.setdefault((text[a : a + n + 49], key), []).append(d)
+    texts, triggers = [t for t, _ in phrases], np.array([k for _, k in phrases], np.uint64)
     ids = r.permutation(len(texts))
-    got = dedup.least_ids(texts, np.zeros(len(texts), np.uint64), ids)
+    got = dedup.least_ids(texts, triggers, ids)
     least = {}
     for t, i in zip(texts, ids.tolist()):
         for p in range(len(t) - 49):
             least[t[p : p + 50]] = min(i, least.get(t[p : p + 50], i))
+    assert max(np.unique(triggers, return_counts=True)[1]) > 5
     for t, found in zip(texts, got):
         assert np.broadcast_to(found, len(t) - 49).tolist() == [least[t[p : p + 50]] for p in range(len(t) - 49)]
 

@@ -10,8 +10,11 @@ is done on the dictionary of distinct phrases, not on the corpus:
    triggers to buckets by hash.
 2. A bucket answers each lot with the triggers that more than one document has.
 3. A lot parses its texts at those and sends each distinct phrase with its smallest and largest id.
-4. A bucket sorts the suffixes of its phrases that have a whole window (a suffix array of the dictionary to a
-   depth of LEAST) and answers with the runs of windows that some document with a smaller id has.
+4. A bucket parses its phrases at the places of their trigger. What ends with the trigger makes its dictionary, what
+   follows from the trigger on is the rest of the parse. It sorts the suffixes of the dictionary and the rests, each once
+   however many windows they are part of, and combines both ranks: windows are equal if they agree in the suffix
+   before the trigger and in the rest, to a depth of LEAST together. It answers with the runs of windows that some
+   document with a smaller id has.
 5. A lot maps runs back through its parse, the phrase occurrences, to bytes of its documents.
 
 A passage that very many documents share is one trigger and one phrase a lot, so no bucket gathers it more
@@ -41,7 +44,8 @@ GRAM = 16
 LOT_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
-SORT_WINDOWS = 1 << 18
+SORT_BYTES = 1 << 23
+SORT_PLACES = 1 << 19
 
 _STORE, _ANSWER = -1, -2
 _NO_ID = np.iinfo(np.int64).max
@@ -67,23 +71,31 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def window_triggers(data: np.ndarray) -> np.ndarray:
-    """For each window of LEAST bytes the least hash of its GRAM-byte strings, as 40 evenly spread bits."""
-    if len(data) < LEAST:
-        return np.zeros(0, np.uint64)
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
     hashes = (data.astype(np.uint64) + np.uint64(1)) * _ODD[0]
     step = 1
     for factor in _ODD[1:5]:
         hashes = hashes[:-step] * factor + hashes[step:]
         step *= 2
     assert step == GRAM
-    least, width = _mix(hashes), 1
+    return _mix(hashes)
+
+
+def _trigger(hashes: np.ndarray) -> np.ndarray:
+    return _mix(hashes * _ODD[5]) >> np.uint64(24)
+
+
+def window_triggers(data: np.ndarray) -> np.ndarray:
+    """For each window of LEAST bytes the least hash of its GRAM-byte strings, as 40 evenly spread bits."""
+    if len(data) < LEAST:
+        return np.zeros(0, np.uint64)
+    least, width = _gram_hashes(data), 1
     while 2 * width <= LEAST - GRAM + 1:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if rest := LEAST - GRAM + 1 - width:
         least = np.minimum(least[:-rest], least[rest:])
-    return _mix(least * _ODD[5]) >> np.uint64(24)
+    return _trigger(least)
 
 
 def _chunks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -249,7 +261,7 @@ def _phrases(buckets: int):
         for b, part in _stretches(keys[order], buckets):
             own_part = order[part]
             chosen = [texts[i] for i in own_part]
-            rows.append((lot, b, _packed(_small(keys[own_part]), own_part.astype(np.uint32), low[own_part], high[own_part], np.array([len(t) for t in chosen], np.uint32), b"".join(chosen))))
+            rows.append((lot, b, _packed(_small(keys[own_part]), own_part.astype(np.uint32), low[own_part], high[own_part], np.array([len(t) for t in chosen], np.uint32), b"".join(chosen), level=7)))
         return pa.Table.from_batches([_record(rows)])
 
     return run
@@ -262,54 +274,102 @@ def least_ids(texts: list[bytes], triggers: np.ndarray, ids: np.ndarray) -> list
     ranked = triggers[order]
     at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     sizes = np.diff(np.append(at, len(order)))
-    # A trigger with one phrase needs no sorting. The others are taken together up to SORT_WINDOWS windows.
+    # A trigger with one phrase needs no sorting. The others are taken together up to SORT_BYTES.
     todo: list[int] = []
-    windows = 0
+    held = 0
     for start, n in zip(at[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         members = order[start : start + n].tolist()
         todo += members
-        windows += sum(len(texts[i]) - LEAST + 1 for i in members)
-        if windows >= SORT_WINDOWS:
-            _sorted_windows(texts, ids, todo, out)
-            todo, windows = [], 0
-    _sorted_windows(texts, ids, todo, out)
+        held += sum(len(texts[i]) for i in members)
+        if held >= SORT_BYTES:
+            _combined(texts, triggers, ids, todo, out)
+            todo, held = [], 0
+    _combined(texts, triggers, ids, todo, out)
     return out
 
 
-def _sorted_windows(texts: list[bytes], ids: np.ndarray, members: list[int], out: list[np.ndarray | int]) -> None:
-    """Suffix-sorts the members' windows to LEAST bytes and takes each equal run's smallest id."""
+def _combined(texts: list[bytes], triggers: np.ndarray, ids: np.ndarray, members: list[int], out: list[np.ndarray | int]) -> None:
+    """Parses the members at their triggers and takes the smallest id of each window from the ranks of its two sides."""
     if not members:
         return
     joined = np.frombuffer(b"".join(texts[i] for i in members), np.uint8)
     lengths = np.array([len(texts[i]) for i in members])
-    counts = lengths - LEAST + 1
-    starts = np.repeat(np.cumsum(lengths) - lengths, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    of = np.repeat(ids[members], counts)
-    least = np.empty(len(starts), np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(joined, LEAST)
-    # Parts by hash keep equal windows together and what is sorted at once bounded, however many one trigger has.
-    parts = -(-len(starts) // (2 * SORT_WINDOWS))
-    lot = np.zeros(len(starts), np.uint64) if parts == 1 else _mix(_window_hash(joined)[starts]) % np.uint64(parts)
-    for part in range(parts):
-        chosen = np.flatnonzero(lot == part)
-        rows = np.ascontiguousarray(windows[starts[chosen]]).view(f"V{LEAST}").reshape(-1)
-        order = np.argsort(rows, kind="stable")
-        ranked = rows[order]
-        at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        low = np.minimum.reduceat(of[chosen][order], at)
-        least[chosen[order]] = np.repeat(low, np.diff(np.append(at, len(order))))
-    for i, a, n in zip(members, (np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
-        out[i] = least[a : a + n]
-
-
-def _window_hash(data: np.ndarray) -> np.ndarray:
-    """A hash of each window of LEAST bytes: two overlapping powers of two."""
-    hashes, step = (data.astype(np.uint64) + np.uint64(1)) * _ODD[2], 1
-    for factor in _ODD[:5]:
-        hashes = hashes[:-step] * factor + hashes[step:]
-        step *= 2
-    rest = LEAST - step
-    return hashes[:-rest] * _ODD[5] + hashes[rest:]
+    ends = np.cumsum(lengths)
+    of = np.repeat(np.arange(len(members)), lengths)[: len(joined) - GRAM + 1]
+    own = triggers[members]
+    place = np.flatnonzero((_trigger(_gram_hashes(joined)) == own[of]) & (np.arange(len(of)) + GRAM <= ends[of]))
+    of = of[place]
+    # A window belongs to the first trigger in it: it starts after the trigger before, and ends with its phrase.
+    before = np.concatenate(([-1], place[:-1]))
+    most = np.minimum(np.minimum(LEAST - GRAM, place - (ends - lengths)[of]), place - before - 1)
+    least = np.maximum(0, place - ends[of] + LEAST)
+    kept = least <= most
+    place, of, most, least = place[kept], of[kept], most[kept], least[kept]
+    found = np.empty(len(joined), np.int64)
+    padded = np.concatenate((np.zeros(LEAST, np.uint8), joined, np.zeros(LEAST, np.uint8)))
+    named, room = ids[members][of], ends[of] - place
+    parts = -(-len(place) // SORT_PLACES)
+    half = (LEAST - GRAM) // 2
+    # Equal windows agree in the longer of their two sides, so a hash of that side keeps them together and what is sorted at once bounded.
+    for low, high in ((0, LEAST - GRAM),) if parts == 1 else ((0, half), (half + 1, LEAST - GRAM)):
+        lot = np.zeros(len(place), np.int64)
+        if parts > 1:
+            view = np.lib.stride_tricks.sliding_window_view(padded, LEAST - half)[place + LEAST] if low == 0 else np.lib.stride_tricks.sliding_window_view(padded, half + 1)[place + LEAST - half - 1]
+            lot = (_row_hashes(view) % np.uint64(parts)).astype(np.int64)
+        for part in range(parts):
+            chosen = np.flatnonzero((lot == part) & (least <= high) & (most >= low))
+            if len(chosen):
+                _two_sides(padded, place[chosen], np.maximum(least[chosen], low), np.minimum(most[chosen], high), most[chosen], room[chosen], named[chosen], found)
+    for i, a, n in zip(members, (ends - lengths).tolist(), (lengths - LEAST + 1).tolist(), strict=True):
+        out[i] = found[a : a + n]
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    hashes = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        hashes = (hashes + rows[:, k].astype(np.uint64) + np.uint64(1)) * _ODD[k % 5]
+        hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
+def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, shared): the rank of each row among the distinct ones, and how many first bytes each distinct row shares with the one before."""
+    width = rows.shape[1]
+    keys = np.ascontiguousarray(rows).view(f"V{width}").reshape(-1)
+    order = np.argsort(keys, kind="stable")
+    ordered = rows[order]
+    same = ordered[1:] == ordered[:-1]
+    whole = same.all(axis=1)
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.concatenate(([0], np.cumsum(~whole)))
+    return rank, np.concatenate(([0], same[~whole].argmin(axis=1)))
+
+
+def _two_sides(padded: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, reach: np.ndarray, room: np.ndarray, named: np.ndarray, found: np.ndarray) -> None:
+    """Sets the smallest id of each window that starts least to most bytes before its trigger's place.
+
+    The dictionary's suffixes end at the trigger, so backwards they are the left sides' beginnings; the rest of the parse
+    is the right side. A window with so many bytes on the left is the class of its left side at that depth and that of
+    its right side at the depth that is left of LEAST.
+    """
+    width = LEAST - GRAM
+    left = np.lib.stride_tricks.sliding_window_view(padded, width)[place + LEAST - width][:, ::-1].copy()
+    left[np.arange(width) >= reach[:, None]] = 0
+    right = np.lib.stride_tricks.sliding_window_view(padded, LEAST)[place + LEAST].copy()
+    right[np.arange(LEAST) >= room[:, None]] = 0
+    (left_rank, left_shared), (right_rank, right_shared) = _ranked(left), _ranked(right)
+    for depth in range(int(least.min()), int(most.max()) + 1):
+        chosen = np.flatnonzero((least <= depth) & (depth <= most))
+        if not len(chosen):
+            continue
+        left_class = np.cumsum(left_shared < depth)[left_rank[chosen]]
+        right_class = np.cumsum(right_shared < LEAST - depth)[right_rank[chosen]]
+        keys = left_class * (len(right_shared) + 1) + right_class
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        low = np.minimum.reduceat(named[chosen][order], at)
+        found[place[chosen[order]] - depth] = np.repeat(low, np.diff(np.append(at, len(order))))
 
 
 def _runs(group: pa.Table) -> pa.Table:
