@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import licenses
 
@@ -88,6 +89,74 @@ def test_wrapped_files(family, body):
     assert family in {f for f, *_ in licenses.find(commented, licenses.train())}
 
 
-def test_gate_agrees_with_words():
-    for text in ("GPLv3", "LGPLv2.1", "xgplv3", "gplvx", "gplv", "AGPLv3license", "license", "licensev", "mplv2"):
-        assert bool(licenses._GATE.search(text)) == bool(licenses.grams(text)), text
+def test_gate_lets_every_signal_pass(spark):
+    texts = ["GPLv3", "LGPLv2.1", "xgplv3", "gplvx", "AGPLv3license", "license", "licensev", "mplv2", "Tous droits réservés", "RÉSERVÉS", "die MIT-Lizenz", "x_license_y", "日本license", "license2", "plain words", "", "Namensnennung", "a\u0301license"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("gate", licenses.gate(F.col("text"))).collect()
+    assert not [r.text for r in rows if licenses.signals(r.text) and not r.gate]
+    assert [r.gate for r in rows if r.text in ("plain words", "")] == [False, False]
+
+
+# Notices that no template was made from: (text, family).
+FOREIGN = [
+    ("Licensed under the Eclipse Public License 2.0", "epl"), ("Distributed under the Boost Software License", "bsl"), ("Alle Rechte vorbehalten.", "proprietary"), ("Sous licence Apache, version 2.0", "apache"),
+    ("Lizenziert unter der MIT-Lizenz.", "mit"), ("Published under the terms of the Unlicense.", "public-domain"), ("Redistributions of source code must retain the above copyright notice.", "bsd"),
+    ("Ce logiciel est distribué sous licence GPL v3.", "gpl"), ("Este programa se publica bajo la licencia MIT.", "mit"), ("Todos los derechos reservados por el autor.", "proprietary"), ("See the Mozilla Public License 2.0 for details.", "mpl"),
+    ("The module is released under the Apache License 2.0.", "apache"), ("This file is licensed under the BSD license", "bsd"), ("Tous droits réservés à l'auteur.", "proprietary"), ("Veröffentlicht unter der GPL, Version 2.", "gpl"),
+    ("Images are licensed under CC BY-SA 3.0.", "cc-by-sa"), ("Text and images: CC BY-NC 3.0", "cc-by-nc"), ("Code in this folder is published under the ISC license", "isc"), ("Distributed under the GNU Affero General Public License", "agpl"),
+    ("Licensed under the EUPL, Version 1.1", "eupl"), ("Released under the zlib license", "zlib"), ("Bajo la licencia LGPL, versión 3.", "lgpl"),
+]
+PLAIN = [
+    "Der Führerschein ist eine Lizenz zum Fahren, sagte er.", "La licencia de pesca cuesta diez euros.", "Il a perdu sa licence de pêche dans la rivière.", "Les droits de la ville furent votés.", "She won the general election for the public library.",
+    "Creative people met at the commons.", "A copyright dispute delayed the film.", "The foundation of the house is weak.", "They granted him permission to leave early.", "Die Rechte der Bürger sind wichtig.",
+]
+
+
+def test_notices_outside_the_templates():
+    model = licenses.train()
+    got = [(t, [f for f, *_ in licenses.find(t, model)]) for t, _ in FOREIGN]
+    right = sum(g == [f] for (_, g), (_, f) in zip(got, FOREIGN))
+    assert right >= 0.9 * len(FOREIGN), [(t, g) for (t, g), (_, f) in zip(got, FOREIGN) if g != [f]]
+    assert not [(t, g) for (t, g), (_, f) in zip(got, FOREIGN) if g and g != [f]]
+    assert [licenses.find(t, model) for t in PLAIN] == [[]] * len(PLAIN)
+
+
+def slow_classify(text, model):
+    """The classifier by plain loops over words."""
+    import math
+    import re
+
+    words = ["0" if w[0].isdigit() else w for w in re.findall(r"[^\W\d_]+?(?=v[0-9])|[^\W\d_]+|[0-9]+", text.lower())]
+    known = {f: [x for t in (*licenses.TEMPLATES[f], *licenses.NOTICES[f]) for x in [pairs(["0" if w[0].isdigit() else w for w in re.findall(r"[^\W\d_]+?(?=v[0-9])|[^\W\d_]+|[0-9]+", t.lower())])]] for f in licenses.TEMPLATES}
+    every = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)] if licenses.SIGNALS & set(words) else []
+    logits = [float(b) for b in model.bias]
+    for g in every:
+        if g in model.index:
+            for k in range(len(logits)):
+                logits[k] += model.weights[model.index[g]][k] / math.sqrt(len(every))
+    powers = [math.exp(x / model.temperature) for x in logits]
+    chances = [p / sum(powers) for p in powers]
+    best = max(range(len(chances)), key=chances.__getitem__)
+    family, own = model.families[best], pairs(words)
+    if family == licenses.UNKNOWN or chances[best] < model.accept:
+        return licenses.UNKNOWN
+    share = {f: max([len(own & t) / len(t) for t in known[f]] + [len(own & t) / len(own) for t in known[f] if len(own) >= 4]) for f in known}
+    return family if share[family] >= 0.55 and share[family] == max(share.values()) else licenses.UNKNOWN
+
+
+def pairs(words):
+    return set(zip(words, words[1:])) if len(words) > 1 else set(words)
+
+
+def test_classes_match_brute_force():
+    model, rng = licenses.train(), np.random.default_rng(17)
+    noise = [w for t in licenses.EVERYDAY for w in t.split()]
+    texts = [t for t, _ in FOREIGN] + PLAIN + licenses._scrambled(60, rng) + [t for f in licenses.TEMPLATES for t in licenses._variants(licenses.TEMPLATES[f], 12, rng, noise)] + ["", "license", "MIT", "…"]
+    assert [f for f, _ in model.classify(texts)] == [slow_classify(t, model) for t in texts]
+
+
+def test_spans_are_paragraphs_of_long_and_repeated_texts():
+    model = licenses.train()
+    notice = "Released under the MIT License."
+    text = "\n".join([notice, "words " * 20_000, "", notice, notice])
+    got = [(f, text[a:b]) for f, a, b, _ in licenses.find(text, model)]
+    assert got == [("mit", notice)] * 3
