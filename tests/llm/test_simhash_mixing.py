@@ -180,6 +180,42 @@ def test_family_of_variants(spark, block, monkeypatch):
     assert 1 < len(set(top)) < 60
 
 
+@pytest.mark.parametrize("block", [1000, 7])
+def test_a_cluster_is_settled_in_blocks(spark, block):
+    """Sets of every size, empty ones too, of one hot cluster and a small one: the classes of all pairs, whatever the blocks."""
+    r = random.Random(13)
+    rows = []
+    for i in range(90):
+        base = list(range(i % 6 * 1000, i % 6 * 1000 + r.choice([0, 1, 4, 9, 40])))
+        rows.append((i, sorted({x if r.random() > 0.06 else 10_000 + i * 100 + k for k, x in enumerate(base)})))
+    sets = spark.createDataFrame(rows, "id long, shingles array<long>")
+    members = spark.createDataFrame([(i, 0 if i < 80 else 80, i) for i, _ in rows] + [(500, 500, 500)], "id long, cluster long, class long")
+    top = list(range(90))
+    for i, a in rows:
+        for j, b in rows[:i]:
+            common = len(set(a) & set(b))
+            if (i < 80) == (j < 80) and common >= 0.8 * (len(a) + len(b) - common):
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    found = {x.node: x.component for x in simhash.components(simhash.settled(members, sets, block)).collect()}
+    assert {i: found.get(i, i) for i in range(90)} == dict(enumerate(top))
+
+
+def test_short_texts_at_the_threshold(spark):
+    """Texts of 5 to 20 words, of which one word differs: nearly every pair at 0.8 or more is linked, and none below."""
+    r = random.Random(23)
+    texts, pairs = [], []
+    for _ in range(400):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(r.randint(5, 20))]
+        copy = [*base, "more"] if r.random() < 0.5 else base[:-1]
+        pairs.append((len(texts), len(texts) + 1, jaccard(base, copy)))
+        texts += [" ".join(base), " ".join(copy)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    near = [got[a] == got[b] for a, b, j in pairs if j >= 0.8]
+    assert len(near) > 100 and np.mean(near) >= 0.9
+    assert not any(got[a] == got[b] for a, b, j in pairs if j < 0.8)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 9, 100])
 def test_group_keys(n):
     hashes = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)

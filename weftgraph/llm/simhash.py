@@ -12,7 +12,8 @@ check and then the Hamming check.
 
 ``similar_documents`` links at a similarity of 0.8 instead. Its candidates share a group of shingles, which finds nearly
 all such pairs (measured in the tests), not provably each, and differ in at most 60 of 256 bits. The sets of shingles
-settle them: first the forests of the buckets, then all candidate pairs that these leave in different components.
+settle them: first the edges of the buckets' forests, then all members of a cluster, which is a component of the forests, where
+these edges leave it in several classes. The members of such a cluster are compared in blocks and never listed as pairs.
 
 Links leave a bucket as a spanning forest, never as pairs. A bucket of more than
 BLOCK_ROWS different fingerprints is not compared in one task: it is cut into blocks and
@@ -32,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,15 +50,11 @@ _CHUNK = 1 << 14
 
 @dataclass(frozen=True)
 class Budget:
-    """How many bits two fingerprints may differ in, and the segments of the ring, as places in their 64-bit words.
-
-    With apart, a last word names a class: all pairs of different classes are wanted, not a forest.
-    """
+    """How many bits two fingerprints may differ in, and the segments of the ring, as places in their 64-bit words."""
 
     max_bits: int
     words: int
     segments: tuple[tuple[int, int, int], ...]
-    apart: bool = False
 
 
 #: 64 bits, four of them: every pair shares a key of ``candidate_keys``.
@@ -64,8 +62,10 @@ NARROW = Budget(4, 1, tuple((0, s, w) for s, w in SEGMENTS))
 #: 256 bits before the check of the shingles: the shares of common shingles J and of differing bits p are tied by cos(pi p) = 2 J / (1 + J).
 #: At a similarity of 0.8 the mean is 39 bits and the deviation 5.7, so 60 bits lose about one such pair in 10,000.
 WIDE = Budget(60, 4, tuple((i // 2, i % 2 * 32, 32) for i in range(8)))
-APART = Budget(WIDE.max_bits, WIDE.words + 1, WIDE.segments, True)
 SIMILAR = 0.8
+#: Members and shingles of a block of a cluster; two blocks meet in a task.
+SET_ROWS = 1000
+SET_HASHES = 1 << 21
 GROUPS = 12
 _MIX = tuple(np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -220,12 +220,7 @@ def chained(difference: np.ndarray, budget: Budget) -> np.ndarray:
 def linked(a: np.ndarray, b: np.ndarray, budget: Budget = NARROW) -> np.ndarray:
     """Indices of the pairs (rows of words) that pass the chains and then the full check."""
     difference = a ^ b
-    if budget.apart:
-        other = np.flatnonzero(difference[:, -1])
-        difference = difference[other, :-1]
     chosen = np.flatnonzero(chained(difference, budget))
-    if budget.apart:
-        return other[chosen[np.bitwise_count(difference[chosen]).sum(axis=1) <= budget.max_bits]]
     return chosen[np.bitwise_count(difference[chosen]).sum(axis=1) <= budget.max_bits]
 
 
@@ -275,12 +270,8 @@ def _star_edges(ids: np.ndarray, u: list[np.ndarray], v: list[np.ndarray]) -> tu
     return ids[keep], least[keep]
 
 
-def _all_edges(ids: np.ndarray, u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return (ids[np.concatenate(u)], ids[np.concatenate(v)]) if u else (ids[:0], ids[:0])
-
-
 def _within(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: Budget) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges inside runs of equal keys; all links if the budget is apart."""
+    """Star edges inside runs of equal keys."""
     u: list[np.ndarray] = []
     v: list[np.ndarray] = []
     held, step = 0, 1
@@ -292,12 +283,12 @@ def _within(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray, budget: Budge
             u.append(hit)
             v.append(hit + step)
             held += len(hit)
-        if held > 1 << 22 and not budget.apart:
+        if held > 1 << 22:
             root = roots(len(keys), np.concatenate(u), np.concatenate(v))
             u, v, held = [np.arange(len(keys))], [root], len(keys)
         step += 1
         left = left[left + step < len(keys)]
-    return _all_edges(ids, u, v) if budget.apart else _star_edges(ids, u, v)
+    return _star_edges(ids, u, v)
 
 
 def _bucket_links(budget: Budget, block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -366,17 +357,17 @@ def _block_links(budget: Budget) -> Callable[[pa.Table], pa.Table]:
             u.append(np.full(len(hit), x))
             v.append(hit)
             held += len(hit)
-            if held > 1 << 22 and not budget.apart:
+            if held > 1 << 22:
                 root = roots(len(ids), np.concatenate(u), np.concatenate(v))
                 u, v, held = [np.arange(len(ids))], [root], len(ids)
-        a, b = _all_edges(ids, u, v) if budget.apart else _star_edges(ids, u, v)
+        a, b = _star_edges(ids, u, v)
         return pa.table({"a": a, "b": b})
 
     return run
 
 
 def links(prints: DataFrame, budget: Budget = NARROW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) edges among the reps of distinct fingerprints (fp, rep, keys): a forest of each bucket, or all pairs if the budget is apart."""
+    """(a, b) edges among the reps of distinct fingerprints (fp, rep, keys): a forest of each bucket."""
     kind = dict(prints.dtypes)["fp"]
     keyed = prints.select(F.explode("keys").alias("bucket"), "fp", "rep")
     found = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(budget, block_rows), f"a long, b long, bucket long, block int, fp {kind}")
@@ -434,6 +425,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> Data
     return common.filter(F.col("common") >= least * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b").distinct()
 
 
+def _exact_links(group: pa.Table) -> pa.Table:
+    """Forest of the exact links among the shingle sets of one block, or between those of two: the common shingles of one text with all come from counts over postings."""
+    ids, side = group["id"].to_numpy(), group["side"].to_numpy()
+    lists = group["shingles"].combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    own = np.repeat(np.arange(len(ids)), sizes)
+    known, place = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    holders = own[np.argsort(place, kind="stable")]
+    frequency = np.bincount(place, minlength=len(known))
+    first, ends = np.cumsum(frequency) - frequency, np.cumsum(sizes)
+    alone = group["low"][0].as_py() == group["high"][0].as_py()
+    u: list[np.ndarray] = []
+    v: list[np.ndarray] = []
+    for i in range(len(ids)) if alone else np.flatnonzero(side == 0).tolist():
+        terms = place[ends[i] - sizes[i] : ends[i]]
+        counts = frequency[terms]
+        at = np.repeat(first[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        common = np.bincount(holders[at], minlength=len(ids))
+        hit = np.flatnonzero((common >= SIMILAR * (sizes[i] + sizes - common)) & ((np.arange(len(ids)) > i) if alone else side == 1))
+        u.append(np.full(len(hit), i))
+        v.append(hit)
+    a, b = _star_edges(ids, u, v)
+    return pa.table({"a": a, "b": b})
+
+
+def settled(members: DataFrame, sets: DataFrame, block_rows: int = SET_ROWS, block_hashes: int = SET_HASHES) -> DataFrame:
+    """(a, b): forests of the links between members (id, cluster, class) of one cluster, for clusters of several classes.
+
+    Members are compared in tasks and never listed as pairs. A cluster of more than block_rows members or block_hashes shingles is
+    dealt out as blocks by hash, and each two blocks meet in a group of their own.
+    """
+    sized = materialize(members.join(sets.select("id", F.size("shingles").alias("size")), "id"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_hashes)).cast("int").alias("blocks")
+    counts = sized.groupBy("cluster").agg(F.count("*").alias("n"), blocks, F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("cluster", "n", "blocks")
+    placed = looked_up(sized.select("id", "cluster"), materialize(counts, "clusters"), "cluster", "n").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = sets.join(placed, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("id", "shingles", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return met.groupBy("cluster", "low", "high").applyInArrow(_exact_links, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(key, fp, component_id): documents linked by 64-bit fingerprints within four bits, each component named by its smallest key. Exact."""
     own = materialize(fingerprints(df, key, text, shingle), "fingerprints")
@@ -446,7 +477,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     At 0.8 a sixth of the bits of a SimHash differ, where keys of equal segments would no longer tell documents apart.
     Candidates share the key of a shingle group instead and pass the chains and the bits of WIDE; their sets of shingles
-    decide. A dense bucket is mostly settled by its forest, so the second look is at few pairs. Equal sets are merged first.
+    decide. Most clusters are settled by the edges of their forests; the others are compared as wholes. Equal sets are merged first.
     """
     own = materialize(wide_fingerprints(df, key, text, shingle), "fingerprints")
     prints = materialize(own.groupBy("fp", "digest").agg(F.min(key).alias("rep"), F.min_by("keys", F.struct(F.col(key).isNull(), key, "keys")).alias("keys")), "prints")
@@ -455,11 +486,11 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", sh
     asked = forest.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     sets = materialize(shingle_sets(df.select(key, text).join(asked, key, "left_semi"), key, text, shingle).distinct(), "shingles")
     sure = materialize(confirmed(forest, sets), "sure")
-    classes = materialize(components(sure), "classes")
-    # Only documents of the forest have candidates at all.
-    left = named.join(asked, F.col("rep") == F.col(key), "left_semi").join(classes, F.col("rep") == F.col("node"), "left")
-    apart = left.select(F.concat("fp", F.unhex(F.lpad(F.hex(F.coalesce("component", "rep")), 16, "0"))).alias("fp"), "rep", "keys")
-    found = components(sure.unionByName(confirmed(materialize(links(apart, APART), "apart"), sets)))
+    named_by = lambda edges, name: components(edges).withColumnRenamed("node", "id").withColumnRenamed("component", name)
+    # Only documents of the forest have candidates at all; each has all of them in its cluster.
+    members = asked.withColumnRenamed(key, "id").join(named_by(forest, "cluster"), "id", "left").join(named_by(sure, "class"), "id", "left")
+    members = members.select("id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("class", "id").alias("class"))
+    found = components(materialize(sure.unionByName(settled(members, sets)), "links"))
     return _classes(own, prints, key, found, "fp", "digest")
 
 
