@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing, simhash
-from weftgraph.llm.shared import looked_up
+from weftgraph.llm.shared import dealt, hot_keys, looked_up
 
 SCHEMA = "doc_id long, text string"
 
@@ -320,6 +320,25 @@ def test_lookup_of_hot_keys(spark, hot, monkeypatch):
     assert sorted(map(tuple, looked_up(left, right, "k", "n").collect())) == expected
 
 
+def test_deal_of_hot_keys(spark):
+    left = spark.createDataFrame([(7, i) for i in range(3000)] + [(i % 50, i) for i in range(100)] + [(None, 5)], "k long, x long")
+    right = spark.createDataFrame([(7, [1]), (7, [2]), (3, [3]), (None, [4]), (99, [5])], "k long, y array<int>")
+    hot = hot_keys(left, "k")
+    assert {r.hot_key: r.salts for r in hot.collect()}[7] > 500
+    plain = left.join(right, "k").select("k", "x", "y")
+    assert sorted(map(tuple, dealt(left, right, "k", hot).select("k", "x", "y").collect())) == sorted(map(tuple, plain.collect()))
+    none = left.limit(0)
+    assert dealt(none, right, "k", hot_keys(none, "k")).count() == 0
+
+
+def test_confirmed_pairs_of_a_hot_centre(spark):
+    shared = list(range(100))
+    sets = spark.createDataFrame([(0, shared), (0, [1, 2])] + [(i, shared[: 60 + i % 41]) for i in range(1, 400)] + [(900, []), (901, [])], "id long, shingles array<long>")
+    pairs = spark.createDataFrame([(i, 0) for i in range(400)] + [(0, i) for i in range(50)] + [(900, 901), (0, 901)], "a long, b long")
+    found = sorted(map(tuple, simhash.confirmed(pairs, sets).collect()))
+    assert found == [(0, i) for i in range(1, 400) if 60 + i % 41 >= 80] + [(900, 901)]
+
+
 @pytest.mark.parametrize("hot", [2, 1000])
 def test_components_around_a_hot_node(spark, hot, monkeypatch):
     monkeypatch.setattr("weftgraph.llm.shared.HOT_KEYS", hot)

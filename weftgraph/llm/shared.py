@@ -88,6 +88,26 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFr
     return rows.filter(both.isNotNull()).select(*left.columns, *(both[c].alias(c) for c in others))
 
 
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """(hot_key, salts) for the keys over more than one in HOT_KEYS of df's rows; a salt has no more rows than that part, and there are fewer than 2 * HOT_KEYS salts."""
+    counts = materialize(df.groupBy(key).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
+    salts = F.least(F.col("n"), F.ceil(F.col("n") * HOT_KEYS / total)).cast("int")
+    return counts.filter(F.col("n") * HOT_KEYS > total).select(F.col(key).alias("hot_key"), salts.alias("salts"))
+
+
+def dealt(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left and right joined by key; left's rows of a hot key are dealt out over its salts, and right's are repeated for each.
+
+    Unlike looked_up, right may have several rows for a key, and wide ones: nothing of it is broadcast.
+    """
+    marked = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("salts"))).cast("int")
+    repeats = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    rows = marked(left).select(*left.columns, salt.alias("hot_salt"))
+    return rows.join(marked(right).select(*right.columns, repeats.alias("hot_salt")), [key, "hot_salt"]).drop("hot_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import DOCUMENT_COLUMNS, looked_up, materialize, table
+from .shared import DOCUMENT_COLUMNS, dealt, hot_keys, looked_up, materialize, table
 
 SEED = 42
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -416,11 +416,14 @@ def _classes(own: DataFrame, prints: DataFrame, key: str, found: DataFrame, *sam
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose shingle sets (id, shingles) have this Jaccard similarity at least; two empty sets are alike."""
-    once = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = materialize(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "once")
+    # The centre of a large star is in very many pairs: its pairs are dealt out.
+    hot = {side: hot_keys(once, side) for side in ("a", "b")}
     # Sizes alone exclude some pairs before any set is moved for them.
     sizes = sets.select("id", F.size("shingles").alias("n"))
-    sized = once.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").filter(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
-    both = sized.join(sets.toDF("a", "own"), "a").join(sets.toDF("b", "other"), "b")
+    sized = dealt(dealt(once, sizes.toDF("a", "n"), "a", hot["a"]), sizes.toDF("b", "m"), "b", hot["b"])
+    sized = sized.filter(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
+    both = dealt(dealt(sized, sets.toDF("a", "own"), "a", hot["a"]), sets.toDF("b", "other"), "b", hot["b"])
     common = both.select("a", "b", F.size("own").alias("n"), F.size("other").alias("m"), F.size(F.array_intersect("own", "other")).alias("common"))
     return common.filter(F.col("common") >= least * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b").distinct()
 
