@@ -5,12 +5,13 @@ import json
 from pyspark.sql import functions as F
 
 from weftgraph.operators import extract, linking, paths
-from weftgraph.operators.edges import merged
+from weftgraph.operators.edges import confirmed, merged
 from weftgraph.functions import fixed, rules, text
 from weftgraph.functions.arrow import match_starts, mention_scan
 from weftgraph.operators.answer import guarded
 from weftgraph.plans import queries as Q
 from weftgraph.plans import samples as S
+from weftgraph.plans.ask import ask, ask_deepening
 from weftgraph.plans.build import build
 from weftgraph.sources import cache, files, sinks, wiki
 from weftgraph.streaming.questions import answer_stream, event_counts
@@ -159,3 +160,135 @@ def test_weights_and_accuracy(spark):
         rules.edge_weight(F.col("c"), F.col("head"), F.col("tail"), F.col("s")).alias("w"), rules.answer_accuracy(F.lit("a b c"), F.col("e")).alias("one"), rules.answer_accuracy(F.lit("xbc"), F.col("e")).alias("half"), rules.answer_accuracy(F.lit("q"), F.col("e")).alias("none"), rules.answer_accuracy(F.lit("q"), F.array().cast("array<string>")).alias("empty"),
     ).first()
     assert abs(row.w - 0.5 * 1.3 * 1.2) < 1e-12 and (row.one, row.half, row.none, row.empty) == (1.0, 0.5, 0.0, 0.0)
+
+
+def test_stored_documents_and_evaluation(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.md").write_text("# 제목 \n\n분류: 하나, , 둘\n\n본문\n각주\n", encoding="utf-8")
+    (tmp_path / "d/b.md").write_text("no header", encoding="utf-8")
+    (tmp_path / "d/c.md").write_text("", encoding="utf-8")
+    got = {r.file: (r.title, r.categories, r.body) for r in files.stored_documents(spark, str(tmp_path / "d")).collect()}
+    assert got["a.md"] == ("제목", ["하나", "둘"], "본문\n각주\n") and got["b.md"] == ("", [], "no header")
+    whole = {"run_at": "now", "n_items": 3, "by_hop": {"2": {"n": 2, "graphrag": {"answer_acc": 1.0, "path_recall": 0.5, "refusal_ok": None}, "basic_rag": {"answer_acc": 0.25}}}, "unanswerable": {"n": 1, "refusal_accuracy": 1.0, "hallucinated": 0}, "overall": {"graphrag_answer_acc": 1.0, "basic_rag_answer_acc": 0.25}, "failure_layer_counts": {"index": 1}}
+    (tmp_path / "e.json").write_text(json.dumps(whole, indent=1))
+    totals, hops = files.evaluation(spark, str(tmp_path / "e.json"))
+    assert (totals.first().n_items, totals.first().accuracy, totals.first().failure_layer_counts) == (3, 1.0, {"index": 1}) and tuple(hops.first()) == (2, 2, 1.0, 0.5, 0.25)
+    (tmp_path / "broken.json").write_text("{")
+    totals, hops = files.evaluation(spark, str(tmp_path / "broken.json"))
+    assert totals.first().run_at is None and hops.count() == 0
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    kept = spark.createDataFrame([("b b", ["x"], 900, 2, "linked", ["B"]), ("a", ["y"], 1000, 0, "seed", [])], "title string, categories array<string>, chars int, hop int, why string, redirects array<string>")
+    rejected = spark.createDataFrame([("d", "stub"), ("c", "few_links")], "title string, reason string")
+    sinks.write_manifest(sinks.manifest_row(kept, rejected, kept.select("title", "categories", "redirects"), ["a"], {"saved": 2}, "wiki", "topic"), str(tmp_path / "m"))
+    row = files.manifest(spark, str(tmp_path / "m")).first()
+    assert [(x.title, x.file, x.hop, x.reason) for x in row.docs] == [("a", "a.md", 0, "seed"), ("b b", "b_b.md", 2, "linked")]
+    assert row.seeds == ["a"] and row.stats == {"saved": 2} and row.gazetteer["b b"].redirects == ["B"] and [r.title for r in row.rejected] == ["c", "d"]
+    sinks.write_manifest(sinks.manifest_row(kept.limit(0), rejected.limit(0), kept.limit(0).select("title", "categories", "redirects"), [], {}, "wiki", "topic"), str(tmp_path / "m"))
+    assert files.manifest(spark, str(tmp_path / "m")).first().docs == []
+
+
+def test_graph_export_counts(spark, tmp_path):
+    nodes, edges = graph(spark)
+    sinks.write_graph(nodes, edges, str(tmp_path / "g"))
+    stats = {(r.kind, r.value): r.n for r in spark.read.json(str(tmp_path / "g/stats")).collect()}
+    assert stats["nodes", "all"] == len(S.NODES) and stats["edges", "all"] == len(S.EDGES) and stats["relation", "FOUNDED"] + stats["relation", "PARTICIPATED_IN"] == len(S.EDGES)
+    index = {r.surface: r.id for r in spark.read.json(str(tmp_path / "g/alias_index")).collect()}
+    # Two nodes have this alias; an id always stands for itself.
+    assert index["백야"] == "김좌진" and all(index[n] == n for n, _, _ in S.NODES)
+
+
+def test_cache_is_written_back(spark, tmp_path):
+    path, calls = str(tmp_path / "cache"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(prompt):
+        calls.add(1)
+        return None if prompt == "bad" else f"to {prompt}"
+
+    asked = spark.createDataFrame([(1, "m", "p"), (2, "m", "p"), (3, "m", "q"), (4, "m", "bad")], "n int, model string, prompt string")
+    assert {r.status for r in cache.remembered(asked, path, None, "prompt", "model", "prompt").collect()} == {"skipped"}
+    first = cache.remembered(asked, path, model, "prompt", "model", "prompt")
+    assert {r.n: (r.answer, r.status) for r in first.collect()} == {1: ("to p", "call"), 2: ("to p", "call"), 3: ("to q", "call"), 4: (None, "error")} and calls.value == 3
+    second = cache.remembered(asked, path, model, "prompt", "model", "prompt")
+    assert cache.counters(second, cache.entries(spark, path)).first().asDict() == {"hit": 3, "miss": 1, "call": 0, "error": 1, "skipped": 0, "cached_entries": 2} and calls.value == 4
+
+
+PAGES = {"A": {"categories": [{"title": "분류:하나"}], "links": [{"title": "B"}], "redirects": [{"title": "a2"}], "extract": " text "}, "C": {"categories": [], "extract": ""}}
+
+
+def api(params):
+    """A wiki with a page A that gives its links in two parts, an empty page C, a redirect a to A, and a title that always fails."""
+    titles = params["titles"].split("|")
+    if "down" in titles:
+        raise wiki.Busy(0)
+    key = {"info": None, "extracts": "extract"}.get(params["prop"], params["prop"])
+    found, redirects = [], [{"from": "a", "to": "A"}] if "a" in titles else []
+    for title in sorted({"A" if t == "a" else t for t in titles}):
+        page = {"title": title} | ({} if title in PAGES else {"missing": True})
+        if key in PAGES.get(title, {}):
+            page[key] = PAGES[title][key]
+        found.append(page)
+    if key == "links" and "plcontinue" not in params:
+        return {"query": {"pages": [p | {"links": [{"title": "Z"}]} for p in found], "redirects": redirects}, "continue": {"plcontinue": 1}}
+    return {"query": {"pages": found, "redirects": redirects}}
+
+
+def test_wiki_client(spark, tmp_path):
+    fetch = wiki.with_retry(wiki.client(wiki.paced(api)), attempts=2, wait=0)
+    titles = spark.createDataFrame([("a",), ("C",), ("none",)], "title string").coalesce(1)
+    got = {r.title: r for r in wiki.pages(titles, fetch).collect()}
+    assert (got["A"].aliases, got["A"].categories, got["A"].links, got["A"].redirects, got["A"].extract, got["A"].missing) == (["a"], ["하나"], ["B", "Z"], ["a2"], "text", False)
+    assert got["none"].missing and not got["C"].missing and got["C"].extract == ""
+    down = spark.createDataFrame([("down",)], "title string")
+    path = str(tmp_path / "pages")
+    first = wiki.stored(titles.unionByName(down), path, fetch, size=1)
+    assert {r.title for r in first.collect()} == {"A", "C", "none"}
+    assert [r.title for r in wiki.failed(titles.unionByName(down), first).collect()] == ["down"]
+
+    def never(_titles):
+        raise AssertionError("asked again")
+
+    assert {r.title for r in wiki.stored(titles, path, never).collect()} == {"A", "C", "none"} and spark.read.parquet(path).count() == 3
+
+
+def test_waits_as_long_as_asked(monkeypatch):
+    waits = []
+    monkeypatch.setattr(wiki.time, "sleep", waits.append)
+
+    def busy(_params):
+        raise wiki.Busy(30.0)
+
+    assert wiki.with_retry(busy, attempts=3)({"titles": "x"}) == {} and waits == [30.0, 30.0]
+    slow = wiki.paced(busy, interval=1.0)
+    for _ in range(5):
+        try:
+            slow({})
+        except wiki.Busy:
+            pass
+    assert waits[2:] == [1.0, 2.0, 4.0, 8.0, 8.0]
+
+
+def test_build_with_a_model(spark):
+    docs = spark.createDataFrame([("안중근", ["한국의 독립운동가"], "안중근은 하얼빈 의거에 참여하였다. 그 뒤 안중근 그리고 동의단지회 이야기가 남았다.")], "title string, categories array<string>, body string")
+    more = spark.createDataFrame([("하얼빈 의거", ["1909년 사건"], []), ("동의단지회", ["한국의 독립운동단체"], [])], "title string, categories array<string>, redirects array<string>")
+    answer = '[{"head":"안중근","relation":"FOUNDED","tail":"동의단지회"},{"head":"동의단지회","relation":"FOUNDED","tail":"안중근"}]'
+    plain, told = build(docs, more), build(docs, more, ask=lambda s: F.lit(answer))
+    edge = told.edges.join(plain.edges.select("head", "relation", "tail"), ["head", "relation", "tail"], "left_anti").collect()
+    assert [(e["head"], e["tail"], e["origin"], e["confidence"]) for e in edge] == [("안중근", "동의단지회", "llm", 0.7)]
+    assert told.refused.filter("head = '동의단지회' and reason = 'schema_type_mismatch'").count() == 1
+
+
+def test_model_repeats_raise_confidence(spark):
+    names = "head string, relation string, tail string, origin string, confidence double"
+    frame = spark.createDataFrame([("a", "r", "b", "rule+llm", 0.75), ("a", "r", "c", "llm", 0.7), ("a", "r", "d", "llm", 0.7), ("a", "r", "e", "rule", 1.0), ("a", "r", "f", "rule+llm", 1.0)], names)
+    told = spark.createDataFrame([("a", "r", t) for t in "bcddf"], "head string, relation string, tail string")
+    assert {r["tail"]: r.confidence for r in confirmed(frame, told).collect()} == {"b": 0.95, "c": 0.7, "d": 0.95, "e": 1.0, "f": 0.99}
+
+
+def test_asks_again_within_the_bound(spark):
+    got = {r.qid: r for r in ask_deepening(Q.questions(spark), Q.sample_edges(spark), Q.aliases(spark)).collect()}
+    once = {r.qid: r for r in ask(Q.questions(spark), Q.sample_edges(spark), Q.aliases(spark)).answers.collect()}
+    assert {q: (r.refused, r.answer) for q, r in got.items()} == {q: (r.refused, r.answer) for q, r in once.items()}
+    assert all(r.rounds == 1 for r in got.values() if not r.refused) and {r.rounds for r in got.values() if r.refused} <= {1, 2} and got["Q8"].rounds == 2

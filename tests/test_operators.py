@@ -64,3 +64,42 @@ def test_quota(spark, quota):
     got = {r.title for r in corpus.selected(frame, quota).filter("reason is null").collect()}
     fit = [r.title for r in corpus.selected(frame, 1000).filter("reason is null").collect()]
     assert got == set(sorted(fit, key=lambda t: (-(int(t[-1]) % 3), t))[:quota])
+
+
+@pytest.mark.parametrize("quota", [0, 3, 5, 100])
+def test_funnel(spark, quota):
+    """The whole funnel against a loop that takes pages in order."""
+    r = random.Random(quota)
+    seeds = [f"S{i}" for i in range(4)]
+    texts = {s: 1000 for s in seeds[:3]} | {f"T{i}": r.choice([0, 500, 900, 2000]) for i in range(30)}
+    links = sorted({(r.choice(seeds), f"T{r.randint(0, 34)}") for _ in range(120)} | {("S3", "T99"), ("S0", "S1"), ("S1", "목록 T"), ("S2", "목록 T")})
+    categories = {s: ["의병 1", "의병 2"] for s in seeds} | {f"T{i}": r.choice([["의병 1"], ["의병 1", "의병 2"], ["의병 3"], ["의병 1", "1950년 태어남"]]) for i in range(32)}
+    got = corpus.collected(
+        spark.createDataFrame([(s,) for s in seeds], "title string"), spark.createDataFrame(links, "seed string, target string"),
+        spark.createDataFrame([(t, c) for t, cs in categories.items() for c in cs], "title string, category string"), spark.createDataFrame(list(texts.items()), "title string, chars int"), quota,
+    )
+    reasons = {x.title: x.reason for x in got.collect()}
+    expected = {s: None for s in seeds[:3]} | {"S3": "seed_missing"}
+    support = {t: len({s for s, u in links if u == t and s != "S3"}) for _, t in links if t not in seeds[:3]}
+    overlap = {t: len({"의병 1", "의병 2"} & set(categories.get(t, []))) for t in support}
+    saved = 3
+    for t in sorted((t for t in support if support[t]), key=lambda t: (-overlap[t], -support[t], t)):
+        if support[t] < 2:
+            expected[t] = "few_links"
+        elif "목록" in t:
+            expected[t] = "list_page: 목록 문서"
+        elif t not in categories:
+            expected[t] = "no_category_data"
+        elif not overlap[t]:
+            expected[t] = "no_shared_category"
+        elif "1950년 태어남" in categories[t]:
+            expected[t] = "out_of_period_after"
+        elif saved >= quota:
+            expected[t] = "over_quota"
+        elif not texts.get(t):
+            expected[t] = "fetch_failed"
+        elif texts[t] < 800:
+            expected[t] = "stub"
+        else:
+            expected[t], saved = None, saved + 1
+    assert reasons == expected

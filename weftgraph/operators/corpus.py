@@ -46,6 +46,41 @@ def selected(pages: DataFrame, quota: int, stub: int = STUB_CHARS) -> DataFrame:
     return kept.unionByName(judged.filter("reason is not null"))
 
 
+def collected(seeds: DataFrame, links: DataFrame, categories: DataFrame, texts: DataFrame, quota: int, stub: int = STUB_CHARS) -> DataFrame:
+    """(title, hop, support, overlap, reason): the whole way from seeds (title) to kept pages, whose reason is null.
+
+    links (seed, target), categories (title, category) and texts (title, chars) may know pages in vain. A seed without a
+    row in texts is missing. The other seeds' targets are pages at two hops; they pass the rules in order, and those that
+    do are taken by overlap, support and title until the quota is full, which seeds fill first. Pages after that are not
+    looked at, whatever their texts.
+    """
+    own = seeds.select("title").distinct().join(texts.groupBy("title").agg(F.max("chars").alias("chars")), "title", "left")
+    seed_reason = F.when(F.col("chars").isNull(), "seed_missing").when(F.col("chars") == 0, "fetch_failed").when(F.col("chars") < stub, "stub")
+    first = own.withColumn("reason", seed_reason)
+    there = own.filter("chars is not null").select("title")
+    support = links.join(there.withColumnRenamed("title", "seed"), "seed", "left_semi").join(there.withColumnRenamed("title", "target"), "target", "left_anti").groupBy(F.col("target").alias("title")).agg(F.count_distinct("seed").alias("support"))
+    pool = shared_categories(categories.join(there, "title", "left_semi").withColumnRenamed("title", "seed"))
+    named = categories.groupBy("title").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    pages = support.join(named, "title", "left").join(overlaps(categories, pool), "title", "left").join(texts.groupBy("title").agg(F.max("chars").alias("chars")), "title", "left")
+    pages = pages.withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    scope = topic_scope(F.col("categories"))
+    early = first_of(
+        (F.col("support") < 2, F.lit("few_links")), (title_block(F.col("title")).isNotNull(), title_block(F.col("title"))), (F.col("categories").isNull(), F.lit("no_category_data")),
+        (F.col("overlap") < 1, F.lit("no_shared_category")), (scope.isNotNull(), scope),
+    )
+    late = F.when(F.coalesce("chars", F.lit(0)) == 0, "fetch_failed").when(F.col("chars") < stub, "stub")
+    place = F.struct((-F.col("overlap")).alias("overlap"), (-F.col("support")).alias("support"), "title")
+    judged = pages.select("title", "support", "overlap", early.alias("early"), late.alias("late"), place.alias("place"))
+    # The place that fills the quota is one row: the last of as many as seeds have left room for.
+    room = first.agg((F.lit(quota) - F.count(F.when(F.col("reason").isNull(), 1))).alias("room"))
+    best = judged.filter("early is null and late is null").select("place").orderBy("place").limit(quota)
+    end = best.agg(F.array_sort(F.collect_list("place")).alias("places")).crossJoin(room).select("room", F.get("places", (F.col("room") - 1).cast("int")).alias("last"))
+    over = F.col("early").isNull() & ((F.col("room") <= 0) | F.coalesce(F.col("place") > F.col("last"), F.lit(False)))
+    chosen = judged.crossJoin(F.broadcast(end)).withColumn("reason", F.coalesce("early", F.when(over, "over_quota"), "late"))
+    none = F.lit(None).cast("long")
+    return first.select("title", F.lit(0).alias("hop"), none.alias("support"), none.alias("overlap"), "reason").unionByName(chosen.select("title", F.lit(2).alias("hop"), "support", F.col("overlap").cast("long").alias("overlap"), "reason"))
+
+
 def with_expansion(choose: Callable[[DataFrame], DataFrame], seeds: DataFrame, extra: DataFrame, least: int = 50) -> tuple[DataFrame, bool]:
     """The selection from seeds, or, where it keeps fewer pages than wanted, from more seeds; and whether it came to that."""
     chosen = choose(seeds)

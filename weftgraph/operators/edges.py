@@ -50,6 +50,17 @@ def merged(accepted: DataFrame, quotes: int = 3) -> DataFrame:
     )
 
 
+def confirmed(edges: DataFrame, told: DataFrame, low: float = 0.95, high: float = 0.99) -> DataFrame:
+    """Merged edges where a model's candidate (told) that repeats an edge raises its confidence to at least low and at most high.
+
+    A triple repeats an edge if a rule found it too or the model gave it more than once.
+    """
+    times = told.groupBy(*KEY).agg(F.count("*").alias("times"))
+    again = F.col("times").isNotNull() & (F.col("origin").contains("rule") | (F.col("times") > 1))
+    raised = F.least(F.lit(high), F.greatest("confidence", F.lit(low)))
+    return edges.join(times, list(KEY), "left").withColumn("confidence", F.when(again, raised).otherwise(F.col("confidence"))).select(*edges.columns)
+
+
 def firing_counts(accepted: DataFrame) -> DataFrame:
     """Accepted candidates by extractor, before the merge."""
     return accepted.groupBy("extractor").agg(F.count("*").alias("fired"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.rules import abbreviated, dropped_reason, entity_type
-from ..functions.text import DOTS, gloss, normalized
+from ..functions.text import DOTS, gloss, normalization_rules, normalized
 
+#: The normalization rules, in the order of a report.
+RULES = ("whitespace", "qualifier", "gloss", "particle", "redirect", "abbreviation", "spaces")
 SURFACE_ROWS = 200_000
 
 
@@ -60,6 +62,32 @@ def surface_table(claims: DataFrame, most: int = SURFACE_ROWS) -> dict[str, tupl
     return {r["surface"]: (r["id"], r["type"]) for r in rows}
 
 
+def redirect_claims(pages: DataFrame, entities: DataFrame) -> DataFrame:
+    """(surface, name) for redirects of pages (title, redirects) to entities (title, name), under their standard forms."""
+    each = pages.join(entities.select("title", "name"), "title").select("name", F.explode("redirects").alias("redirect"))
+    return each.select(normalized(F.col("redirect")).alias("surface"), "name").filter("surface <> '' and surface <> name")
+
+
+def rule_hits(names: DataFrame, entities: DataFrame, mentions: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(rule, applied, example): how often each normalization rule was used, with its least example; all rules, in their order by ``turn``.
+
+    names (name) are raw names; entities (name, type) the inventory; mentions (surface, raw) what was matched in texts and what stood there
+    with its particle; redirects (surface, name) what ``redirect_claims`` gives.
+    """
+    becomes = lambda a, b: F.concat(a, F.lit(" → "), b)
+    changed = names.select(F.explode(normalization_rules(F.col("name"))).alias("rule"), becomes(F.col("name"), normalized(F.col("name"))).alias("example"))
+    particle = mentions.filter(F.col("raw") != F.col("surface")).select(F.lit("particle").alias("rule"), becomes(F.col("raw"), F.col("surface")).alias("example"))
+    redirect = redirects.select(F.lit("redirect").alias("rule"), becomes(F.col("surface"), F.col("name")).alias("example"))
+    short = F.explode(F.array(*(F.struct(F.lit(s).alias("short"), F.lit(n).alias("name")) for s, n in fixed.ABBREVIATIONS.items()))).alias("p")
+    table = entities.sparkSession.range(1).select(short).select("p.short", normalized(F.col("p.name")).alias("name"))
+    abbreviation = table.join(entities.select("name").distinct(), "name").select(F.lit("abbreviation").alias("rule"), becomes(F.col("short"), F.col("name")).alias("example"))
+    bare = F.replace("name", F.lit(" "), F.lit(""))
+    spaces = entities.select("name", "type").distinct().filter(bare != F.col("name")).select(F.lit("spaces").alias("rule"), becomes(bare, F.col("name")).alias("example"))
+    counts = changed.unionByName(particle).unionByName(redirect).unionByName(abbreviation).unionByName(spaces).groupBy("rule").agg(F.count("*").alias("applied"), F.min("example").alias("example"))
+    every = entities.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, RULES))).alias("turn", "rule"))
+    return every.join(counts, "rule", "left").select("turn", "rule", F.coalesce("applied", F.lit(0)).alias("applied"), F.coalesce("example", F.lit("-")).alias("example"))
+
+
 def merge_log(nodes: DataFrame) -> DataFrame:
     """(id, merged): the other aliases of nodes that have any."""
     return nodes.select("id", F.array_sort(F.array_except("aliases", F.array("id"))).alias("merged")).filter(F.size("merged") > 0)

@@ -59,6 +59,12 @@ def alias_index(nodes: DataFrame, last_wins: bool = True) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("surface").orderBy(order, "id"))).filter("rank = 1").drop("rank", "ord")
 
 
+def claimed_aliases(nodes: DataFrame) -> DataFrame:
+    """surface -> id as it is exported: an id stands for itself, and any other surface for the first node by id that has it."""
+    rows = nodes.select(F.explode(F.array_distinct(F.concat(F.array("id"), "aliases"))).alias("surface"), "id")
+    return rows.groupBy("surface").agg(F.coalesce(F.max(F.when(F.col("surface") == F.col("id"), F.col("id"))), F.min("id")).alias("id"))
+
+
 def alias_conflicts(claims: DataFrame) -> DataFrame:
     """Claims (surface, id, type, ord) that come after another node's first claim of the surface."""
     first = F.first(F.struct("id", "type")).over(W.partitionBy("surface").orderBy("ord", "id", "type"))

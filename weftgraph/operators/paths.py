@@ -207,6 +207,25 @@ def bridges(edges: DataFrame, most: int = 10, per_event: int = 2) -> DataFrame:
     return joined.select("a", "event", "b", F.get(F.filter("organizations", lambda o: o != F.col("a")), 0).alias("organization")).filter("organization is not null")
 
 
+def golden_marked(patterns: DataFrame, items: DataFrame, expected: DataFrame) -> DataFrame:
+    """patterns (a, event, b, organization) with goldenset_id, the item whose first three expected triples they are; then the items' patterns that were not among them.
+
+    items (item_id, hops, type, answerable) count if they ask for a path of two hops or more; of items with the same path the
+    last by item_id marks a pattern, and the first names one that is added. An unanswerable item adds none.
+    """
+    asked = items.filter("type = 'path' and hops >= 2").select("item_id", F.coalesce("answerable", F.lit(True)).alias("answerable"))
+    steps = expected.filter("n < 3").join(asked, "item_id").groupBy("item_id", "answerable").agg(F.array_sort(F.collect_list(F.struct("n", "head", "relation", "tail"))).alias("t"))
+    paths = steps.filter(F.size("t") == 3)
+    signature = F.transform("t", lambda s: F.struct(s["head"].alias("head"), s["relation"].alias("relation"), s["tail"].alias("tail")))
+    used = paths.select("item_id", "answerable", signature.alias("path"))
+    marks = used.groupBy("path").agg(F.max("item_id").alias("goldenset_id"))
+    step = lambda head, relation, tail: F.struct(F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"))
+    own = patterns.withColumn("path", F.array(step("a", "PARTICIPATED_IN", "event"), step("b", "PARTICIPATED_IN", "event"), step("b", "FOUNDED", "organization")))
+    more = used.filter("answerable").groupBy("path").agg(F.min("item_id").alias("goldenset_id")).join(own.select("path"), "path", "left_anti")
+    added = more.select(F.col("path")[0]["head"].alias("a"), F.col("path")[0]["tail"].alias("event"), F.col("path")[1]["head"].alias("b"), F.col("path")[2]["tail"].alias("organization"), "goldenset_id", F.lit(True).alias("added"))
+    return own.join(marks, "path", "left").select("a", "event", "b", "organization", "goldenset_id", F.lit(False).alias("added")).unionByName(added)
+
+
 def diverse_patterns(patterns: DataFrame, most: int = 10, per_event: int = 2) -> list[tuple[str, str, str, str]]:
     """A greedy choice in alphabetical order: an event at most twice, a bridge person once.
 

@@ -70,6 +70,24 @@ def run_records(questions: DataFrame, got: Answers, edges: DataFrame, start_hops
     return rows.select("*", (F.col("refused") & (first < last)).alias("deepened")).drop("co", "wanted").withColumn("hops_used", F.coalesce("hops_used", F.lit(1)))
 
 
+def ask_deepening(questions: DataFrame, edges: DataFrame, aliases: DataFrame, start_hops: int = 2, max_hops: int = 3, wider: bool = False) -> DataFrame:
+    """Answers with the rounds that they took: a question without one is asked again while its hops are below its limit.
+
+    The rounds are bounded by the difference of the hops. Questions about co-participants start at their limit and have one round. A later
+    round reads the same templates, so it changes nothing but the count, unless wider lets it also follow those that end in persons.
+    """
+    co = L.intent(questions).select("qid", "co")
+    got = ask(questions, edges, aliases).answers.withColumn("rounds", F.lit(1))
+    for turn in range(2, max(max_hops - start_hops, 0) + 2):
+        got = written(got, "answers")
+        again = got.filter("refused").join(co.filter("not co"), "qid", "left_semi").select("qid")
+        if again.isEmpty():
+            break
+        more = ask(questions.join(again, "qid", "left_semi"), edges, aliases, reverse=wider).answers.withColumn("rounds", F.lit(turn))
+        got = got.join(again, "qid", "left_anti").unionByName(more)
+    return got
+
+
 def ask_texts(questions: DataFrame, parts: DataFrame) -> DataFrame:
     """The control: quotations from the best chunks."""
     hits = written(R.ranked(questions, parts), "hits")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import mention_scan
@@ -24,8 +25,11 @@ class Graph:
     fired: DataFrame
 
 
-def build(documents: DataFrame, gazetteer: DataFrame | None = None, discovery: bool = False) -> Graph:
-    """The graph of documents (title, categories, body) and further titles (title, categories, redirects)."""
+def build(documents: DataFrame, gazetteer: DataFrame | None = None, discovery: bool = False, ask: Callable[[Column], Column] | None = None) -> Graph:
+    """The graph of documents (title, categories, body) and further titles (title, categories, redirects).
+
+    With ask, a model reads the sentences that the rules left without an edge; what it names must be among their mentions.
+    """
     own = documents.select("title", "categories", F.lit(True).alias("is_doc"), F.array().cast("array<string>").alias("redirects"))
     pages = own if gazetteer is None else own.unionByName(gazetteer.join(own.select("title"), "title", "left_anti").select("title", "categories", F.lit(False).alias("is_doc"), "redirects"))
     entities, dropped = N.inventory(pages)
@@ -41,7 +45,13 @@ def build(documents: DataFrame, gazetteer: DataFrame | None = None, discovery: b
     events = entities.filter("type = 'Event'").select(F.col("name").alias("id"))
     found = X.candidates(rows).unionByName(X.category_candidates(typed.select(F.col("doc_name").alias("title"), "doc_type", "categories"), events))
     accepted, refused = E.gated(found)
-    edges = written(E.merged(accepted), "edges")
+    told = X.model_candidates(X.residual(rows, accepted), ask)
+    if told is not None:
+        # A model may answer otherwise the second time, so its candidates are written before they are used twice.
+        told, doubted = E.gated(written(told, "told"))
+        accepted, refused = accepted.unionByName(told), refused.unionByName(doubted)
+    edges = E.merged(accepted)
+    edges = written(E.confirmed(edges, told) if told is not None else edges, "edges")
     mentioned = rows.select(F.explode("mentions").alias("m"), "title").select(F.col("m.name").alias("id"), F.col("m.type").alias("type"), "title")
     told = mentioned.unionByName(entities.filter("is_doc").select(F.col("name").alias("id"), "type", F.col("name").alias("title")))
     sources = told.groupBy("id", "type").agg(F.array_sort(F.collect_set("title")).alias("sources"))

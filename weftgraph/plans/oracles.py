@@ -168,6 +168,16 @@ SELECT name, type, CASE WHEN k = 1 THEN name ELSE name || ' (' || type || ')' EN
 sql("kg_type_priority", f"""WITH {NODES}, a AS (SELECT id, type, unnest(string_split(names, ';')) AS name FROM n), w(name) AS (VALUES ('백야'), ('애국단'), ('없음')),
 r AS (SELECT name, id, type, row_number() OVER (PARTITION BY name ORDER BY list_position(['Person', 'Organization', 'Event'], type), id) AS k FROM a JOIN w USING (name))
 SELECT name, id, type FROM r WHERE k = 1""")
+sql("kg_abbreviation_target", f"""WITH {NODES}, a AS (SELECT id, type, unnest(string_split(names, ';')) AS name FROM n), w(name) AS (VALUES ('백야'), ('애국단'), ('도마')),
+r AS (SELECT name, id, type, row_number() OVER (PARTITION BY name ORDER BY list_position(['Organization', 'Event', 'Person'], type), id) AS k FROM a JOIN w USING (name))
+SELECT name, id, type FROM r WHERE k = 1""")
+sql("kg_golden_patterns", f"""WITH {S.values(S.EDGES, "head, relation, tail, confidence, sources", "e")}, {S.values(S.GOLDEN, "item_id, type, hops, answerable, a, event, b, organization", "g")},
+pat AS (SELECT p.head AS a, p.tail AS event, q.head AS b, min(f.tail) AS organization FROM e p JOIN e q ON p.relation = 'PARTICIPATED_IN' AND q.relation = 'PARTICIPATED_IN' AND q.tail = p.tail AND q.head <> p.head
+  JOIN e f ON f.relation = 'FOUNDED' AND f.head = q.head AND f.tail <> p.tail AND f.tail <> p.head GROUP BY p.head, p.tail, q.head),
+u AS (SELECT * FROM g WHERE type = 'path' AND hops >= 2),
+m AS (SELECT a, event, b, organization, max(item_id) AS goldenset_id FROM u GROUP BY ALL)
+SELECT pat.*, goldenset_id, FALSE AS added FROM pat LEFT JOIN m USING (a, event, b, organization)
+UNION ALL SELECT a, event, b, organization, min(item_id), TRUE FROM u WHERE answerable AND (a, event, b, organization) NOT IN (SELECT (a, event, b, organization) FROM pat) GROUP BY a, event, b, organization""")
 
 QUESTIONS = S.values(S.QUESTIONS, "qid, question", "q")
 ALIASES = f"""{NODES}, al AS (SELECT DISTINCT id, type, unnest([id] || CASE WHEN id = '대한독립군' THEN [] ELSE list_filter(string_split(names, ';'), lambda x: x <> '') END) AS surface FROM n)"""
@@ -216,6 +226,14 @@ sql("text_normalize", f"WITH {NAMES}, {UNIFIED}, {ABBREVIATIONS} SELECT name, nf
 sql("text_normalization_rules", f"""WITH {NAMES}, {UNIFIED}, h AS (SELECT 'whitespace' AS rule, name FROM z WHERE one <> trim(name) UNION ALL SELECT 'gloss', name FROM z WHERE g <> '' UNION ALL SELECT 'qualifier', name FROM z WHERE bare <> '' AND bare <> one AND g = ''),
 e(rule) AS (VALUES ('whitespace'), ('gloss'), ('qualifier'))
 SELECT rule, count(name) AS applied, coalesce(min(name), '-') AS example FROM e LEFT JOIN h USING (rule) GROUP BY rule""")
+sql("text_rule_report", f"""WITH {NAMES}, {UNIFIED}, {S.values(S.NODES, "name, type, names", "nd")}, {S.values(S.REDIRECTS, "title, named", "rd")}, {S.values(S.MENTIONS, "surface, raw", "mn")}, {ABBREVIATIONS},
+c AS (SELECT name || ' → ' || normalized AS example, one <> trim(name) AS w, g <> '' AS g, bare <> '' AND bare <> one AND g = '' AS q FROM z),
+s AS (SELECT title, {STRIP.format("regexp_replace(surface, '[(（][^()（）]*[)）]', '', 'g')")} AS surface FROM (SELECT title, unnest(string_split(named, ';')) AS surface FROM rd)),
+h AS (SELECT 'whitespace' AS rule, example FROM c WHERE w UNION ALL SELECT 'qualifier', example FROM c WHERE q UNION ALL SELECT 'gloss', example FROM c WHERE g
+  UNION ALL SELECT 'particle', raw || ' → ' || surface FROM mn WHERE raw <> surface UNION ALL SELECT 'redirect', surface || ' → ' || title FROM s WHERE surface <> title AND title IN (SELECT name FROM nd)
+  UNION ALL SELECT 'abbreviation', short || ' → ' || long FROM ab WHERE long IN (SELECT name FROM nd) UNION ALL SELECT 'spaces', replace(name, ' ', '') || ' → ' || name FROM nd WHERE contains(name, ' ')),
+e(turn, rule) AS (VALUES (0, 'whitespace'), (1, 'qualifier'), (2, 'gloss'), (3, 'particle'), (4, 'redirect'), (5, 'abbreviation'), (6, 'spaces'))
+SELECT turn, rule, count(example) AS applied, coalesce(min(example), '-') AS example FROM e LEFT JOIN h USING (rule) GROUP BY turn, rule""")
 WORDS = S.values(S.WORDS, "word", "w")
 sql("text_particles", f"""WITH {WORDS} SELECT word, CASE WHEN regexp_matches(word, '^.+({"|".join(p for p in fixed.QUESTION_PARTICLES if len(p) == 2)})$') THEN word[:-3] WHEN regexp_matches(word, '^.+({"|".join(p for p in fixed.QUESTION_PARTICLES if len(p) == 1)})$') THEN word[:-2] ELSE word END AS stem,
 CASE WHEN length(regexp_extract(word, '^(.*?)(?:은|는|이|가|을|를|의|와|과|에서|에게|에|도|으로|로|등)$', 1)) >= 2 THEN regexp_extract(word, '^(.*?)(?:은|는|이|가|을|를|의|와|과|에서|에게|에|도|으로|로|등)$', 1) ELSE word END AS name_stem FROM w""")
@@ -316,6 +334,17 @@ SELECTED = f"""WITH {LISTED}, r AS (SELECT title, links, len(cats) AS overlap, C
 k AS (SELECT title, row_number() OVER (ORDER BY overlap DESC, links DESC, title) AS n FROM r WHERE reason IS NULL),
 sl AS (SELECT title, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT title, CASE WHEN n > 2 THEN 'over_quota' END FROM k)"""
 sql("funnel_selected", f"{SELECTED} SELECT title, reason FROM sl")
+sql("funnel_collected", f"""WITH sp AS (SELECT 'S' || s_suppkey AS title, '의병 ' || (s_nationkey % 4) AS category, 700 + s_suppkey % 7 * 100 AS chars FROM supplier),
+pp AS (SELECT CASE WHEN p_partkey % 11 = 0 THEN '목록 ' ELSE '' END || 'P' || p_partkey AS title, p_partkey % 97 * 20 AS chars,
+  CASE WHEN p_size % 7 <> 3 THEN list_sort(list_distinct(['의병 ' || (p_size % 6)] || CASE WHEN p_partkey % 3 = 0 THEN ['의병 1'] ELSE [] END || CASE WHEN p_size % 5 = 0 THEN ['1950년 태어남'] ELSE [] END)) END AS cats FROM part),
+lk AS (SELECT CASE WHEN l_partkey % 11 = 0 THEN '목록 ' ELSE '' END || 'P' || l_partkey AS title, count(DISTINCT l_suppkey) AS support FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1),
+pool AS (SELECT category FROM sp GROUP BY category HAVING count(*) >= 2),
+j AS (SELECT title, support, coalesce(len(list_intersect(cats, (SELECT list(category) FROM pool))), 0) AS overlap, cats, chars FROM lk LEFT JOIN pp USING (title)),
+y AS (SELECT *, CASE WHEN support < 2 THEN 'few_links' ELSE coalesce({BLOCK}, CASE WHEN cats IS NULL THEN 'no_category_data' WHEN overlap < 1 THEN 'no_shared_category' END, {SCOPE}) END AS early, CASE WHEN coalesce(chars, 0) = 0 THEN 'fetch_failed' WHEN chars < 800 THEN 'stub' END AS late FROM j),
+sd AS (SELECT title, CASE WHEN chars < 800 THEN 'stub' END AS reason FROM sp UNION ALL SELECT n_name, 'seed_missing' FROM nation),
+o AS (SELECT *, coalesce(sum(CASE WHEN late IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY overlap DESC, support DESC, title ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM y WHERE early IS NULL)
+SELECT title, 0 AS hop, NULL AS support, NULL AS overlap, reason FROM sd UNION ALL SELECT title, 2, support, overlap, early FROM y WHERE early IS NOT NULL
+UNION ALL SELECT title, 2, support, overlap, CASE WHEN taken >= 900 - (SELECT count(*) FROM sd WHERE reason IS NULL) THEN 'over_quota' ELSE late END FROM o""")
 sql("funnel_pruned", f"WITH {LISTED} SELECT title, coalesce({SCOPE}, CASE WHEN length(title) * 300 < 800 THEN 'stub' END) AS reason FROM pc")
 sql("funnel_expanded", f"WITH {LINKS} SELECT target, count(DISTINCT seed) AS support, CASE WHEN count(DISTINCT seed) < 3 THEN 'few_links' END AS reason, TRUE AS expanded FROM lk WHERE seed < 8 GROUP BY target HAVING count(DISTINCT seed) >= 2")
 sql("reject_histogram", f"{SELECTED} SELECT split_part(reason, ':', 1) AS reason, count(*) AS n FROM sl WHERE reason IS NOT NULL GROUP BY 1")

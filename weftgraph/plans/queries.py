@@ -289,6 +289,22 @@ def kg_type_priority(spark: SparkSession, d: str) -> DataFrame:
     return G.by_type_priority(names, nodes).select("name", "id", "type")
 
 
+@query
+def kg_abbreviation_target(spark: SparkSession, d: str) -> DataFrame:
+    """Short names to nodes, organizations first."""
+    nodes = rows(spark, S.NODES, "id string, type string, names string").select("id", "type", F.explode(F.split("names", ";")).alias("node_name"))
+    return G.by_type_priority(rows(spark, ["백야", "애국단", "도마"], "name string"), nodes, ("Organization", "Event", "Person")).select("name", "id", "type")
+
+
+@query
+def kg_golden_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Two-hop patterns with the golden items that use them, and those that only the golden set has."""
+    golden_rows = rows(spark, S.GOLDEN, "item_id string, type string, hops int, answerable boolean, a string, event string, b string, organization string")
+    step = lambda head, relation, tail: F.struct(F.col(head).alias("head"), F.lit(relation).alias("relation"), F.col(tail).alias("tail"))
+    expected = golden_rows.select("item_id", F.posexplode(F.array(step("a", "PARTICIPATED_IN", "event"), step("b", "PARTICIPATED_IN", "event"), step("b", "FOUNDED", "organization"))).alias("n", "t")).select("item_id", "n", "t.*")
+    return P.golden_marked(P.bridges(sample_edges(spark)), golden_rows, expected)
+
+
 # --- questions
 
 
@@ -383,6 +399,14 @@ def text_normalization_rules(spark: SparkSession, d: str) -> DataFrame:
     return every.join(used, "rule", "left").select("rule", F.coalesce("applied", F.lit(0)).alias("applied"), F.coalesce("example", F.lit("-")).alias("example"))
 
 
+@query
+def text_rule_report(spark: SparkSession, d: str) -> DataFrame:
+    """All seven normalization rules with counts and examples."""
+    entities = rows(spark, S.NODES, "name string, type string, names string").withColumn("title", F.col("name"))
+    redirects = N.redirect_claims(rows(spark, S.REDIRECTS, "title string, named string").select("title", F.split("named", ";").alias("redirects")), entities)
+    return N.rule_hits(rows(spark, S.NAMES, "name string"), entities, rows(spark, S.MENTIONS, "surface string, raw string"), redirects)
+
+
 @query
 def text_particles(spark: SparkSession, d: str) -> DataFrame:
     w = F.col("word")
@@ -567,6 +591,21 @@ def funnel_selected(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).select("title", "reason")
 
 
+@query
+def funnel_collected(spark: SparkSession, d: str) -> DataFrame:
+    """The whole funnel: suppliers and nations are seeds, order lines link suppliers to parts."""
+    part_title = lambda key: F.concat(F.when(F.col(key) % 11 == 0, "목록 ").otherwise(""), F.lit("P"), F.col(key).cast("string"))
+    supplier, part = table(spark, d, "supplier"), table(spark, d, "part")
+    own = F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("title")
+    seeds_ = supplier.select(own).unionByName(table(spark, d, "nation").select(F.col("n_name").alias("title")))
+    links = table(spark, d, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("seed"), part_title("l_partkey").alias("target"))
+    named = lambda n: F.concat(F.lit("의병 "), n.cast("string"))
+    some = F.when(F.col("p_size") % 7 != 3, F.array_compact(F.array(named(F.col("p_size") % 6), F.when(F.col("p_partkey") % 3 == 0, named(F.lit(1))), F.when(F.col("p_size") % 5 == 0, "1950년 태어남"))))
+    categories = part.select(part_title("p_partkey").alias("title"), F.explode(some).alias("category")).unionByName(supplier.select(own, named(F.col("s_nationkey") % 4).alias("category")))
+    texts = part.select(part_title("p_partkey").alias("title"), (F.col("p_partkey") % 97 * 20).alias("chars")).unionByName(supplier.select(own, (700 + F.col("s_suppkey") % 7 * 100).alias("chars")))
+    return C.collected(seeds_, links, categories, texts, 900)
+
+
 @query
 def funnel_pruned(spark: SparkSession, d: str) -> DataFrame:
     return C.pruned_corpus(pages(spark).withColumn("raw_chars", F.length("title") * 300)).select("title", "reason")

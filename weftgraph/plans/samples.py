@@ -35,6 +35,13 @@ ANSWERS = [("```json\n[{\"a\": 1}]\n```",), ("Here it is: {\"a\": [1, 2]} and no
 TITLES = ["1919년", "1910년대", "3월 1일", "123", "독립운동가 목록", "틀:문서", "김구 (동음이의)", "일본", "안중근", "한국 일람"]
 CATEGORIES = ["분류:20세기 한국 사람", "위키 문서", "1879년 태어남", "한국의 독립운동가", "고령 신씨", "서울대학교 동문", "조선 사람", "의병", "대한민국의 소설가", "올림픽", "한국의 시인"]
 
+REDIRECTS = [("안중근", "도마 안중근;안중근;안중근 (의사)"), ("김구", "백범 김구"), ("없음", "누구")]
+MENTIONS = [("안중근", "안중근은"), ("신민회", "신민회"), ("김구", "김구가"), ("안중근", "안중근의")]
+GOLDEN = [
+    ("Q1", "path", 2, True, "윤봉길", "홍커우 공원 의거", "김구", "한인애국단"), ("Q2", "path", 3, True, "김구", "홍커우 공원 의거", "없는 사람", "없는 단체"), ("Q3", "path", 2, False, "누구", "어떤 의거", "없는 사람", "없는 단체"),
+    ("Q4", "local", 1, True, "김좌진", "청산리 전투", "홍범도", "대한독립군"), ("Q5", "path", 2, True, "김구", "홍커우 공원 의거", "없는 사람", "없는 단체"), ("Q6", "path", 2, True, "윤봉길", "홍커우 공원 의거", "김구", "한인애국단"),
+]
+
 
 def quoted(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"

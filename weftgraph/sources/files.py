@@ -22,6 +22,13 @@ MANIFEST = (
     "gazetteer map<string,struct<categories:array<string>,redirects:array<string>>>, rejected array<struct<title:string,reason:string>>"
 )
 DOCUMENT = r"(?s)\A# (.*?)\n\s*(?:분류: (.*?)\n)?\s*\n(.*)\z"
+STORED = r"(?s)\A#\s*(.+?)\n\s*\n분류:\s*(.*?)\n\s*\n(.*)\z"
+SCORES = "struct<answer_acc:double,path_recall:double,refusal_ok:double>"
+EVALUATION = (
+    f"run_at string, n_items int, by_hop map<string,struct<n:int,graphrag:{SCORES},basic_rag:struct<answer_acc:double>>>, "
+    "unanswerable struct<n:int,refusal_accuracy:double,hallucinated:int>, overall struct<graphrag_answer_acc:double,basic_rag_answer_acc:double>, "
+    "failure_layer_counts map<string,int>"
+)
 
 
 @dataclass(frozen=True)
@@ -67,6 +74,15 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("title", categories.alias("categories"), trimmed_body(F.col("body")).alias("body"), F.length("body").alias("raw_chars"), "file").orderBy("file")
 
 
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(title, categories, body, file) of stored Markdown files; one of another form has no title, no categories and its raw text as body."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    part = lambda n: F.regexp_extract("value", STORED, n)
+    # No group matches in a file of another form, so its parts are empty.
+    categories = F.filter(F.transform(F.split(part(2), ","), stripped), lambda c: c != "")
+    return raw.select(stripped(part(1)).alias("title"), categories.alias("categories"), F.when(F.col("value").rlike(STORED), part(3)).otherwise(F.col("value")).alias("body"), "file")
+
+
 def corpus_texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc, file, text) of Markdown files whole, named by their files."""
     raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
@@ -112,5 +128,13 @@ def golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return items.drop("expected_path"), expected
 
 
+def evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(one row of totals, one row for each number of hops) of an evaluation file; a broken file gives nulls and no hops."""
+    whole = spark.read.schema(EVALUATION).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    totals = whole.select("run_at", "n_items", F.col("unanswerable.n").alias("unanswerable"), "unanswerable.refusal_accuracy", F.col("unanswerable.hallucinated").alias("hallucinations"), F.col("overall.graphrag_answer_acc").alias("accuracy"), F.col("overall.basic_rag_answer_acc").alias("control_accuracy"), "failure_layer_counts")
+    hops = whole.select(F.explode("by_hop").alias("hops", "v")).select(F.col("hops").cast("int").alias("hops"), "v.n", F.col("v.graphrag.answer_acc").alias("accuracy"), F.col("v.graphrag.path_recall").alias("recall"), F.col("v.basic_rag.answer_acc").alias("control_accuracy"))
+    return totals, hops
+
+
 def run_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ts string, question string, route string, refused boolean, answer string, path_explanation string, hops_used int, deepened boolean").json(path)

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name
+from ..operators.graph import claimed_aliases, statistics
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes, edges and alias rows as JSON lines in folders of their own; sorted, so that equal graphs give equal files."""
+    """Nodes, edges, alias rows and counts as JSON lines in folders of their own; sorted, so that equal graphs give equal files."""
     nodes.orderBy("id").write.mode("overwrite").json(f"{path}/nodes")
     edges.orderBy("head", "relation", "tail").write.mode("overwrite").json(f"{path}/edges")
-    aliases = nodes.select(F.explode(F.array_distinct(F.concat(F.array("id"), "aliases"))).alias("surface"), "id")
-    aliases.groupBy("surface").agg(F.min("id").alias("id")).orderBy("surface").write.mode("overwrite").json(f"{path}/alias_index")
+    claimed_aliases(nodes).orderBy("surface").write.mode("overwrite").json(f"{path}/alias_index")
+    kinds = nodes.groupBy(F.col("type").alias("value")).agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "value", "n")
+    every = nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("kind"), F.lit("all").alias("value"), "n")
+    counts = statistics(edges).withColumnRenamed("edges", "n").withColumn("kind", F.when(F.col("kind") == "all", "edges").otherwise(F.col("kind")))
+    kinds.unionByName(every).unionByName(counts).orderBy("kind", "value").write.mode("overwrite").json(f"{path}/stats")
 
 
 def graphml_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,6 +55,29 @@ def write_selection(judged: DataFrame, path: str) -> None:
     judged.filter("reason is not null").write.mode("overwrite").parquet(f"{path}/rejected")
 
 
+def manifest_row(kept: DataFrame, rejected: DataFrame, gazetteer: DataFrame, seeds: list[str], stats: dict[str, int], source: str, topic: str) -> DataFrame:
+    """One row in the form that ``files.manifest`` reads: kept (title, categories, chars, hop, why, redirects), rejected (title, reason)
+    and gazetteer (title, categories, redirects). A manifest is one JSON object, so its lists are one row: for a corpus that
+    fits it. ``write_selection`` is the scalable form."""
+    doc = F.struct("hop", "title", file_name(F.col("title")).alias("file"), "categories", "chars", F.col("why").alias("reason"), "redirects")
+    shown = lambda d: F.struct(d["title"].alias("title"), d["file"].alias("file"), d["categories"].alias("categories"), d["chars"].alias("chars"), d["hop"].alias("hop"), d["reason"].alias("reason"), d["redirects"].alias("redirects"))
+    docs = kept.agg(F.transform(F.array_sort(F.collect_list(doc)), shown).alias("docs"))
+    left = rejected.agg(F.transform(F.array_sort(F.collect_list(F.struct("reason", "title"))), lambda r: F.struct(r["title"].alias("title"), r["reason"].alias("reason"))).alias("rejected"))
+    entry = F.struct("title", F.struct("categories", "redirects").alias("v"))
+    known = gazetteer.dropDuplicates(["title"]).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("gazetteer"))
+    numbers = F.create_map(*(F.lit(x) for pair in stats.items() for x in pair)) if stats else F.create_map().cast("map<string,int>")
+    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # Three tables of one row each.
+    return docs.crossJoin(known).crossJoin(left).select(
+        at.alias("collected_at"), F.lit(source).alias("source"), F.lit(topic).alias("topic"), F.array(*map(F.lit, seeds)).cast("array<string>").alias("seeds"),
+        numbers.alias("stats"), "docs", "gazetteer", "rejected",
+    )
+
+
+def write_manifest(row: DataFrame, path: str) -> None:
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def append_runs(answers: DataFrame, path: str) -> None:
     answers.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)
 
