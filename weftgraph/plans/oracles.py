@@ -279,6 +279,76 @@ sql("entity_merge", """SELECT c_mktsegment AS name, CAST(c_nationkey AS VARCHAR)
 string_agg(DISTINCT CAST(c_custkey % 7 AS VARCHAR), ';' ORDER BY CAST(c_custkey % 7 AS VARCHAR)) AS sources, bool_or(c_acctbal > 9000) AS is_doc, arg_min('r' || c_custkey, c_custkey) FILTER (c_custkey % 3 <> 0) AS reason, count(DISTINCT c_custkey % 7) AS doc_count
 FROM customer GROUP BY c_mktsegment, c_nationkey""")
 
+def starts(text: str, pattern: str) -> str:
+    """Offsets of a pattern's matches: what lies before the i-th match is i gaps and the matches between them."""
+    total = lambda parts: f"coalesce(list_sum(list_transform({parts}, lambda x: length(x))), 0)"
+    found, gaps = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: CAST({total(f'{gaps}[1:i]')} + {total(f'{found}[1:i - 1]')} AS INT))"
+
+
+def surfaces(extra: dict[str, tuple[str, str]]) -> tuple[str, str]:
+    """The sample's surface table as rows of SQL, and the pattern that finds the longest first."""
+    known = {x: (i, t) for i, t, names in S.NODES for x in [i, *filter(None, names.split(";"))]} | extra
+    return S.values([(x, *v) for x, v in known.items()], "surface, name, type", "sf"), "|".join(sorted(known, key=lambda x: (-len(x), x)))
+
+
+def mentions(pattern: str) -> str:
+    """ms: the mentions of tx (title, ord, sentence) that stand between the boundaries of names."""
+    ends = f"^{fixed.NAME_SUFFIX}{fixed.NAME_PARTICLE}([^가-힣]|$)"
+    return rf"""mf AS (SELECT *, regexp_extract_all(sentence, '{pattern}') AS found, {starts("sentence", pattern)} AS places FROM tx),
+mu AS (SELECT title, ord, sentence, unnest(found) AS surface, unnest(places) AS start FROM mf),
+ms AS (SELECT mu.*, CAST(start + length(surface) AS INT) AS "end", sf.name, sf.type FROM mu JOIN sf USING (surface)
+  WHERE NOT regexp_matches(CASE WHEN start > 0 THEN substring(sentence, start, 1) ELSE '' END, '[가-힣A-Za-z0-9]') AND regexp_matches(substring(sentence, start + length(surface) + 1), '{ends}'))"""
+
+
+SURFACES, SURFACE_PATTERN = surfaces({})
+sql("mention_spans", f"""WITH {PAGES}, {SURFACES}, tx AS (SELECT title, 0 AS ord, body AS sentence FROM pg), {mentions(SURFACE_PATTERN)}
+SELECT title, start, "end", surface, name, type FROM ms""")
+MORE_SURFACES, MORE_PATTERN = surfaces({"안창호": ("안창호", "Person"), "신민회": ("신민회", "Organization")})
+
+
+def near(verbs: str, end: str, most: int) -> str:
+    return f"len(list_filter({verbs}, lambda v: v BETWEEN {end} AND {end} + {most})) > 0"
+
+
+def pair_rule(heads: str, relation: str, tails: str, fits: str, confidence: float, extractor: str) -> str:
+    return f"""SELECT h.name AS head, '{relation}' AS relation, t.name AS tail, {confidence} AS confidence, '{extractor}' AS extractor, h.title AS source, h.sentence FROM mm h JOIN mm t USING (title, ord)
+WHERE h.type IN ({heads}) AND t.type IN ({tails}) AND {fits}"""
+
+
+def document_rule(kinds: str, alone: str, others: str, fits: str, relation: str, confidence: str, extractor: str, first: bool) -> str:
+    head, tail = ("title", "name") if first else ("name", "title")
+    return f"""SELECT {head} AS head, '{relation}' AS relation, {tail} AS tail, {confidence} AS confidence, {extractor} AS extractor, title AS source, sentence FROM mm
+WHERE kind IN ({kinds}) AND NOT own AND type IN ({others}) AND NOT EXISTS (SELECT 1 FROM mm o WHERE o.title = mm.title AND o.ord = mm.ord AND NOT o.own AND o.type IN ({alone})) AND {fits}"""
+
+
+PERSON, GROUP, EVENT = "'Person'", "'Organization'", "'Event'"
+GAP = 'substring(h.sentence, h."end" + 1, list_filter(h.found_p, lambda v: v BETWEEN h."end" AND h."end" + 30)[1] - h."end")'
+STRONG = "len(part_a) + len(part_p) > 0"
+RULES = " UNION ALL ".join([
+    pair_rule(f"{PERSON}, {GROUP}", "FOUNDED", f"{GROUP}, {EVENT}", f"""h.start < t.start AND h.subject AND t.object AND {near("t.found_a", 't."end"', 25)}""", 0.88, "rule_founded_v1_active"),
+    pair_rule(f"{PERSON}, {GROUP}", "FOUNDED", f"{GROUP}, {EVENT}", f"""h.agent AND t.start < h.start AND {near("h.found_p", 'h."end"', 30)} AND ({GAP} = '' OR regexp_matches({GAP}, '{fixed.AGENT_MARKER}'))""", 0.80, "rule_founded_v2_passive"),
+    pair_rule(f"{PERSON}, {GROUP}, {EVENT}", "PARTICIPATED_IN", f"{EVENT}, {GROUP}", f"""h.start < t.start AND h.subject AND {near("t.part_a", 't."end"', 30)}""", 0.88, "rule_participated_v1_active"),
+    pair_rule(f"{PERSON}, {GROUP}, {EVENT}", "PARTICIPATED_IN", f"{EVENT}, {GROUP}", f"""t.place AND t.start < h.start AND h.subject AND {near("h.part_a", 'h."end"', 40)}""", 0.75, "rule_participated_v2_locative"),
+    document_rule(GROUP, GROUP, PERSON, f"""NOT oblique AND {near("found_a", '"end"', 30)}""", "FOUNDED", "0.82", "'rule_founded_v3_doc_org'", False),
+    document_rule(GROUP, GROUP, PERSON, f"""agent AND NOT oblique AND NOT ({near("found_a", '"end"', 30)}) AND {near("found_p", '"end"', 30)}""", "FOUNDED", "0.74", "'rule_founded_v3p_doc_org_passive'", False),
+    document_rule(PERSON, PERSON, GROUP, f"""object AND {near("found_a", '"end"', 20)}""", "FOUNDED", "0.80", "'rule_founded_v4_doc_person'", True),
+    document_rule(EVENT, EVENT, f"{PERSON}, {GROUP}", f"({STRONG} OR role)", "PARTICIPATED_IN", f"CASE WHEN {STRONG} THEN 0.80 ELSE 0.68 END", f"CASE WHEN {STRONG} THEN 'rule_participated_v3_doc_event' ELSE 'rule_participated_v5_doc_event_role' END", False),
+    document_rule(f"{PERSON}, {GROUP}", f"{PERSON}, {GROUP}", EVENT, near("part_a", '"end"', 25), "PARTICIPATED_IN", "0.80", "'rule_participated_v4_doc_entity'", True),
+])
+sql("extract_edges", rf"""WITH {PAGES}, {MORE_SURFACES}, dk(title, kind) AS (VALUES ('안중근', 'Person'), ('청산리 전투', 'Event'), ('신민회', 'Organization')),
+bd AS (SELECT title, CASE WHEN regexp_matches(body, '(?m)^\s*({CUT})\s*$') THEN rtrim(regexp_replace(body, '(?ms)^\s*(?:{CUT})\s*$.*\z', ''), E' \n\t') ELSE body END AS body FROM pg JOIN dk USING (title)),
+sp AS (SELECT title, string_split_regex(regexp_replace(body, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+') AS parts FROM bd),
+sl AS (SELECT title, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^[ \t·\-—=*]+|[ \t·\-—=*]+$', '', 'g')), lambda x: length(x) >= 8 AND NOT starts_with(x, '[문서 ')) AS l FROM sp),
+tx AS (SELECT title, unnest(l) AS sentence, generate_subscripts(l, 1) AS ord FROM sl), {mentions(MORE_PATTERN)},
+mr AS (SELECT ms.*, kind, name = title AND type = kind AS own, regexp_replace(substring(sentence, "end" + 1), '{fixed.GLOSS_AFTER}', '') AS rest FROM ms JOIN dk USING (title)),
+mm AS (SELECT *, NOT regexp_matches(rest, '{fixed.NOT_SUBJECT}') AND (regexp_matches(rest, '{fixed.LISTED_SUBJECT}') OR (NOT regexp_matches(rest, '{fixed.OBJECT_PARTICLE}') AND regexp_matches(rest, '{fixed.SUBJECT_MARK}'))) AS subject,
+  NOT regexp_matches(rest, '{fixed.NOT_OBJECT}') AND (regexp_matches(rest, '{fixed.OBJECT_MARK}') OR starts_with(rest, ' ')) AS object, regexp_matches(rest, '{fixed.OBLIQUE}') AS oblique, regexp_matches(substring(sentence, "end" + 1, 2), '{fixed.LOCATIVE}') AS place,
+  regexp_matches(sentence, '{fixed.AGENT_MARKER}') AS agent, regexp_matches(sentence, '{fixed.PART_ROLE}') AS role,
+  {starts("sentence", fixed.FOUND_ACTIVE)} AS found_a, {starts("sentence", fixed.FOUND_PASSIVE)} AS found_p, {starts("sentence", fixed.PART_ACTIVE)} AS part_a, {starts("sentence", fixed.PART_PASSIVE)} AS part_p FROM mr),
+al AS ({RULES})
+SELECT head, relation, tail, CAST(confidence AS DOUBLE) AS confidence, extractor, source, CASE WHEN length({STRIP.format("sentence")}) > 200 THEN regexp_replace({STRIP.format("sentence")}[:199], '\s+$', '') || '…' ELSE {STRIP.format("sentence")} END AS evidence FROM al""")
+
 sql("discovered_entities", "SELECT * FROM (VALUES ('자유시 참변', 'Event', 3), ('대한청년회', 'Organization', 2), ('자강단', 'Organization', 3)) v(name, type, doc_support)")
 sql("gloss_aliases", "SELECT * FROM (VALUES ('安重根', '안중근', 'Person'), ('金九', '김구', 'Person')) v(surface, id, type)")
 
