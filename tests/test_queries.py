@@ -73,3 +73,9 @@ def test_greedy_patterns(spark):
     rows = QUERIES["kg_two_hop_greedy"](spark, DATA).collect()
     assert len(rows) <= 10 and len({r.b for r in rows}) == len(rows)
     assert max([0, *(sum(r.event == e for r in rows) for e in {r.event for r in rows})]) <= 2
+
+
+def test_every_rule_fires(spark):
+    got = {r.extractor for r in QUERIES["extract_rules"](spark, DATA).collect()}
+    numbered = {"founded_v1_active", "founded_v2_passive", "founded_v3_doc_org", "founded_v3p_doc_org_passive", "founded_v4_doc_person", "participated_v1_active", "participated_v2_locative", "participated_v3_doc_event", "participated_v4_doc_entity", "participated_v5_doc_event_role"}
+    assert got == {f"rule_{n}" for n in numbered}

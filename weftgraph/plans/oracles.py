@@ -336,18 +336,24 @@ RULES = " UNION ALL ".join([
     document_rule(EVENT, EVENT, f"{PERSON}, {GROUP}", f"({STRONG} OR role)", "PARTICIPATED_IN", f"CASE WHEN {STRONG} THEN 0.80 ELSE 0.68 END", f"CASE WHEN {STRONG} THEN 'rule_participated_v3_doc_event' ELSE 'rule_participated_v5_doc_event_role' END", False),
     document_rule(f"{PERSON}, {GROUP}", f"{PERSON}, {GROUP}", EVENT, near("part_a", '"end"', 25), "PARTICIPATED_IN", "0.80", "'rule_participated_v4_doc_entity'", True),
 ])
-sql("extract_edges", rf"""WITH {PAGES}, {MORE_SURFACES}, dk(title, kind) AS (VALUES ('안중근', 'Person'), ('청산리 전투', 'Event'), ('신민회', 'Organization')),
-bd AS (SELECT title, CASE WHEN regexp_matches(body, '(?m)^\s*({CUT})\s*$') THEN rtrim(regexp_replace(body, '(?ms)^\s*(?:{CUT})\s*$.*\z', ''), E' \n\t') ELSE body END AS body FROM pg JOIN dk USING (title)),
-sp AS (SELECT title, string_split_regex(regexp_replace(body, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+') AS parts FROM bd),
+def extraction(pattern: str) -> str:
+    """al: what the rules find in bd (title, kind, body) with the surfaces of sf, as rows."""
+    return rf"""sp AS (SELECT title, string_split_regex(regexp_replace(body, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+') AS parts FROM bd),
 sl AS (SELECT title, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^[ \t·\-—=*]+|[ \t·\-—=*]+$', '', 'g')), lambda x: length(x) >= 8 AND NOT starts_with(x, '[문서 ')) AS l FROM sp),
-tx AS (SELECT title, unnest(l) AS sentence, generate_subscripts(l, 1) AS ord FROM sl), {mentions(MORE_PATTERN)},
-mr AS (SELECT ms.*, kind, name = title AND type = kind AS own, regexp_replace(substring(sentence, "end" + 1), '{fixed.GLOSS_AFTER}', '') AS rest FROM ms JOIN dk USING (title)),
+tx AS (SELECT title, unnest(l) AS sentence, generate_subscripts(l, 1) AS ord FROM sl), {mentions(pattern)},
+mr AS (SELECT ms.*, kind, name = title AND type = kind AS own, regexp_replace(substring(sentence, "end" + 1), '{fixed.GLOSS_AFTER}', '') AS rest FROM ms JOIN (SELECT title, kind FROM bd) USING (title)),
 mm AS (SELECT *, NOT regexp_matches(rest, '{fixed.NOT_SUBJECT}') AND (regexp_matches(rest, '{fixed.LISTED_SUBJECT}') OR (NOT regexp_matches(rest, '{fixed.OBJECT_PARTICLE}') AND regexp_matches(rest, '{fixed.SUBJECT_MARK}'))) AS subject,
   NOT regexp_matches(rest, '{fixed.NOT_OBJECT}') AND (regexp_matches(rest, '{fixed.OBJECT_MARK}') OR starts_with(rest, ' ')) AS object, regexp_matches(rest, '{fixed.OBLIQUE}') AS oblique, regexp_matches(substring(sentence, "end" + 1, 2), '{fixed.LOCATIVE}') AS place,
   regexp_matches(sentence, '{fixed.AGENT_MARKER}') AS agent, regexp_matches(sentence, '{fixed.PART_ROLE}') AS role,
   {starts("sentence", fixed.FOUND_ACTIVE)} AS found_a, {starts("sentence", fixed.FOUND_PASSIVE)} AS found_p, {starts("sentence", fixed.PART_ACTIVE)} AS part_a, {starts("sentence", fixed.PART_PASSIVE)} AS part_p FROM mr),
 al AS ({RULES})
-SELECT head, relation, tail, CAST(confidence AS DOUBLE) AS confidence, extractor, source, CASE WHEN length({STRIP.format("sentence")}) > 200 THEN regexp_replace({STRIP.format("sentence")}[:199], '\s+$', '') || '…' ELSE {STRIP.format("sentence")} END AS evidence FROM al""")
+SELECT head, relation, tail, CAST(confidence AS DOUBLE) AS confidence, extractor, source, CASE WHEN length({STRIP.format("sentence")}) > 200 THEN regexp_replace({STRIP.format("sentence")}[:199], '\s+$', '') || '…' ELSE {STRIP.format("sentence")} END AS evidence FROM al"""
+
+
+sql("extract_edges", rf"""WITH {PAGES}, {MORE_SURFACES}, dk(title, kind) AS (VALUES ('안중근', 'Person'), ('청산리 전투', 'Event'), ('신민회', 'Organization')),
+bd AS (SELECT title, kind, CASE WHEN regexp_matches(body, '(?m)^\s*({CUT})\s*$') THEN rtrim(regexp_replace(body, '(?ms)^\s*(?:{CUT})\s*$.*\z', ''), E' \n\t') ELSE body END AS body FROM pg JOIN dk USING (title)),
+{extraction(MORE_PATTERN)}""")
+sql("extract_rules", f"""WITH {S.values(S.RULE_BODIES, "title, kind, body", "bd")}, {SURFACES}, {extraction(SURFACE_PATTERN)}""")
 
 sql("discovered_entities", "SELECT * FROM (VALUES ('자유시 참변', 'Event', 3), ('대한청년회', 'Organization', 2), ('자강단', 'Organization', 3)) v(name, type, doc_support)")
 sql("gloss_aliases", "SELECT * FROM (VALUES ('安重根', '안중근', 'Person'), ('金九', '김구', 'Person')) v(surface, id, type)")

@@ -494,6 +494,14 @@ def extract_edges(spark: SparkSession, d: str) -> DataFrame:
     return found.select("head", "relation", "tail", "confidence", "extractor", "source", "evidence")
 
 
+@query
+def extract_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences for each of the rules, and some that none may take."""
+    table_ = {s: (i, t) for i, t, names in S.NODES for s in [i, *filter(None, names.split(";"))]}
+    found = X.candidates(X.with_mentions(X.sentence_rows(rows(spark, S.RULE_BODIES, "title string, doc_type string, body string")), mention_scan(table_)))
+    return found.select("head", "relation", "tail", "confidence", "extractor", "source", "evidence")
+
+
 @query
 def build_graph(spark: SparkSession, d: str) -> DataFrame:
     more = rows(spark, S.GAZETTEER, "title string, named string").select("title", F.split("named", ";").alias("categories"), F.array().cast("array<string>").alias("redirects"))

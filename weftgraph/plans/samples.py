@@ -35,6 +35,10 @@ ANSWERS = [("```json\n[{\"a\": 1}]\n```",), ("Here it is: {\"a\": [1, 2]} and no
 TITLES = ["1919년", "1910년대", "3월 1일", "123", "독립운동가 목록", "틀:문서", "김구 (동음이의)", "일본", "안중근", "한국 일람"]
 CATEGORIES = ["분류:20세기 한국 사람", "위키 문서", "1879년 태어남", "한국의 독립운동가", "고령 신씨", "서울대학교 동문", "조선 사람", "의병", "대한민국의 소설가", "올림픽", "한국의 시인"]
 
+RULE_BODIES = [
+    ("글", "", "김구는 한인애국단을 조직하였다. 한인애국단은 김구에 의해 조직되었다. 청산리 전투에서 김좌진은 크게 활약하였다. 안중근이 하얼빈 의거를 결행하였다. 아무도 없는 문장이다."), ("의열단", "Organization", "1919년 김원봉이 조직하였다. 김원봉 등이 중심이 되어 결성되었다. 김원봉에게 조직한 일을 물었다."),
+    ("김구", "Person", "1931년 한인애국단을 조직하였다. 한인애국단에서 조직한 일이 있다."), ("청산리 전투", "Event", "김좌진이 지휘관으로 나섰다. 홍범도도 청산리 전투에 참전하였다. 봉오동 전투와 홍범도가 참전하였다."), ("홍범도", "Person", "1920년 봉오동 전투에 참전하였다. 김좌진과 청산리 전투에 참전하였다."),
+]
 REDIRECTS = [("안중근", "도마 안중근;안중근;안중근 (의사)"), ("김구", "백범 김구"), ("없음", "누구")]
 MENTIONS = [("안중근", "안중근은"), ("신민회", "신민회"), ("김구", "김구가"), ("안중근", "안중근의")]
 GOLDEN = [
