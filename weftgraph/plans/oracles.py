@@ -282,29 +282,28 @@ FROM customer GROUP BY c_mktsegment, c_nationkey""")
 def starts(text: str, pattern: str) -> str:
     """Offsets of a pattern's matches: what lies before the i-th match is i gaps and the matches between them."""
     total = lambda parts: f"coalesce(list_sum(list_transform({parts}, lambda x: length(x))), 0)"
-    found, gaps = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
+    found, gaps = f"regexp_extract_all({text}, {pattern})", f"string_split_regex({text}, {pattern})"
     return f"list_transform(range(1, len({found}) + 1), lambda i: CAST({total(f'{gaps}[1:i]')} + {total(f'{found}[1:i - 1]')} AS INT))"
 
 
-def surfaces(extra: dict[str, tuple[str, str]]) -> tuple[str, str]:
-    """The sample's surface table as rows of SQL, and the pattern that finds the longest first."""
+def surfaces(extra: dict[str, tuple[str, str]]) -> str:
+    """The sample's surface table as rows of SQL."""
     known = {x: (i, t) for i, t, names in S.NODES for x in [i, *filter(None, names.split(";"))]} | extra
-    return S.values([(x, *v) for x, v in known.items()], "surface, name, type", "sf"), "|".join(sorted(known, key=lambda x: (-len(x), x)))
+    return S.values([(x, *v) for x, v in known.items()], "surface, name, type", "sf")
 
 
-def mentions(pattern: str) -> str:
-    """ms: the mentions of tx (title, ord, sentence) that stand between the boundaries of names."""
+def mentions() -> str:
+    """ms: the mentions of tx (title, ord, sentence) by the surfaces of sf, the longest first, that stand between the boundaries of names."""
     ends = f"^{fixed.NAME_SUFFIX}{fixed.NAME_PARTICLE}([^가-힣]|$)"
-    return rf"""mf AS (SELECT *, regexp_extract_all(sentence, '{pattern}') AS found, {starts("sentence", pattern)} AS places FROM tx),
+    return rf"""px AS (SELECT string_agg(surface, '|' ORDER BY length(surface) DESC, surface) AS every FROM sf),
+mf AS (SELECT tx.*, regexp_extract_all(sentence, every) AS found, {starts("sentence", "every")} AS places FROM tx, px),
 mu AS (SELECT title, ord, sentence, unnest(found) AS surface, unnest(places) AS start FROM mf),
 ms AS (SELECT mu.*, CAST(start + length(surface) AS INT) AS "end", sf.name, sf.type FROM mu JOIN sf USING (surface)
   WHERE NOT regexp_matches(CASE WHEN start > 0 THEN substring(sentence, start, 1) ELSE '' END, '[가-힣A-Za-z0-9]') AND regexp_matches(substring(sentence, start + length(surface) + 1), '{ends}'))"""
 
 
-SURFACES, SURFACE_PATTERN = surfaces({})
-sql("mention_spans", f"""WITH {PAGES}, {SURFACES}, tx AS (SELECT title, 0 AS ord, body AS sentence FROM pg), {mentions(SURFACE_PATTERN)}
+sql("mention_spans", f"""WITH {PAGES}, {surfaces({})}, tx AS (SELECT title, 0 AS ord, body AS sentence FROM pg), {mentions()}
 SELECT title, start, "end", surface, name, type FROM ms""")
-MORE_SURFACES, MORE_PATTERN = surfaces({"안창호": ("안창호", "Person"), "신민회": ("신민회", "Organization")})
 
 
 def near(verbs: str, end: str, most: int) -> str:
@@ -336,24 +335,40 @@ RULES = " UNION ALL ".join([
     document_rule(EVENT, EVENT, f"{PERSON}, {GROUP}", f"({STRONG} OR role)", "PARTICIPATED_IN", f"CASE WHEN {STRONG} THEN 0.80 ELSE 0.68 END", f"CASE WHEN {STRONG} THEN 'rule_participated_v3_doc_event' ELSE 'rule_participated_v5_doc_event_role' END", False),
     document_rule(f"{PERSON}, {GROUP}", f"{PERSON}, {GROUP}", EVENT, near("part_a", '"end"', 25), "PARTICIPATED_IN", "0.80", "'rule_participated_v4_doc_entity'", True),
 ])
-def extraction(pattern: str) -> str:
-    """al: what the rules find in bd (title, kind, body) with the surfaces of sf, as rows."""
+def extraction() -> str:
+    """ex: what the rules find in bd (title, kind, body) with the surfaces of sf."""
     return rf"""sp AS (SELECT title, string_split_regex(regexp_replace(body, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+') AS parts FROM bd),
 sl AS (SELECT title, list_filter(list_transform(parts, lambda x: regexp_replace(x, '^[ \t·\-—=*]+|[ \t·\-—=*]+$', '', 'g')), lambda x: length(x) >= 8 AND NOT starts_with(x, '[문서 ')) AS l FROM sp),
-tx AS (SELECT title, unnest(l) AS sentence, generate_subscripts(l, 1) AS ord FROM sl), {mentions(pattern)},
+tx AS (SELECT title, unnest(l) AS sentence, generate_subscripts(l, 1) AS ord FROM sl), {mentions()},
 mr AS (SELECT ms.*, kind, name = title AND type = kind AS own, regexp_replace(substring(sentence, "end" + 1), '{fixed.GLOSS_AFTER}', '') AS rest FROM ms JOIN (SELECT title, kind FROM bd) USING (title)),
 mm AS (SELECT *, NOT regexp_matches(rest, '{fixed.NOT_SUBJECT}') AND (regexp_matches(rest, '{fixed.LISTED_SUBJECT}') OR (NOT regexp_matches(rest, '{fixed.OBJECT_PARTICLE}') AND regexp_matches(rest, '{fixed.SUBJECT_MARK}'))) AS subject,
   NOT regexp_matches(rest, '{fixed.NOT_OBJECT}') AND (regexp_matches(rest, '{fixed.OBJECT_MARK}') OR starts_with(rest, ' ')) AS object, regexp_matches(rest, '{fixed.OBLIQUE}') AS oblique, regexp_matches(substring(sentence, "end" + 1, 2), '{fixed.LOCATIVE}') AS place,
   regexp_matches(sentence, '{fixed.AGENT_MARKER}') AS agent, regexp_matches(sentence, '{fixed.PART_ROLE}') AS role,
-  {starts("sentence", fixed.FOUND_ACTIVE)} AS found_a, {starts("sentence", fixed.FOUND_PASSIVE)} AS found_p, {starts("sentence", fixed.PART_ACTIVE)} AS part_a, {starts("sentence", fixed.PART_PASSIVE)} AS part_p FROM mr),
-al AS ({RULES})
-SELECT head, relation, tail, CAST(confidence AS DOUBLE) AS confidence, extractor, source, CASE WHEN length({STRIP.format("sentence")}) > 200 THEN regexp_replace({STRIP.format("sentence")}[:199], '\s+$', '') || '…' ELSE {STRIP.format("sentence")} END AS evidence FROM al"""
+  {starts("sentence", S.quoted(fixed.FOUND_ACTIVE))} AS found_a, {starts("sentence", S.quoted(fixed.FOUND_PASSIVE))} AS found_p, {starts("sentence", S.quoted(fixed.PART_ACTIVE))} AS part_a, {starts("sentence", S.quoted(fixed.PART_PASSIVE))} AS part_p FROM mr),
+al AS ({RULES}),
+ex AS (SELECT head, relation, tail, CAST(confidence AS DOUBLE) AS confidence, extractor, source, CASE WHEN length({STRIP.format("sentence")}) > 200 THEN regexp_replace({STRIP.format("sentence")}[:199], '\s+$', '') || '…' ELSE {STRIP.format("sentence")} END AS evidence FROM al)"""
 
 
-sql("extract_edges", rf"""WITH {PAGES}, {MORE_SURFACES}, dk(title, kind) AS (VALUES ('안중근', 'Person'), ('청산리 전투', 'Event'), ('신민회', 'Organization')),
+sql("extract_edges", rf"""WITH {PAGES}, {surfaces({"안창호": ("안창호", "Person"), "신민회": ("신민회", "Organization")})}, dk(title, kind) AS (VALUES ('안중근', 'Person'), ('청산리 전투', 'Event'), ('신민회', 'Organization')),
 bd AS (SELECT title, kind, CASE WHEN regexp_matches(body, '(?m)^\s*({CUT})\s*$') THEN rtrim(regexp_replace(body, '(?ms)^\s*(?:{CUT})\s*$.*\z', ''), E' \n\t') ELSE body END AS body FROM pg JOIN dk USING (title)),
-{extraction(MORE_PATTERN)}""")
-sql("extract_rules", f"""WITH {S.values(S.RULE_BODIES, "title, kind, body", "bd")}, {SURFACES}, {extraction(SURFACE_PATTERN)}""")
+{extraction()} SELECT head, relation, tail, confidence, extractor, source, evidence FROM ex""")
+sql("extract_rules", f"""WITH {S.values(S.RULE_BODIES, "title, kind, body", "bd")}, {surfaces({})}, {extraction()} SELECT head, relation, tail, confidence, extractor, source, evidence FROM ex""")
+
+sql("build_graph", rf"""WITH {S.values(S.PAGES, "title, categories, body, links", "p0")}, {S.values(S.GAZETTEER, "title, categories", "gz")},
+pg AS (SELECT title, categories, body, TRUE AS is_doc FROM p0 UNION ALL SELECT title, categories, NULL, FALSE FROM gz WHERE title NOT IN (SELECT title FROM p0)){LISTED.removeprefix(PAGES)}, {ABBREVIATIONS},
+y AS (SELECT title, body, cats, is_doc, base, coalesce(long, base) AS name, {TYPE} AS type FROM pc LEFT JOIN ab ON short = base),
+k AS (SELECT *, row_number() OVER (PARTITION BY name, type ORDER BY CAST(regexp_matches(title, '[(（]') AS INT), title) AS turn FROM y WHERE type IS NOT NULL AND {dropped("name")} IS NULL),
+en AS (SELECT title, body, cats, is_doc, type, CASE WHEN turn > 1 AND base = name AND title <> name THEN title ELSE name END AS name FROM k),
+cl AS (SELECT title, type, name, unnest([name, replace(name, ' ', '')]) AS surface FROM en),
+sf AS (SELECT surface, arg_min(name, title) AS name, arg_min(type, title) AS type FROM cl WHERE length(surface) >= 2 AND surface NOT IN ({STOP}) GROUP BY surface),
+bd AS (SELECT name AS title, type AS kind, CASE WHEN regexp_matches(body, '(?m)^\s*({CUT})\s*$') THEN rtrim(regexp_replace(body, '(?ms)^\s*(?:{CUT})\s*$.*\z', ''), E' \n\t') ELSE body END AS body FROM en WHERE is_doc),
+{extraction()},
+ct AS (SELECT name, type, trim(regexp_replace(unnest(cats), '\s*[(（][^()（）]*[)）]', '', 'g')) AS category FROM en WHERE is_doc AND type IN ('Person', 'Organization')),
+ca AS (SELECT head, relation, tail, confidence, extractor, source FROM ex UNION ALL
+  SELECT ct.name, 'PARTICIPATED_IN', ev.name, 0.9, 'rule_cat_participated_v6', ct.name FROM ct LEFT JOIN ab ON short = category JOIN (SELECT DISTINCT name FROM en WHERE type = 'Event') ev ON ev.name = coalesce(long, category)),
+kd AS (SELECT DISTINCT name, type FROM sf UNION SELECT DISTINCT name, type FROM en)
+SELECT head, relation, tail, 'rule' AS origin, max(confidence) AS confidence, string_agg(DISTINCT source, ';' ORDER BY source) AS sources, string_agg(DISTINCT extractor, ';' ORDER BY extractor) AS extractors FROM ca JOIN kd h ON h.name = head JOIN kd t ON t.name = tail
+WHERE head <> tail AND h.type || '|' || relation || '|' || t.type IN ('Person|PARTICIPATED_IN|Event', 'Person|FOUNDED|Organization', 'Organization|PARTICIPATED_IN|Event') GROUP BY head, relation, tail""")
 
 sql("discovered_entities", "SELECT * FROM (VALUES ('자유시 참변', 'Event', 3), ('대한청년회', 'Organization', 2), ('자강단', 'Organization', 3)) v(name, type, doc_support)")
 sql("gloss_aliases", "SELECT * FROM (VALUES ('安重根', '안중근', 'Person'), ('金九', '김구', 'Person')) v(surface, id, type)")
