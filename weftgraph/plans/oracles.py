@@ -393,6 +393,26 @@ sc AS (SELECT qid, doc, o, round(sum(wt.w * qw.w) / (any_value(nr.n) * any_value
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, o) AS rank FROM sc)"""
 sql("tfidf_topk", f'{RANKED} SELECT qid, doc, CAST(o AS INT) AS "offset", round(score, 4) AS score FROM rk WHERE rank <= 5 AND score > 0.001')
 
+
+
+def stem(word: str) -> str:
+    """A question's word without its particle."""
+    ends = {n: "|".join(p for p in fixed.QUESTION_PARTICLES if len(p) == n) for n in (2, 1)}
+    return f"CASE WHEN regexp_matches({word}, '^.+({ends[2]})$') THEN {word}[:-3] WHEN regexp_matches({word}, '^.+({ends[1]})$') THEN {word}[:-2] ELSE {word} END"
+
+
+sql("tfidf_answers", rf"""{RANKED}, ht AS (SELECT qid, doc, o, rank FROM rk WHERE rank <= 5 AND score > 0.001),
+rw AS (SELECT qid, rank, doc, chunk, list_distinct(raw || list_transform(raw, lambda x: {stem("x")})) AS keys FROM ht JOIN ck USING (doc, o) JOIN (SELECT qid, regexp_extract_all(question, '[가-힣A-Za-z0-9]{{2,}}') AS raw FROM ask) USING (qid)),
+cu AS (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(chunk, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format("x")}), lambda x: length(x) >= 15) AS l FROM rw),
+se AS (SELECT qid, rank, doc, keys, unnest(l) AS sentence, generate_subscripts(l, 1) AS pos FROM cu),
+hs AS (SELECT *, len(list_filter(keys, lambda x: contains(sentence, x))) AS hits FROM se),
+pl AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, rank, pos) AS n FROM hs WHERE hits > 0),
+qt AS (SELECT qid, n, '- [' || doc || '] ' || sentence AS line FROM (SELECT *, min(n) OVER (PARTITION BY qid, sentence) AS earliest FROM pl WHERE n <= 4) WHERE n = earliest),
+ln AS (SELECT * FROM qt UNION ALL SELECT qid, rank, '- [' || doc || '] ' || {STRIP.format("replace(chunk[:300], chr(10), ' ')")} || '...' FROM rw WHERE rank <= 2 AND qid NOT IN (SELECT qid FROM qt)),
+al AS (SELECT qid, string_agg(line, chr(10) ORDER BY n) AS lines FROM ln GROUP BY qid),
+sr AS (SELECT qid, string_agg(CAST(doc AS VARCHAR), ';' ORDER BY best) AS sources FROM (SELECT qid, doc, min(rank) AS best FROM ht GROUP BY qid, doc) GROUP BY qid)
+SELECT qid, CASE WHEN sources IS NULL THEN {S.quoted(fixed.NOTHING_FOUND)} ELSE {S.quoted(fixed.QUOTED)} || coalesce(lines, '') END AS answer, sources FROM ask LEFT JOIN sr USING (qid) LEFT JOIN al USING (qid)""")
+
 LINKS = "lk AS (SELECT user_id % 16 AS seed, event_type || '-' || CAST(floor(value) AS BIGINT) AS target FROM events)"
 sql("funnel_link_support", f"WITH {LINKS} SELECT target, count(DISTINCT seed) AS support FROM lk GROUP BY target HAVING count(DISTINCT seed) >= 2")
 NOISE = "(" + " OR ".join([f"contains({{0}}, '{w}')" for w in fixed.CATEGORY_NOISE] + [f"regexp_matches({{0}}, '{p}')" for p in fixed.GENERIC_CATEGORIES]) + ")"
