@@ -278,6 +278,18 @@ SELECT title, CASE WHEN turn > 1 AND base = name AND title <> name THEN title EL
 sql("entity_merge", """SELECT c_mktsegment AS name, CAST(c_nationkey AS VARCHAR) AS type, string_agg(DISTINCT right(c_name, 2), ';' ORDER BY right(c_name, 2)) AS aliases,
 string_agg(DISTINCT CAST(c_custkey % 7 AS VARCHAR), ';' ORDER BY CAST(c_custkey % 7 AS VARCHAR)) AS sources, bool_or(c_acctbal > 9000) AS is_doc, arg_min('r' || c_custkey, c_custkey) FILTER (c_custkey % 3 <> 0) AS reason, count(DISTINCT c_custkey % 7) AS doc_count
 FROM customer GROUP BY c_mktsegment, c_nationkey""")
+sql("io_graph_json", f"""WITH {EDGES} SELECT 'relation' AS kind, relation AS value, count(*) AS n FROM edges GROUP BY relation UNION ALL SELECT 'origin', origin, count(*) FROM edges GROUP BY origin
+UNION ALL SELECT 'edges', 'all', count(*) FROM edges UNION ALL SELECT 'type', type, count(*) FROM nodes GROUP BY type UNION ALL SELECT 'nodes', 'all', count(*) FROM nodes""")
+sql("io_alias_index", f"""WITH {NODES}, a AS (SELECT id, unnest([id] || list_filter(string_split(names, ';'), lambda x: x <> '')) AS surface FROM n)
+SELECT surface, coalesce(max(id) FILTER (id = surface), min(id)) AS id FROM a GROUP BY surface""")
+sql("io_graphml", f"""WITH {NODES}, {S.values(S.EDGES, "head, relation, tail, confidence, sources", "e")}
+SELECT head, h.type AS head_type, relation, tail, t.type AS tail_type, 'rule' AS origin, CAST(confidence AS DOUBLE) AS confidence, sources FROM e JOIN n h ON h.id = head JOIN n t ON t.id = tail""")
+sql("io_manifest", """SELECT s_name AS title, CASE WHEN s_acctbal >= 3000 OR s_acctbal IS NULL THEN replace(s_name, ' ', '_') || '.md' END AS file, CASE WHEN s_acctbal >= 3000 OR s_acctbal IS NULL THEN CAST(s_nationkey AS VARCHAR) END AS categories,
+CASE WHEN s_acctbal >= 3000 OR s_acctbal IS NULL THEN CAST(s_suppkey AS INT) END AS chars, CASE WHEN s_acctbal < 3000 THEN 'stub' ELSE 'linked' END AS reason FROM supplier""")
+sql("io_cache_counters", """WITH b AS (SELECT item_id % 2 = 0 AS hit, right(CAST(item_id AS VARCHAR), 1) = '7' AS bad FROM benchmark)
+SELECT count(*) FILTER (hit) AS hit, count(*) FILTER (NOT hit) AS miss, count(*) FILTER (NOT hit AND NOT bad) AS call, count(*) FILTER (NOT hit AND bad) AS error, 0 AS skipped, count(*) FILTER (NOT bad) AS cached_entries FROM b""")
+sql("io_documents", f"""WITH {PAGES} SELECT title, array_to_string(list_filter(string_split(categories, ';'), lambda x: x <> ''), ';') AS categories, md5({STRIP.format("body")}) AS digest FROM pg UNION ALL SELECT '', '', md5('no header')""")
+
 
 def starts(text: str, pattern: str) -> str:
     """Offsets of a pattern's matches: what lies before the i-th match is i gaps and the matches between them."""

@@ -21,8 +21,10 @@ from ..operators import linking as L
 from ..operators import paths as P
 from ..operators import tfidf as I
 from ..ship import ship
+from ..sources import cache as K
+from ..sources import files, sinks
 from ..sources.cache import answered as cached_answers
-from ..sources.stage import written
+from ..sources.stage import folder, written
 from ..sources.tables import order_candidates, table
 from . import samples as S
 from .ask import ask, ask_texts, run_records
@@ -523,6 +525,70 @@ def gloss_aliases(spark: SparkSession, d: str) -> DataFrame:
     return N.gloss_aliases(rows(spark, S.BODIES, "title string, body string"), surfaces)
 
 
+# --- files: written to the shared folder and read back
+
+
+@query
+def io_graph_json(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the exported graph of the tables."""
+    edges, path = graph_edges(spark, d), folder(spark, "export")
+    sinks.write_graph(G.nodes_of(edges).withColumn("aliases", F.array("id")), edges, path)
+    return spark.read.schema("kind string, value string, n long").json(f"{path}/stats")
+
+
+@query
+def io_alias_index(spark: SparkSession, d: str) -> DataFrame:
+    """The exported alias index, where an id stands for itself and other surfaces for the first node."""
+    path = folder(spark, "aliases")
+    nodes = rows(spark, S.NODES, "id string, type string, names string").select("id", "type", F.filter(F.split("names", ";"), lambda x: x != "").alias("aliases"))
+    sinks.write_graph(nodes, sample_edges(spark), path)
+    return spark.read.schema("surface string, id string").json(f"{path}/alias_index")
+
+
+@query
+def io_graphml(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of a GraphML document with their ends' types."""
+    path = folder(spark, "graphml")
+    nodes = rows(spark, S.NODES, "id string, type string, names string").select("id", "type", F.filter(F.split("names", ";"), lambda x: x != "").alias("aliases"), F.array("id").alias("sources"), F.lit(1).alias("doc_count"), F.lit(0).alias("degree"))
+    sinks.write_graphml(nodes, sample_edges(spark).withColumn("extractor", F.lit("x")), path)
+    return files.graphml(spark, path)[1].select("head", "head_type", "relation", "tail", "tail_type", "origin", "confidence", joined("sources").alias("sources"))
+
+
+@query
+def io_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The kept and rejected pages of a manifest: suppliers by their balance."""
+    path = folder(spark, "manifest")
+    each = table(spark, d, "supplier").select(F.col("s_name").alias("title"), F.array(F.col("s_nationkey").cast("string")).alias("categories"), F.col("s_suppkey").cast("int").alias("chars"), F.lit(2).alias("hop"), F.lit("linked").alias("why"), F.array().cast("array<string>").alias("redirects"), F.when(F.col("s_acctbal") < 3000, "stub").alias("reason"))
+    kept = each.filter("reason is null")
+    sinks.write_manifest(sinks.manifest_row(kept, each.filter("reason is not null"), kept.select("title", "categories", "redirects"), ["seed"], {"saved": 1}, "wiki", "topic"), path)
+    read = files.manifest(spark, path)
+    docs = read.select(F.inline("docs")).select("title", "file", joined("categories").alias("categories"), "chars", "reason")
+    none = F.lit(None)
+    return docs.unionByName(read.select(F.inline("rejected")).select("title", none.cast("string").alias("file"), none.cast("string").alias("categories"), none.cast("int").alias("chars"), "reason"))
+
+
+@query
+def io_cache_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by way of a stored cache: the even items first, then all, where some get none."""
+    path = folder(spark, "cache")
+    asked = table(spark, d, "benchmark").select("item_id", F.lit("m").alias("model"), F.col("item_id").cast("string").alias("prompt"))
+    model = lambda p: F.when(~p.endswith("7"), F.concat(F.lit("to "), p))
+    K.remembered(asked.filter("item_id % 2 = 0"), path, model, "prompt", "model", "prompt")
+    return K.counters(K.remembered(asked, path, model, "prompt", "model", "prompt"), K.entries(spark, path))
+
+
+@query
+def io_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown files, one of another form among them, as they are read whole."""
+    path = folder(spark, "markdown")
+    docs = rows(spark, S.PAGES, "title string, named string, body string, links int").select("title", F.split("named", ";").alias("categories"), "body")
+    sinks.write_documents(docs, f"{path}/table")
+    texts = spark.read.parquet(f"{path}/table").select("text").unionByName(rows(spark, ["no header"], "text string"))
+    # A file for each text: files of a text source end with a line break that the text has already.
+    texts.select(F.regexp_replace("text", "\\n$", "").alias("value")).repartitionByRange(texts.count(), "value").sortWithinPartitions("value").write.option("maxRecordsPerFile", 1).text(f"{path}/files")
+    return files.stored_documents(spark, f"{path}/files").select("title", joined("categories").alias("categories"), F.md5(T.stripped(F.col("body"))).alias("digest"))
+
+
 # --- ranking
 
 

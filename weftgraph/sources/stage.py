@@ -5,15 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet below spark.checkpoint.dir (a temporary folder where it is unset), read back; deleted with the driver's JVM."""
-    spark = df.sparkSession
-    ship(spark)
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir (under a local master, a temporary folder where it is unset); deleted with the driver's JVM."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
@@ -24,5 +22,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     target = f"{base.rstrip('/')}/weftgraph/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return target
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in a folder of its own, read back."""
+    spark = df.sparkSession
+    ship(spark)
+    target = folder(spark, name)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
