@@ -18,6 +18,18 @@ ORGANIZATION_TITLE = "(학교|대학교|정부|의정원|총독부|군정서|광
 
 POSITION_TITLE = "(국무총리|대통령|국무위원|주석|총리|장관|위원장|의장|사령관|총사령|교장|총장|회장|단장|대표|비서장|참모장|국장|부장|과장)$"
 
+# Signs in names, and breaks between sentences and quotations
+DOTS = "[·‧・•ㆍ･‧]"
+QUOTES = "[《》〈〉「」『』\"'“”‘’]"
+QUALIFIER = r"\s*[(（][^()（）]*[)）]"
+SENTENCE_BREAK = r"(?<=[.!?。])\s+|\n+"
+QUOTE_BREAK = r"(?<=[.?!])\s+"
+NAME_GLOSS = r"[(（]\s*([一-鿿][一-鿿\s·,、]*)\s*[)）]"
+
+# Document files: as they are analysed, and as they are stored
+DOCUMENT = r"(?s)\A# (.*?)\n\s*(?:분류: (.*?)\n)?\s*\n(.*)\z"
+STORED = r"(?s)\A#\s*(.+?)\n\s*\n분류:\s*(.*?)\n\s*\n(.*)\z"
+
 # Headings that end the body
 SECTION_CUT = r"^\s*(각주|주석|참고 ?문헌|참고 ?자료|인용|출처|외부 ?링크|같이 ?보기|관련 ?항목|관련 ?문서|더 ?보기|대중 ?문화|대중문화 속|관련 ?작품|관련 ?매체|관련 ?미디어|전기 ?자료|함께 ?보기)\s*$"
 

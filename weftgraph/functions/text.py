@@ -11,13 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import fixed
+from .fixed import DOTS, QUALIFIER, QUOTE_BREAK, QUOTES, SENTENCE_BREAK
 
 TRIM = r"^\s+|\s+$"
-DOTS = "[·‧・•ㆍ･‧]"
-QUOTES = "[《》〈〉「」『』\"'“”‘’]"
-QUALIFIER = r"\s*[(（][^()（）]*[)）]"
-SENTENCE_BREAK = r"(?<=[.!?。])\s+|\n+"
-QUOTE_BREAK = r"(?<=[.?!])\s+"
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,7 +46,7 @@ def unified(name: Column) -> Column:
 
 def gloss(name: Column) -> Column:
     """The Han characters in brackets, without white space; null if there are none."""
-    return bound(F.regexp_extract(unified(name), r"[(（]\s*([一-鿿][一-鿿\s·,、]*)\s*[)）]", 1), lambda found: F.when(found != "", F.regexp_replace(found, r"\s+", "")))
+    return bound(F.regexp_extract(unified(name), fixed.NAME_GLOSS, 1), lambda found: F.when(found != "", F.regexp_replace(found, r"\s+", "")))
 
 
 def normalized(name: Column) -> Column:

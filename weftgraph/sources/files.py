@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed import DOCUMENT, STORED
 from ..functions.text import stripped, trimmed_body
 
 TRIPLE = "struct<head:string,relation:string,tail:string>"
@@ -21,8 +22,6 @@ MANIFEST = (
     "docs array<struct<title:string,file:string,categories:array<string>,chars:int,hop:int,reason:string,redirects:array<string>>>, "
     "gazetteer map<string,struct<categories:array<string>,redirects:array<string>>>, rejected array<struct<title:string,reason:string>>"
 )
-DOCUMENT = r"(?s)\A# (.*?)\n\s*(?:분류: (.*?)\n)?\s*\n(.*)\z"
-STORED = r"(?s)\A#\s*(.+?)\n\s*\n분류:\s*(.*?)\n\s*\n(.*)\z"
 SCORES = "struct<answer_acc:double,path_recall:double,refusal_ok:double>"
 EVALUATION = (
     f"run_at string, n_items int, by_hop map<string,struct<n:int,graphrag:{SCORES},basic_rag:struct<answer_acc:double>>>, "
