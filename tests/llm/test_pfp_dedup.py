@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftgraph.llm import pfp_dedup as dedup
@@ -94,3 +96,48 @@ def test_kept_bytes_and_empty_table(spark):
     got = {r.doc_id: bytes(r.kept) for r in dedup.remove_repeats(rows, with_text=True).collect()}
     assert got == {1: b"x" * 60, 2: b"yz"}
     assert dedup.remove_repeats(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 9, 1 << 30])
+def test_buckets_unpack_their_phrases_in_slices(monkeypatch, most):
+    """Slices of a bucket give what the whole bucket gives, and hold a slice's bytes or one trigger's."""
+    monkeypatch.setattr(dedup, "SLICE_BYTES", most)
+    monkeypatch.setattr(dedup, "SLICE_TRIGGERS", most)
+    monkeypatch.setattr(dedup, "SLICE_ROWS", 7)
+    docs = [(1 << 40 if i is None else i, (t or "").encode()) for i, t in corpus(5)]
+    tables, held = lambda rows, key: [pa.Table.from_batches([dedup._record([r for r in rows if r[key] == k])]) for k in sorted({r[key] for r in rows})], []
+    listed = lambda made: [r for t in made for r in zip(*(t[c].to_pylist() for c in ("lot", "bucket", "payload")))]
+    least = dedup.least_ids
+
+    def watched(texts, triggers, ids):
+        held.append((sum(map(len, texts)), len(set(triggers.tolist()))))
+        return least(texts, triggers, ids)
+
+    monkeypatch.setattr(dedup, "least_ids", watched)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t.decode() for _, t in docs])], ["doc_id", "text"])
+    made = listed(pa.Table.from_batches([b]) for b in dedup._lots(3, 2000)(iter([batch])))
+    store, keys = [r for r in made if r[1] < 0], [r for r in made if r[1] >= 0]
+    found = listed(map(dedup._phrases(3), tables(store + listed(map(dedup._shared_triggers(3), tables(keys, 1))), 0)))
+    runs = listed(map(dedup._runs(3), tables([r for r in found if r[1] >= 0], 1)))
+    rows = [r for t in map(dedup._cut_texts(False), tables(store + [r for r in found if r[1] < 0] + runs, 0)) for r in zip(*t.to_pydict().values())]
+    assert sorted(rows, key=str) == brute(docs)
+    assert len(held) == 3 if most > 1 << 20 else len(held) > 30 and all(n <= most or k < 10 for n, k in held)
+
+
+def test_memory_of_a_bucket_is_that_of_a_slice(monkeypatch):
+    """Forty lots of different phrases: what a bucket allocates follows the slice, not the bucket."""
+    r = np.random.default_rng(3)
+    rows, total = [], 0
+    for lot in range(40):
+        texts = [bytes(x) for x in r.integers(0, 256, (2000, 66), np.uint8)]
+        keys = np.array([dedup.window_triggers(np.frombuffer(t, np.uint8))[0] for t in texts])
+        order = np.argsort(keys)
+        total += 66 * len(texts)
+        rows.append((lot, 0, dedup._packed(dedup._small(keys[order]), order.astype(np.uint32), np.full(len(texts), lot), np.full(len(texts), lot), np.full(len(texts), 66, np.uint32), b"".join(texts[i] for i in order))))
+    monkeypatch.setattr(dedup, "SLICE_BYTES", total // 20)
+    group = pa.Table.from_batches([dedup._record(rows)])
+    tracemalloc.start()
+    dedup._runs(1)(group)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < total

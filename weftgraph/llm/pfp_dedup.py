@@ -46,6 +46,11 @@ BUCKET_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
 SORT_BYTES = 1 << 23
 SORT_PLACES = 1 << 19
+#: What a bucket unpacks at once: bytes of phrases, and triggers. A slice is a range of triggers, so it has at least one trigger's.
+SLICE_BYTES = 1 << 23
+SLICE_TRIGGERS = 1 << 20
+#: Documents that are taken out of an Arrow batch at once.
+SLICE_ROWS = 256
 
 _STORE, _ANSWER = -1, -2
 _NO_ID = np.iinfo(np.int64).max
@@ -57,7 +62,7 @@ def _packed(*things: object, level: int = 3) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(things, protocol=5))
 
 
-def _unpacked(data: bytes) -> tuple:
+def _unpacked(data: bytes | pa.Buffer) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
@@ -138,6 +143,26 @@ def _stretches(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield int(of[a]), slice(a, b)
 
 
+_BINS = 1 << 12
+
+
+def _bin_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of _BINS equal parts of its bucket's range a key is in; sorted keys of one bucket give sorted bins."""
+    return (((keys >> np.uint64(8)) * np.uint64(buckets) & np.uint64(0xFFFFFFFF)) >> np.uint64(20)).astype(np.int64)
+
+
+def _slices(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) bin of stretches that weigh at most so much, or are one bin."""
+    first, held = 0, 0
+    for k, weight in enumerate(weights.tolist()):
+        if held and held + weight > most:
+            yield first, k
+            first, held = k, 0
+        held += weight
+    if held:
+        yield first, len(weights)
+
+
 def _small(values: np.ndarray) -> np.ndarray:
     """Sorted keys as differences, in bytes by place: the high ones are mostly zero and pack well."""
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
@@ -186,8 +211,8 @@ def _lots(buckets: int, lot_bytes: int):
             yield _record(rows)
 
         held = 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        for part in (batch.slice(i, SLICE_ROWS) for batch in batches for i in range(0, batch.num_rows, SLICE_ROWS)):
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(_NO_ID if key is None else key)
                 texts.append(text or b"")
                 held += len(texts[-1]) + 64
@@ -199,69 +224,87 @@ def _lots(buckets: int, lot_bytes: int):
     return run
 
 
-def _shared_triggers(group: pa.Table) -> pa.Table:
-    """Each lot's triggers of a bucket that some other document has too."""
-    lots, found, counts = group["lot"].to_pylist(), [], []
-    for payload in group["payload"].to_pylist():
-        planes, many = _unpacked(payload)
-        keys = _large(planes)
-        found.append(keys)
-        counts.append(1 + np.unpackbits(many, count=len(keys)))
-    keys, counts = np.concatenate(found), np.concatenate(counts)
+def _shared_triggers(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Each lot's triggers of a bucket that some other document has too."""
+        payloads, weights = [p.as_buffer() for p in group["payload"]], np.zeros(_BINS, np.int64)
+        for payload in payloads:
+            weights += np.bincount(_bin_of(_large(_unpacked(payload)[0]), buckets), minlength=_BINS)
+        answers: list[list[np.ndarray]] = [[] for _ in payloads]
+        for a, b in _slices(weights, SLICE_TRIGGERS):
+            found, counts = [], []
+            for payload in payloads:
+                planes, many = _unpacked(payload)
+                keys = _large(planes)
+                low, high = np.searchsorted(_bin_of(keys, buckets), (a, b))
+                found.append(keys[low:high].copy())
+                counts.append(1 + np.unpackbits(many, count=len(keys))[low:high])
+            for answer, own, chosen in zip(answers, found, _several(found, counts), strict=True):
+                if chosen.any():
+                    answer.append(own[chosen])
+        rows = [(lot, _ANSWER, _packed(_small(np.concatenate(answer)))) for lot, answer in zip(group["lot"].to_pylist(), answers, strict=True) if answer]
+        return pa.Table.from_batches([_record(rows)])
+
+    return run
+
+
+def _several(found: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Which of each lot's keys have a count of over one in all lots together."""
+    keys, times = np.concatenate(found), np.concatenate(counts)
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     several = np.empty(len(keys), bool)
-    several[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), at) > 1, np.diff(np.append(at, len(keys))))
-    rows, low = [], 0
-    for lot, own in zip(lots, found, strict=True):
-        chosen = own[several[low : low + len(own)]]
-        low += len(own)
-        if len(chosen):
-            rows.append((lot, _ANSWER, _packed(_small(chosen))))
-    return pa.Table.from_batches([_record(rows)])
+    several[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), at) > 1, np.diff(np.append(at, len(keys))))
+    return np.split(several, np.cumsum([len(x) for x in found])[:-1])
 
 
 def _phrases(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         lot = group["lot"][0].as_py()
         wanted, store = [], None
-        for kind, payload in zip(group["bucket"].to_pylist(), group["payload"].to_pylist(), strict=True):
+        for kind, payload in zip(group["bucket"].to_pylist(), group["payload"], strict=True):
             if kind == _STORE:
-                store = _unpacked(payload)
+                store = _unpacked(payload.as_buffer())
             else:
-                wanted.append(_large(*_unpacked(payload)))
+                wanted.append(_large(*_unpacked(payload.as_buffer())))
         if store is None or not wanted:
             return pa.Table.from_batches([_record([])])
         key_of, ends, raw = store
-        data = np.frombuffer(raw, np.uint8)
         shared = np.sort(np.concatenate(wanted))
-        number: dict[bytes, int] = {}
-        numbers, owns, places, triggers = [], [], [], []
-        for keys, own, at, counts in parse(data, ends):
+        found = []
+        for keys, own, at, counts in parse(np.frombuffer(raw, np.uint8), ends):
             hit = np.searchsorted(shared, keys)
             chosen = np.flatnonzero((hit < len(shared)) & (shared[np.minimum(hit, len(shared) - 1)] == keys))
-            for a, n, key in zip(at[chosen].tolist(), counts[chosen].tolist(), keys[chosen].tolist(), strict=True):
-                phrase = raw[a : a + n - 1 + LEAST]
-                k = number.setdefault(phrase, len(number))
-                if k == len(triggers):
-                    triggers.append(key)
-                numbers.append(k)
-            owns.append(own[chosen])
-            places.append(at[chosen])
-        if not numbers:
+            found.append((keys[chosen], own[chosen].astype(np.uint32), at[chosen].astype(np.uint32), counts[chosen].astype(np.uint32) + np.uint32(LEAST - 1)))
+        keys, own, place, lengths = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 4
+        if not len(keys):
             return pa.Table.from_batches([_record([])])
-        phrase_of, own, place = np.array(numbers), np.concatenate(owns), np.concatenate(places)
-        low, high = np.full(len(number), _NO_ID), np.full(len(number), np.iinfo(np.int64).min)
-        np.minimum.at(low, phrase_of, key_of[own])
-        np.maximum.at(high, phrase_of, key_of[own])
-        keys, texts = np.array(triggers, np.uint64), list(number)
+        # Equal phrases have one trigger, so those of one bucket are told apart at once. A phrase is kept as its first occurrence.
         order = np.argsort(keys, kind="stable")
-        rows = [(lot, _STORE, _packed(phrase_of.astype(np.uint32), own.astype(np.uint32), place.astype(np.uint32)))]
+        phrase_of, first, parts = np.empty(len(keys), np.int64), [], []
         for b, part in _stretches(keys[order], buckets):
-            own_part = order[part]
-            chosen = [texts[i] for i in own_part]
-            rows.append((lot, b, _packed(_small(keys[own_part]), own_part.astype(np.uint32), low[own_part], high[own_part], np.array([len(t) for t in chosen], np.uint32), b"".join(chosen), level=7)))
+            number: dict[bytes, int] = {}
+            begun, got, mine = len(first), order[part], []
+            for i, a, n in zip(got.tolist(), place[got].tolist(), lengths[got].tolist(), strict=True):
+                k = number.setdefault(raw[a : a + n], len(first))
+                if k == len(first):
+                    first.append(i)
+                mine.append(k)
+            phrase_of[got] = mine
+            parts.append((b, slice(begun, len(first))))
+        # Numbered in the order of the texts, which packs better.
+        first = np.array(first)
+        name = np.empty(len(first), np.int64)
+        name[np.argsort(first)] = np.arange(len(first))
+        low, high = np.full(len(first), _NO_ID), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(low, phrase_of, key_of[own])
+        np.maximum.at(high, phrase_of, key_of[own])
+        rows = [(lot, _STORE, _packed(name[phrase_of].astype(np.uint32), own, place))]
+        for b, part in parts:
+            at = first[part]
+            joined = b"".join(raw[a : a + n] for a, n in zip(place[at].tolist(), lengths[at].tolist(), strict=True))
+            rows.append((lot, b, _packed(_small(keys[at]), name[part].astype(np.uint32), low[part], high[part], lengths[at], joined, level=7)))
         return pa.Table.from_batches([_record(rows)])
 
     return run
@@ -294,18 +337,23 @@ def _combined(texts: list[bytes], triggers: np.ndarray, ids: np.ndarray, members
         return
     joined = np.frombuffer(b"".join(texts[i] for i in members), np.uint8)
     lengths = np.array([len(texts[i]) for i in members])
-    ends = np.cumsum(lengths)
-    of = np.repeat(np.arange(len(members)), lengths)[: len(joined) - GRAM + 1]
-    own = triggers[members]
-    place = np.flatnonzero((_trigger(_gram_hashes(joined)) == own[of]) & (np.arange(len(of)) + GRAM <= ends[of]))
-    of = of[place]
+    ends, own, places = np.cumsum(lengths), triggers[members], []
+    for first, last in _chunks(ends):
+        base = int(ends[first] - lengths[first])
+        hashes = _trigger(_gram_hashes(joined[base : ends[last - 1]]))
+        places.append(base + np.flatnonzero(hashes == np.repeat(own[first:last], lengths[first:last])[: len(hashes)]))
+    place = np.concatenate(places)
+    of = np.searchsorted(ends, place, "right")
+    inside = place + GRAM <= ends[of]
+    place, of = place[inside], of[inside]
     # A window belongs to the first trigger in it: it starts after the trigger before, and ends with its phrase.
     before = np.concatenate(([-1], place[:-1]))
     most = np.minimum(np.minimum(LEAST - GRAM, place - (ends - lengths)[of]), place - before - 1)
     least = np.maximum(0, place - ends[of] + LEAST)
     kept = least <= most
     place, of, most, least = place[kept], of[kept], most[kept], least[kept]
-    found = np.empty(len(joined), np.int64)
+    # Only places where a window starts have an id; slot is the place among them.
+    found, slot = np.empty(int((lengths - LEAST + 1).sum()), np.int64), place - of * (LEAST - 1)
     padded = np.concatenate((np.zeros(LEAST, np.uint8), joined, np.zeros(LEAST, np.uint8)))
     named, room = ids[members][of], ends[of] - place
     parts = -(-len(place) // SORT_PLACES)
@@ -319,8 +367,9 @@ def _combined(texts: list[bytes], triggers: np.ndarray, ids: np.ndarray, members
         for part in range(parts):
             chosen = np.flatnonzero((lot == part) & (least <= high) & (most >= low))
             if len(chosen):
-                _two_sides(padded, place[chosen], np.maximum(least[chosen], low), np.minimum(most[chosen], high), most[chosen], room[chosen], named[chosen], found)
-    for i, a, n in zip(members, (ends - lengths).tolist(), (lengths - LEAST + 1).tolist(), strict=True):
+                _two_sides(padded, place[chosen], np.maximum(least[chosen], low), np.minimum(most[chosen], high), most[chosen], room[chosen], named[chosen], slot[chosen], found)
+    windows = lengths - LEAST + 1
+    for i, a, n in zip(members, (np.cumsum(windows) - windows).tolist(), windows.tolist(), strict=True):
         out[i] = found[a : a + n]
 
 
@@ -345,8 +394,8 @@ def _ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.concatenate(([0], same[~whole].argmin(axis=1)))
 
 
-def _two_sides(padded: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, reach: np.ndarray, room: np.ndarray, named: np.ndarray, found: np.ndarray) -> None:
-    """Sets the smallest id of each window that starts least to most bytes before its trigger's place.
+def _two_sides(padded: np.ndarray, place: np.ndarray, least: np.ndarray, most: np.ndarray, reach: np.ndarray, room: np.ndarray, named: np.ndarray, slot: np.ndarray, found: np.ndarray) -> None:
+    """Sets the smallest id of each window that starts least to most bytes before its trigger's place, which is at slot of found.
 
     The dictionary's suffixes end at the trigger, so backwards they are the left sides' beginnings; the rest of the parse
     is the right side. A window with so many bytes on the left is the class of its left side at that depth and that of
@@ -369,17 +418,36 @@ def _two_sides(padded: np.ndarray, place: np.ndarray, least: np.ndarray, most: n
         ordered = keys[order]
         at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         low = np.minimum.reduceat(named[chosen][order], at)
-        found[place[chosen[order]] - depth] = np.repeat(low, np.diff(np.append(at, len(order))))
+        found[slot[chosen[order]] - depth] = np.repeat(low, np.diff(np.append(at, len(order))))
+
+
+def _runs(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        """To each lot: (phrase, first window, end window, id) where that smaller id than the lot's largest has the windows."""
+        payloads, weights = [p.as_buffer() for p in group["payload"]], np.zeros(_BINS)
+        for payload in payloads:
+            planes, _, _, _, lengths, _ = _unpacked(payload)
+            weights += np.bincount(_bin_of(_large(planes), buckets), lengths, _BINS)
+        answers: list[list[tuple[np.ndarray, ...]]] = [[] for _ in payloads]
+        # Payloads stay packed; each slice unpacks its phrases of all lots.
+        for a, b in _slices(weights, SLICE_BYTES):
+            _slice_runs(payloads, buckets, a, b, answers)
+        rows = [(lot, _ANSWER, _packed(*(np.concatenate(x) for x in zip(*answer, strict=True)))) for lot, answer in zip(group["lot"].to_pylist(), answers, strict=True) if answer]
+        return pa.Table.from_batches([_record(rows)])
+
+    return run
 
 
-def _runs(group: pa.Table) -> pa.Table:
-    """To each lot: (phrase, first window, end window, id) where that smaller id than the lot's largest has the windows."""
+def _slice_runs(payloads: list[pa.Buffer], buckets: int, start: int, stop: int, answers: list[list[tuple[np.ndarray, ...]]]) -> None:
+    """Adds each lot's runs in the phrases of the triggers in these bins."""
     number: dict[bytes, int] = {}
     triggers, lows, parts = [], [], []
-    for payload in group["payload"].to_pylist():
+    for payload in payloads:
         planes, own, low, high, lengths, joined = _unpacked(payload)
-        keys, at, mine = _large(planes), 0, []
-        for key, n, least in zip(keys.tolist(), lengths.tolist(), low.tolist(), strict=True):
+        keys, mine = _large(planes), []
+        inside = slice(*np.searchsorted(_bin_of(keys, buckets), (start, stop)).tolist())
+        at = int(lengths[: inside.start].sum(dtype=np.int64))
+        for key, n, least in zip(keys[inside].tolist(), lengths[inside].tolist(), low[inside].tolist(), strict=True):
             k = number.setdefault(joined[at : at + n], len(number))
             at += n
             if k == len(triggers):
@@ -388,13 +456,13 @@ def _runs(group: pa.Table) -> pa.Table:
             elif least < lows[k]:
                 lows[k] = least
             mine.append(k)
-        parts.append((own, high, mine))
-    least = least_ids(list(number), np.array(triggers, np.uint64), np.array(lows, np.int64))
+        parts.append((own[inside].copy(), high[inside].copy(), np.array(mine, np.int32)))
     texts = list(number)
-    rows = []
-    for lot, (own, high, mine) in zip(group["lot"].to_pylist(), parts, strict=True):
+    number.clear()
+    least = least_ids(texts, np.array(triggers, np.uint64), np.array(lows, np.int64))
+    for answer, (own, high, mine) in zip(answers, parts, strict=True):
         phrase, first, end, named = [], [], [], []
-        for local, top, k in zip(own.tolist(), high.tolist(), mine, strict=True):
+        for local, top, k in zip(own.tolist(), high.tolist(), mine.tolist(), strict=True):
             ids = least[k]
             if isinstance(ids, int):
                 if ids < top:
@@ -405,8 +473,7 @@ def _runs(group: pa.Table) -> pa.Table:
                 if ids[a] < top:
                     phrase.append(local), first.append(a), end.append(b), named.append(int(ids[a]))
         if phrase:
-            rows.append((lot, _ANSWER, _packed(np.array(phrase, np.uint32), np.array(first, np.uint32), np.array(end, np.uint32), np.array(named, np.int64))))
-    return pa.Table.from_batches([_record(rows)])
+            answer.append((np.array(phrase, np.uint32), np.array(first, np.uint32), np.array(end, np.uint32), np.array(named, np.int64)))
 
 
 def removed(size: int, ids: np.ndarray, occurrences: tuple[np.ndarray, ...] | None, runs: list[tuple[np.ndarray, ...]]) -> np.ndarray:
@@ -426,14 +493,14 @@ def removed(size: int, ids: np.ndarray, occurrences: tuple[np.ndarray, ...] | No
     run, hit = run[later], hit[later]
     np.add.at(depth, place[hit] + first[run], 1)
     np.add.at(depth, place[hit] + end[run] - 1 + LEAST, -1)
-    return np.cumsum(depth, dtype=np.int32)[:-1] > 0
+    return np.cumsum(depth, out=depth)[:-1] > 0
 
 
 def _cut_texts(with_text: bool):
     def run(group: pa.Table) -> pa.Table:
         store, occurrences, runs = None, None, []
-        for kind, payload in zip(group["bucket"].to_pylist(), group["payload"].to_pylist(), strict=True):
-            got = _unpacked(payload)
+        for kind, payload in zip(group["bucket"].to_pylist(), group["payload"], strict=True):
+            got = _unpacked(payload.as_buffer())
             if kind == _ANSWER:
                 runs.append(got)
             elif len(got) == 3 and isinstance(got[2], bytes):
@@ -445,13 +512,12 @@ def _cut_texts(with_text: bool):
         gone = removed(len(data), ids, occurrences, runs)
         first = gone.copy()
         first[1:] &= ~gone[:-1]
-        rising, counted = (np.concatenate((np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32))) for x in (first, gone))
         out: list[tuple] = []
         start = 0
         for key, end in zip(ids.tolist(), ends.tolist(), strict=True):
-            n = int(counted[end] - counted[start])
+            n = int(np.count_nonzero(gone[start:end]))
             # A run that reaches over from the document before begins anew here.
-            spans = int(rising[end] - rising[start]) + int(n > 0 and start > 0 and gone[start] and gone[start - 1])
+            spans = int(np.count_nonzero(first[start:end])) + int(n > 0 and start > 0 and gone[start] and gone[start - 1])
             kept = data[start:end][~gone[start:end]].tobytes() if n else raw[start:end]
             out.append((None if key == _NO_ID else key, end - start, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             start = end
@@ -475,10 +541,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", with_
     made = df.select(F.col(key).cast("long"), text).mapInArrow(_lots(buckets, lot_bytes), _ROWS).withColumn("keys", (F.col("bucket") >= 0).cast("int"))
     lots, drop = materialize_by(made, "lots", "keys", "none")
     store = lots.filter("keys = 0").drop("keys")
-    shared = lots.filter("keys = 1").drop("keys").groupBy("bucket").applyInArrow(_shared_triggers, _ROWS)
+    shared = lots.filter("keys = 1").drop("keys").groupBy("bucket").applyInArrow(_shared_triggers(buckets), _ROWS)
     phrases = materialize(store.unionByName(shared).groupBy("lot").applyInArrow(_phrases(buckets), _ROWS), "phrases", "none")
     drop(1)
-    runs = phrases.filter("bucket >= 0").groupBy("bucket").applyInArrow(_runs, _ROWS)
+    runs = phrases.filter("bucket >= 0").groupBy("bucket").applyInArrow(_runs(buckets), _ROWS)
     gathered = store.unionByName(phrases.filter(F.col("bucket") == _STORE)).unionByName(runs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return gathered.groupBy("lot").applyInArrow(_cut_texts(with_text), schema)
