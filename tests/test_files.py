@@ -292,3 +292,20 @@ def test_asks_again_within_the_bound(spark):
     once = {r.qid: r for r in ask(Q.questions(spark), Q.sample_edges(spark), Q.aliases(spark)).answers.collect()}
     assert {q: (r.refused, r.answer) for q, r in got.items()} == {q: (r.refused, r.answer) for q, r in once.items()}
     assert all(r.rounds == 1 for r in got.values() if not r.refused) and {r.rounds for r in got.values() if r.refused} <= {1, 2} and got["Q8"].rounds == 2
+
+
+def test_graph_is_written_packed_from_nodes_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    nodes = spark.createDataFrame([(f"n{i}", "Person", ["x", f"m{i}"]) for i in range(50)], "id string, type string, aliases array<string>").mapInArrow(counted, "id string, type string, aliases array<string>")
+    edges = spark.createDataFrame([(f"n{i}", "FOUNDED", f"n{i + 1}", "rule") for i in range(49)], "head string, relation string, tail string, origin string")
+    sinks.write_graph(nodes, edges, str(tmp_path / "g"))
+    assert made.value == 50
+    for name, n in (("nodes", 50), ("edges", 49), ("alias_index", 101), ("stats", 5)):
+        parts = [p for p in (tmp_path / "g" / name).iterdir() if p.name.startswith("part-")]
+        assert parts and all(p.name.endswith(".json.gz") for p in parts) and spark.read.json(str(tmp_path / "g" / name)).count() == n

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_name
 from ..operators.graph import claimed_aliases, statistics
+from .stage import written
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes, edges, alias rows and counts as JSON lines in folders of their own; sorted, so that equal graphs give equal files."""
-    nodes.orderBy("id").write.mode("overwrite").json(f"{path}/nodes")
-    edges.orderBy("head", "relation", "tail").write.mode("overwrite").json(f"{path}/edges")
-    claimed_aliases(nodes).orderBy("surface").write.mode("overwrite").json(f"{path}/alias_index")
+    """Nodes, edges, alias rows and counts as JSON lines in folders of their own, packed by gzip; sorted, so that equal graphs give equal files.
+
+    The nodes are stored first, as each of the folders but that of the edges is made of them.
+    """
+    nodes = written(nodes, "nodes")
+    nodes.orderBy("id").write.mode("overwrite").json(f"{path}/nodes", compression="gzip")
+    edges.orderBy("head", "relation", "tail").write.mode("overwrite").json(f"{path}/edges", compression="gzip")
+    claimed_aliases(nodes).orderBy("surface").write.mode("overwrite").json(f"{path}/alias_index", compression="gzip")
     kinds = nodes.groupBy(F.col("type").alias("value")).agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), "value", "n")
     every = nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("kind"), F.lit("all").alias("value"), "n")
     counts = statistics(edges).withColumnRenamed("edges", "n").withColumn("kind", F.when(F.col("kind") == "all", "edges").otherwise(F.col("kind")))
-    kinds.unionByName(every).unionByName(counts).orderBy("kind", "value").write.mode("overwrite").json(f"{path}/stats")
+    kinds.unionByName(every).unionByName(counts).orderBy("kind", "value").write.mode("overwrite").json(f"{path}/stats", compression="gzip")
 
 
 def graphml_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
