@@ -103,3 +103,24 @@ def test_funnel(spark, quota):
         else:
             expected[t], saved = None, saved + 1
     assert reasons == expected
+
+
+@pytest.mark.parametrize("people,stretches", [((1, 2), 3), ((3,), 2), ((1000,), 1)])
+def test_two_hop_patterns_in_stretches_of_people(spark, people, stretches):
+    """The choice is that of the whole graph, and the patterns of people after the last one needed are never listed."""
+    rows = graph(1)
+    frame = spark.createDataFrame(rows, EDGES)
+    expected = paths.diverse_patterns(paths.bridges(frame))
+    listed = []
+
+    def write(found):
+        listed.append({r.a for r in found.collect()})
+        return found
+
+    assert paths.first_patterns(frame, write, people=people) == expected
+    assert len(listed) <= stretches and all(max(x, default="") < min(y, default="~") for x, y in zip(listed, listed[1:]))
+    few = paths.first_patterns(frame.filter("tail in ('p1', 's1', 'c1')"), write, people=people)
+    assert few == paths.diverse_patterns(paths.bridges(frame.filter("tail in ('p1', 's1', 'c1')"))) and len(few) < 10
+    listed.clear()
+    many = spark.createDataFrame([(f"a{i:05d}", "PARTICIPATED_IN", f"p{(7 * i + j) % 300}") for i in range(2000) for j in range(6)] + [(f"a{i:05d}", "FOUNDED", f"s{i % 7}") for i in range(2000)], EDGES)
+    assert paths.first_patterns(many, write) == paths.diverse_patterns(paths.bridges(many)) and len(listed) == 1 and len(listed[0]) <= 16

@@ -79,3 +79,14 @@ def test_every_rule_fires(spark):
     got = {r.extractor for r in QUERIES["extract_rules"](spark, DATA).collect()}
     numbered = {"founded_v1_active", "founded_v2_passive", "founded_v3_doc_org", "founded_v3p_doc_org_passive", "founded_v4_doc_person", "participated_v1_active", "participated_v2_locative", "participated_v3_doc_event", "participated_v4_doc_entity", "participated_v5_doc_event_role"}
     assert got == {f"rule_{n}" for n in numbered}
+
+
+def test_greedy_patterns_need_no_merged_graph(spark, monkeypatch):
+    import weftgraph.plans.queries as plans
+
+    whole = QUERIES["kg_two_hop_greedy"](spark, DATA).collect()
+    monkeypatch.setattr(plans, "_GRAPHS", {})
+    assert QUERIES["kg_two_hop_greedy"](spark, DATA).collect() == whole and not plans._GRAPHS
+    edges = plans.graph_edges(spark, DATA).filter("head_type = 'Person'").select("head", "relation", "tail")
+    monkeypatch.setattr(plans, "_GRAPHS", {})
+    assert sorted(plans.person_triples(spark, DATA).collect()) == sorted(edges.collect())

@@ -6,6 +6,7 @@ number of paths grows with the seeds and not with the graph. Questions are rows:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -193,17 +194,23 @@ def pattern_counts(edges: DataFrame) -> DataFrame:
     return each.groupBy("event").agg(F.sum("others").alias("patterns"), F.count_distinct("organization").alias("organizations"))
 
 
-def bridges(edges: DataFrame, most: int = 10, per_event: int = 2) -> DataFrame:
-    """(a, event, b, organization), the least organization of each a, event and b, that a choice of so many patterns can need.
+def bridges(edges: DataFrame, most: int = 10, per_event: int = 2, after: str | None = None, upto: str | None = None) -> DataFrame:
+    """(a, event, b, organization), the least organization of each a, event and b, that a choice of so many patterns can need; of the a after one name and up to another, if given.
 
     Of an event's founders only the first most + per_event + 1 can be chosen: so many others at most are a itself or taken already.
     """
     part, founded = _sides(edges)
+    asked = part
+    if after is not None:
+        asked = asked.filter(F.col("head") > after)
+    if upto is not None:
+        asked = asked.filter(F.col("head") <= upto)
+        part = part.join(asked.select("event").distinct(), "event", "left_semi")
     pairs = part.withColumnRenamed("head", "b").join(founded, "b").filter("organization <> event")
     # The two least organizations of a founder, as one of them may be a.
     least = pairs.withColumn("n", F.row_number().over(W.partitionBy("event", "b").orderBy("organization"))).filter("n <= 2").groupBy("event", "b").agg(F.array_sort(F.collect_list("organization")).alias("organizations"))
     first = least.withColumn("n", F.row_number().over(W.partitionBy("event").orderBy("b"))).filter(F.col("n") <= most + per_event + 1)
-    joined = part.withColumnRenamed("head", "a").join(first, "event").filter("a <> b")
+    joined = asked.withColumnRenamed("head", "a").join(first, "event").filter("a <> b")
     return joined.select("a", "event", "b", F.get(F.filter("organizations", lambda o: o != F.col("a")), 0).alias("organization")).filter("organization is not null")
 
 
@@ -226,12 +233,30 @@ def golden_marked(patterns: DataFrame, items: DataFrame, expected: DataFrame) ->
     return own.join(marks, "path", "left").select("a", "event", "b", "organization", "goldenset_id", F.lit(False).alias("added")).unionByName(added)
 
 
-def diverse_patterns(patterns: DataFrame, most: int = 10, per_event: int = 2) -> list[tuple[str, str, str, str]]:
-    """A greedy choice in alphabetical order: an event at most twice, a bridge person once.
+def first_patterns(edges: DataFrame, write: Callable[[DataFrame], DataFrame], most: int = 10, per_event: int = 2, people: tuple[int, ...] = (16, 4096)) -> list[tuple[str, str, str, str]]:
+    """diverse_patterns of the whole graph. The choice goes up in a, so the first so many people are asked, then more if
+    there are not enough patterns, and at last all that are left; write stores the few patterns of a stretch."""
+    heads = _sides(edges)[0].select("head").distinct()
+    chosen: list[tuple[str, str, str, str]] = []
+    after = None
+    for n in (*people, None):
+        left = heads if after is None else heads.filter(F.col("head") > after)
+        upto = left.orderBy("head").limit(n).agg(F.max("head").alias("last")).first()["last"] if n else None
+        if n and upto is None:
+            break
+        chosen = diverse_patterns(write(bridges(edges, most, per_event, after, upto)), most, per_event, chosen)
+        if len(chosen) >= most:
+            break
+        after = upto
+    return chosen
+
+
+def diverse_patterns(patterns: DataFrame, most: int = 10, per_event: int = 2, before: Sequence[tuple[str, str, str, str]] = ()) -> list[tuple[str, str, str, str]]:
+    """A greedy choice in alphabetical order: an event at most twice, a bridge person once; before are those chosen already.
 
     Sequential by nature, in ``most`` rounds. What is refused once stays so, so that each round is the least row that is not refused.
     """
-    chosen: list[tuple[str, str, str, str]] = []
+    chosen = list(before)
     while len(chosen) < most:
         events = [e for _, e, _, _ in chosen]
         free = patterns.filter(~F.col("b").isin([b for _, _, b, _ in chosen]) & ~F.col("event").isin([e for e in set(events) if events.count(e) >= per_event]))
